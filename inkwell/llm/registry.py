@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from inkwell.llm import media, mixing
+from inkwell.llm import media, mixing, quality, suffixes, superkmer
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_media": media.op2_media,
+    "op4_quality": quality.op4_quality,
+    "op8_suffixes": suffixes.op8_suffixes,
+    "op10_superkmer": superkmer.op10_superkmer,
 }
 
 ORACLE_SQL = {"op1_mixing": mixing.ORACLE_SQL}
