@@ -26,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.session import settle
+
 #: (verdict, host and path), as given by the contract.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 LEVELS = 3
@@ -79,7 +81,7 @@ def templates(paths: DataFrame) -> DataFrame:
         variable = (F.col("branches") > BRANCHES) & (F.col("all_n") < F.col("branches") * PER_BRANCH)
         own = F.when(F.col("part") == "", "").when(variable | ~differs, "/*").otherwise(F.concat(F.lit("/"), F.col("part")))
         step = both.select("host", "template", "part", own.alias("_own"))
-        tree = tree.join(step, ["host", "template", "part"]).withColumn("template", F.concat("template", "_own")).drop("_own")
+        tree = settle(tree.join(step, ["host", "template", "part"]).withColumn("template", F.concat("template", "_own")).drop("_own"))
     return tree.select("host", "shape", "template", "blocked", "labelled")
 
 
@@ -97,12 +99,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labels: Da
     else:
         named = labels.where("page_id IS NOT NULL").groupBy("page_id").agg(F.max("blocked").alias("_blocked"))
         marked = rows.join(named, "page_id", "left")
-    paths = marked.groupBy("host", "shape").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("_blocked")).alias("blocked"),
-        F.count("_blocked").alias("labelled"),
-    )
-    tree = templates(paths)
+    counts = [F.count("*").alias("n"), F.count_if(F.col("_blocked")).alias("blocked"), F.count("_blocked").alias("labelled")]
+    tree = templates(settle(marked.groupBy("host", "shape").agg(*counts)))
     per_host = tree.groupBy("host").agg(F.sum("blocked").alias("host_b"), F.sum("labelled").alias("host_m"))
     per = tree.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("m")).join(per_host, "host")
     prior = (F.col("host_b") + F.lit(WEIGHT * PRIOR)) / (F.col("host_m") + F.lit(WEIGHT))
