@@ -23,16 +23,19 @@ def build_session(app: str = "inkwell", cores: str | None = None, shuffle_partit
     )
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
-
-    The folder is the session's ``spark.checkpoint.dir`` (shared storage on a cluster);
-    a temporary one is set only where the session names none, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
+def work_dir(spark: SparkSession) -> str:
+    """The application's folder in the session's ``spark.checkpoint.dir`` (shared storage on a cluster); a
+    temporary one is set only where the session names none, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "inkwell-checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in ``work_dir``."""
+    work_dir(df.sparkSession)
     return df.checkpoint()
 
 
