@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.textbuf import blocks, ship
+from inkwell.llm.textbuf import blocks, ship, tidy
 
 #: Bytes of stored input a partition stands for, and runs a task gathers before it sends them.
-SHARE = 8 << 20
-GATHER = 2_000_000
+SHARE = 4 << 20
+GATHER = 1_000_000
 
 PACKETS = "part long, kind int, a binary, b binary, c binary, d binary, e binary"
 LAST = np.iinfo(np.int64).max
@@ -145,6 +145,7 @@ def shared_runs(docs: DataFrame, parts: int, finder: Finder) -> DataFrame:
             yield packets(send(*(np.concatenate(x) for x in zip(*held))))
 
     def decide(table: pa.Table) -> pa.Table:
+        tidy()
         kinds = table.column("kind").to_numpy()
         out = [table.filter(pa.array(kinds == 1))]
         mine = table.filter(pa.array(kinds == 0))
@@ -165,7 +166,12 @@ def shared_runs(docs: DataFrame, parts: int, finder: Finder) -> DataFrame:
 
 def at_home(docs: DataFrame, found: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """Bring packets to their documents: work(documents, packets) for each home partition."""
-    return docs.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(work, schema)
+
+    def run(mine: pa.Table, named: pa.Table) -> pa.Table:
+        tidy()
+        return work(mine, named)
+
+    return docs.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(run, schema)
 
 
 def empty(schema: pa.Schema) -> pa.Table:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from inkwell.llm import runs
 from inkwell.llm.superkmer import _ordinals, _spread, _survivors, sliding_min
-from inkwell.llm.textbuf import mix, prefix, span_hash, span_union
+from inkwell.llm.textbuf import mix, prefix, span_hash, span_union, tidy
 
 WINDOW = 200
 GRAM = 32
@@ -215,6 +215,7 @@ def repeated(docs: DataFrame, parts: int, keep_first: bool, window: int = WINDOW
         return pa.Table.from_batches([runs.packets(rows)]).cast(schema)
 
     def decide(table: pa.Table) -> pa.Table:
+        tidy()
         kinds = table.column("kind").to_numpy()
         out = [table.filter(pa.array(kinds == 3))]
         value, meta, text = runs.gather(table, 2, ["<u8", "<i8", "u1"])

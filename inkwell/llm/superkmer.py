@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from inkwell.llm import runs
-from inkwell.llm.textbuf import cut_words, gram_hashes, mix, span_union, word_hashes
+from inkwell.llm.textbuf import cut_words, gram_hashes, mix, span_union, word_hashes, tidy
 
 WINDOW = 13
 GRAM = 5
@@ -152,6 +152,7 @@ def repeated(docs: DataFrame, parts: int, window: int = WINDOW, gram: int = GRAM
         return pa.Table.from_batches([runs.packets(rows)]).cast(schema)
 
     def count(table: pa.Table) -> pa.Table:
+        tidy()
         kinds = table.column("kind").to_numpy()
         out = [table.filter(pa.array(kinds == 3))]
         ids, keys, start, size, text = runs.gather(table, 2, ["<i8", "<i8", "<i4", "<i8", "u1"])

@@ -6,6 +6,7 @@ can be cut on bytes without decoding.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 import tempfile
@@ -22,7 +23,12 @@ SPACE[9:14] = True
 SPACE[32] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BLOCK = 4 << 20
+BLOCK = 1 << 20
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # not glibc
+    _libc = None
 
 _STEP = 0x9E3779B97F4A7C15
 _BASE = 0x2545F4914F6CDD1D
@@ -149,6 +155,13 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def tidy() -> None:
+    """Give freed memory back to the system, between groups of a worker that lives on."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def span_union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted disjoint union of half-open ranges; touching ranges join."""
     if not len(starts):
