@@ -42,6 +42,8 @@ PERCENT = 80
 #: Parts that verification cuts a set into.
 FRAGMENTS = 4
 FILTER_BITS = 1 << 27
+#: A gram is counted where a task's gathering has it so often, and frequent if one in SHARE classes has it.
+LOCAL, SHARE = 4, 1000
 
 
 def doc_sets(buf: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -79,11 +81,18 @@ def intervals(percent: int, most: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def segments(flat: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of every segment that a set joins by."""
+def segments(flat: np.ndarray, off: np.ndarray, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of every segment that a set joins by; ``frequent`` grams, sorted, stay out of segments.
+
+    Two sets within reach differ in at most k grams, frequent or not, so k + 1 filled segments of the others are
+    enough whatever the list holds. The prefix that serves sets with fewer takes frequent grams last.
+    """
     size = np.diff(off)
     last = intervals(percent, int(size.max()) if len(size) else 1)
     own = np.searchsorted(last, size)
+    common = np.zeros(len(flat), bool)
+    if len(frequent):
+        common = frequent[np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)] == flat
     scrambled = mix(flat ^ np.uint64(0xBB67AE8584CAA73B))
     rows_out, sigs_out = [], []
     row = np.repeat(np.arange(len(size)), size)
@@ -91,46 +100,116 @@ def segments(flat: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.ndarra
         level = own + step
         k = 2 * last[level] * (100 - percent) // (100 + percent)
         count = (115 * (k + 1) + 99) // 100 + 4
-        live = (k > 0)[row]  # with k = 0 only equal sets link
-        if not live.any():
-            continue
-        h, r, s = flat[live], row[live], scrambled[live]
-        part = (h >> np.uint64(32)) * count[r].astype(np.uint64) >> np.uint64(32)
-        new = np.ones(len(h), bool)
-        new[1:] = (part[1:] != part[:-1]) | (r[1:] != r[:-1])
-        at = np.flatnonzero(new)
-        many = np.diff(np.append(at, len(h))).astype(np.uint64)
-        name = part[at] * np.uint64(0x9E3779B97F4A7C15) + level[r[at]].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + many
-        rows_out.append(r[at])
-        sigs_out.append(mix(np.add.reduceat(s, at) + mix(name)))
-        filled = np.bincount(r[at], minlength=len(size))
+        live = (k > 0)[row] & ~common  # with k = 0 only equal sets link
+        filled = np.zeros(len(size), np.int64)
+        if live.any():
+            h, r, s = flat[live], row[live], scrambled[live]
+            part = (h >> np.uint64(32)) * count[r].astype(np.uint64) >> np.uint64(32)
+            new = np.ones(len(h), bool)
+            new[1:] = (part[1:] != part[:-1]) | (r[1:] != r[:-1])
+            at = np.flatnonzero(new)
+            many = np.diff(np.append(at, len(h))).astype(np.uint64)
+            name = part[at] * np.uint64(0x9E3779B97F4A7C15) + level[r[at]].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + many
+            rows_out.append(r[at])
+            sigs_out.append(mix(np.add.reduceat(s, at) + mix(name)))
+            filled = np.bincount(r[at], minlength=len(size))
         for i in np.flatnonzero((filled < k + 1) & (k > 0) & (size > 0)).tolist():
             n = int(size[i])
             prefix = n - -(-n * percent // 100) + 1
-            sigs_out.append(mix(flat[off[i] : off[i] + prefix] + mix(np.array([level[i] + 1], np.uint64) * np.uint64(0x165667B19E3779F9))))
+            values, rare = flat[off[i] : off[i + 1]], ~common[off[i] : off[i + 1]]
+            first = np.concatenate([values[rare], values[~rare]])[:prefix]
+            sigs_out.append(mix(first + mix(np.array([level[i] + 1], np.uint64) * np.uint64(0x165667B19E3779F9))))
             rows_out.append(np.full(prefix, i))
     if not rows_out:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(rows_out), np.concatenate(sigs_out)
 
 
+def _sketch(name: np.ndarray, flat: np.ndarray, off: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Bitmaps of sets: every gram flips one of as many bits as the power of two from the set's size on, 64 at
+    least; the bitmaps' Hamming distance never exceeds the sets' difference. Offsets in words come along."""
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    start = np.append(0, np.cumsum(bits >> 6))
+    row = np.repeat(np.arange(len(size)), size)
+    at = (flat & (bits[row] - 1).astype(np.uint64)).astype(np.int64) + start[row] * 64
+    odd = np.bincount(at, minlength=int(start[-1]) * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8"), start
+
+
 def classes(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, n_shingles and class (null without words) of every document."""
+    """doc_id, n_shingles and class (null without words) of every document; a class' first row in a task has
+    its bitmap. Rows with ``counts`` instead hold grams that several classes of a task share, with their number."""
     ship(docs.sparkSession)
+    schema = "doc_id long, n_shingles long, class long, bitmap array<long>, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+        many = 0
+
+        def counted() -> pa.RecordBatch:
+            values = np.sort(np.concatenate(held))
+            at = runs.group_starts(values)
+            times = np.diff(np.append(at, len(values)))
+            often = times >= LOCAL
+            data = values[at][often].tobytes() + times[often].astype("<i8").tobytes()
+            null = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([*null, pa.array([data], pa.binary())], ["doc_id", "n_shingles", "class", "bitmap", "counts"])
+
         for batch, buf, off in blocks(batches, "text"):
             flat, own = doc_sets(buf, off, n)
-            name = set_class(flat, own).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.diff(own)), pa.array(name, mask=np.diff(own) == 0)], ["doc_id", "n_shingles", "class"])
+            name, size = set_class(flat, own), np.diff(own)
+            fresh = np.zeros(len(name), bool)
+            for i, x in enumerate(name.tolist()):
+                if x and x not in seen:
+                    seen.add(x)
+                    fresh[i] = True
+            grams = flat[np.repeat(fresh, size)]
+            words, start = _sketch(name[fresh], grams, own, size[fresh])
+            maps = iter(np.split(words.view(np.int64), start[1:-1]))
+            bitmaps = [next(maps) if f else None for f in fresh.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), pa.array(size), pa.array(name.view(np.int64), mask=size == 0), pa.array(bitmaps, pa.list_(pa.int64())), pa.nulls(len(size), pa.binary())], ["doc_id", "n_shingles", "class", "bitmap", "counts"]
+            )
+            held.append(grams)
+            many += len(grams)
+            if many >= runs.GATHER:
+                yield counted()
+                held, many = [], 0
+        if many:
+            yield counted()
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def frequent_grams(found: DataFrame, share: int = SHARE) -> np.ndarray:
+    """Sorted grams that one in ``share`` classes holds, as counted by the tasks that met them repeatedly.
+
+    At most ``share`` times the mean set size of them can exist, so the list has a bound. Which grams it holds
+    only steers where sets meet, never the result.
+    """
+    from inkwell.llm.textbuf import tidy
+
+    total = found.where("class IS NOT NULL").agg(F.count_if(F.col("bitmap").isNotNull())).first()[0]
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class long")
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                n = len(data) // 16
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data, "<i8", n)), pa.array(np.frombuffer(data, "<i8", n, n * 8))], ["gram", "n"])
+        tidy()
 
+    counts = found.where("counts IS NOT NULL").select("counts").mapInArrow(spread, "gram long, n long")
+    often = counts.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2 * LOCAL, total // share))
+    rows = often.select("gram").toPandas()["gram"].to_numpy()
+    return np.sort(rows.astype(np.int64).view(np.uint64))
 
-def buckets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+
+def buckets(docs: DataFrame, frequent: np.ndarray, n: int = N, percent: int = PERCENT) -> DataFrame:
     """(bucket, node, size, place): classes that share a segment, in order of their name."""
     parts = runs.partitions_for(docs)
     ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -154,7 +233,7 @@ def buckets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
                     fresh[i] = True
             keep = np.repeat(fresh, np.diff(own))
             own = np.append(0, np.cumsum(np.diff(own)[fresh]))
-            row, sig = segments(flat[keep], own, percent)
+            row, sig = segments(flat[keep], own, percent, shared.value)
             name = name[fresh]
             held.append((sig, name[row], np.diff(own)[row]))
             many += len(sig)
@@ -175,7 +254,7 @@ def buckets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
             name.append(nodes[at])
             size.append(own[at])
         sig, name, size = np.concatenate(sig), np.concatenate(name), np.concatenate(size)
-        order = np.argsort(sig, kind="stable")  # groups of one, by far the most, go first
+        order = np.argsort(sig)  # groups of one, by far the most, go first
         at = runs.group_starts(sig[order])
         count = np.diff(np.append(at, len(sig)))
         order = order[np.repeat(count > 1, count)]
@@ -223,7 +302,7 @@ def _bitmap(nodes: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def fragments(docs: DataFrame, nodes: DataFrame, n: int = N) -> DataFrame:
-    """(node, fragment, grams) of the classes among ``nodes``."""
+    """(node, fragment, grams) of the classes among ``nodes`` and of few others."""
     bitmap, bits = _bitmap(nodes)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -248,24 +327,45 @@ def fragments(docs: DataFrame, nodes: DataFrame, n: int = N) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(part, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["node", "fragment", "grams"])
 
     found = docs.select("text").mapInArrow(run, "node long, fragment int, grams array<long>")
-    return found.join(nodes, "node", "left_semi").groupBy("node", "fragment").agg(F.first("grams").alias("grams"))
+    return found.groupBy("node", "fragment").agg(F.first("grams").alias("grams"))  # a class may come from several tasks
+
+
+def near_sketches(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose bitmaps differ in no more bits than sets within reach may."""
+    left = maps.select(F.col("class").alias("a"), F.col("bitmap").alias("_a"))
+    right = maps.select(F.col("class").alias("b"), F.col("bitmap").alias("_b"))
+    both = pairs.join(left, "a").join(right, "b")
+
+    def xor(x, y):
+        return F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+
+    def folded(long, short):  # twice as many bits fold into as many
+        half = F.size(short)
+        return xor(F.slice(long, F.lit(1), half), F.slice(long, half + 1, half))
+
+    x, y = F.col("_a"), F.col("_b")
+    mine = F.when(F.size(x) > F.size(y), folded(x, y)).otherwise(x)
+    other = F.when(F.size(y) > F.size(x), folded(y, x)).otherwise(y)
+    differ = F.aggregate(xor(mine, other), F.lit(0), lambda s, w: s + F.bit_count(w))
+    return both.where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b", "na", "nb")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b, na, nb) with ``both``: partial overlaps counted per fragment, summed per pair."""
     left = sets.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("_a"))
     right = sets.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("_a", "_b")).cast("long").alias("part"))
+    cut = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(f) for f in range(FRAGMENTS)])))
+    partial = cut.join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("_a", "_b")).cast("long").alias("part"))
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
 
 
-def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame | None:
-    """(node, component) of every class that links with another; None if none does."""
-    rows = settle(buckets(docs, n, percent))
-    nodes = rows.select("node").distinct()
+def links(docs: DataFrame, found: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame | None:
+    """(node, component) of every class that links with another, given ``classes``; None if none does."""
+    rows = settle(buckets(docs, frequent_grams(found), n, percent))
     if rows.isEmpty():
         return None
-    sets = settle(fragments(docs, nodes, n))
+    maps = found.where("bitmap IS NOT NULL").select("class", "bitmap").join(rows.select(F.col("node").alias("class")), "class", "left_semi")
+    maps = settle(maps.groupBy("class").agg(F.first("bitmap").alias("bitmap")))
     tested = edges = group = None
     low, high = 0, 1
     while True:
@@ -285,13 +385,16 @@ def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame | No
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = settle(pairs)
         if not pairs.isEmpty():
-            good = overlaps(pairs, sets).where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent)
-            found = settle(good.select(F.col("a").alias("u"), F.col("b").alias("v")))
             own = pairs.select("a", "b")
             tested = own if tested is None else tested.unionByName(own)
-            if not found.isEmpty():
-                edges = found if edges is None else edges.unionByName(found)
-                group = settle(components(edges))
+            likely = settle(near_sketches(pairs, maps, percent))
+            if not likely.isEmpty():
+                nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+                good = overlaps(likely, fragments(docs, nodes, n)).where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent)
+                linked_now = settle(good.select(F.col("a").alias("u"), F.col("b").alias("v")))
+                if not linked_now.isEmpty():
+                    edges = linked_now if edges is None else edges.unionByName(linked_now)
+                    group = settle(components(edges))
         elif open_.isEmpty():
             return group
         low, high = high, high * 8
@@ -300,8 +403,9 @@ def links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame | No
 def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class and component_id (the smallest doc_id reachable by links) of every document."""
     docs = docs.select("doc_id", "text")
-    own = settle(classes(docs, n))
-    group = links(docs, n, percent)
+    found = settle(classes(docs, n))
+    group = links(docs, found, n, percent)
+    own = found.where("counts IS NULL").select("doc_id", "n_shingles", "class")
     named = own.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("_least"))
     if group is None:
         top = named.select("class", F.col("_least").alias("component_id"))
