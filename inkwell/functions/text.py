@@ -65,17 +65,21 @@ def near_dup_tokens(text: Column) -> Column:
 
 def grams(tokens: Column, n: int) -> Column:
     """Every run of n tokens, joined by spaces; none if there are fewer."""
-    def at(i: Column) -> Column:
-        return F.array_join(F.slice(tokens, i, F.lit(n)), " ")
+    none = F.array().cast("array<string>")
 
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), at)).otherwise(F.array().cast("array<string>"))
+    def runs(t: Column) -> Column:
+        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))).otherwise(none)
+
+    return let(tokens, runs)  # else the tokens would be cut anew for every run
 
 
 def repetition(text: Column, n: int = 4) -> Column:
-    """Share of word n-grams that repeat an earlier one; 0 below n + 1 words."""
-    tokens = words(F.lower(text))
-    own = grams(tokens, n)
-    return F.when(F.size(tokens) < n + 1, F.lit(0.0)).otherwise(F.lit(1.0) - F.size(F.array_distinct(own)) / F.size(own))
+    """Share of word n-grams that repeat an earlier one; 0 up to n words."""
+
+    def share(own: Column) -> Column:
+        return F.when(F.size(own) < 2, F.lit(0.0)).otherwise(F.lit(1.0) - F.size(F.array_distinct(own)) / F.size(own))
+
+    return let(grams(words(F.lower(text)), n), share)
 
 
 def sentences(text: Column) -> Column:
@@ -96,11 +100,16 @@ def lines(text: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Blank-line paragraphs; a single giant one becomes groups of sentences."""
-    plain = F.filter(F.transform(F.split(text, rx(r"\n\s*\n"), -1), strip), lambda s: s != "")
-    own = sentences(F.element_at(plain, 1))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1)), F.lit(X.SENTENCE_GROUP))
-    packed = F.transform(starts, lambda i: F.array_join(F.slice(own, i, F.lit(X.SENTENCE_GROUP)), " "))
-    return F.when((F.size(plain) == 1) & (word_count(F.element_at(plain, 1)) > X.GIANT_PARAGRAPH), packed).otherwise(plain)
+
+    def packed(own: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1)), F.lit(X.SENTENCE_GROUP))
+        return F.transform(starts, lambda i: F.array_join(F.slice(own, i, F.lit(X.SENTENCE_GROUP)), " "))
+
+    def grouped(plain: Column) -> Column:
+        first = F.get(plain, F.lit(0))
+        return F.when((F.size(plain) == 1) & (word_count(first) > X.GIANT_PARAGRAPH), let(sentences(first), packed)).otherwise(plain)
+
+    return let(F.filter(F.transform(F.split(text, rx(r"\n\s*\n"), -1), strip), lambda s: s != ""), grouped)
 
 
 def bin_of(value: Column, edges: tuple[int, ...]) -> Column:

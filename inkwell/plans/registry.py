@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.plans import text_queries
+from inkwell.plans import record_queries, style_queries, text_queries
 
-QUERIES: dict = {**text_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**text_queries.ORACLE_SQL}
+QUERIES: dict = {**text_queries.QUERIES, **style_queries.QUERIES, **record_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**text_queries.ORACLE_SQL, **style_queries.ORACLE_SQL, **record_queries.ORACLE_SQL}

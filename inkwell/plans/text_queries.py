@@ -270,13 +270,13 @@ def size_sweep(spark, sf_dir):
     return splits.sweep_manifest(_sweep(spark, sf_dir), "doc_id")
 
 
-@query("SELECT NULL::BIGINT AS doc_id, NULL::BIGINT AS in_arms, NULL::BIGINT AS arms WHERE false")
+@query(f"{_SWEEP}, f AS (SELECT doc_id, min(target) AS first, count(*) AS in_arms FROM m GROUP BY doc_id) SELECT doc_id, in_arms, count(*) AS arms FROM f JOIN (SELECT DISTINCT target FROM m) t ON t.target >= first GROUP BY ALL HAVING count(*) <> in_arms")
 def sweep_not_nested(spark, sf_dir):
     """Documents that break the nesting: none."""
     return splits.not_nested(_sweep(spark, sf_dir), "doc_id")
 
 
-@query("SELECT doc_id, source, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) + 0.5) / 20 AS position FROM documents".replace("SELECT doc_id", "SELECT doc_id, row_number() OVER (ORDER BY k, source) AS sequence, source, (k + 0.5::DOUBLE) / 20 AS position FROM (SELECT doc_id").replace(", ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) + 0.5) / 20 AS position FROM documents", ", row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents)"))
+@query("SELECT doc_id, source, row_number() OVER (ORDER BY k, source) AS sequence, (k + 0.5::DOUBLE) / 20 AS position FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents)")
 def interleave(spark, sf_dir):
     """Documents of all sources, interleaved."""
     return splits.interleave(docs(spark, sf_dir).select("doc_id", "source"), "source", ["doc_id"]).select("doc_id", "source", "sequence", "position")

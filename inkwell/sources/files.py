@@ -15,6 +15,7 @@ from pyspark.sql import types as Y
 from inkwell.functions import fixed as X
 from inkwell.functions import text as T
 from inkwell.operators import clean
+from inkwell.session import ship
 
 FORMATS = ("txt", "md", "markdown", "docx")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -61,7 +62,7 @@ def docx_text(data: bytes) -> str:
     return "\n\n".join(p for p in paragraphs if p.strip())
 
 
-@F.pandas_udf("struct<meta: map<string,string>, text: string>")
+@F.pandas_udf(Y.StructType([Y.StructField("meta", Y.MapType(Y.StringType(), Y.StringType())), Y.StructField("text", Y.StringType())]))
 def _decoded(path: pd.Series, content: pd.Series) -> pd.DataFrame:
     metas, texts = [], []
     for p, c in zip(path, content):
@@ -74,6 +75,7 @@ def _decoded(path: pd.Series, content: pd.Series) -> pd.DataFrame:
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """source (path below the folder), meta, prompt and text of every document file below a folder."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(FORMATS) + "}").load(folder)
     rows = files.select("path", _decoded("path", "content").alias("d"))
     return rows.select(F.regexp_extract("path", re.escape(folder.rstrip("/")) + "/(.*)$", 1).alias("source"), "path", F.col("d.meta").alias("meta"), F.col("d.meta")["prompt"].alias("prompt"), F.col("d.text").alias("text"))
@@ -95,7 +97,7 @@ def hosted_document_text(body: str):
     return F.coalesce(F.array_join(runs, ""), F.lit(""))
 
 
-@F.pandas_udf("array<struct<file: string, text: string>>")
+@F.pandas_udf(Y.ArrayType(Y.StructType([Y.StructField("file", Y.StringType()), Y.StructField("text", Y.StringType())])))
 def _members(content: pd.Series) -> pd.Series:
     out = []
     for c in content:
@@ -106,6 +108,7 @@ def _members(content: pd.Series) -> pd.Series:
 
 def read_blog_archives(spark: SparkSession, path: str) -> DataFrame:
     """file and text of the XML members of ZIP archives (Latin-1)."""
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select(F.explode(_members("content")).alias("m")).select("m.*")
 
 
