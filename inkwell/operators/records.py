@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,8 +177,6 @@ def lora_scale(alpha: Column, rank: Column, rank_stabilised: Column) -> Column:
 
 def update_norms(modules: DataFrame) -> DataFrame:
     """module and Frobenius norm of scale * B A, from the small r x r products (module, a, b, scale)."""
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("double")
     def norm(a: pd.Series, b: pd.Series, scale: pd.Series) -> pd.Series:

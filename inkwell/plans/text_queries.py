@@ -76,6 +76,10 @@ def _scrub_sql() -> tuple[str, list[str]]:
     for i, (kind, pattern) in enumerate(X.SCRUB_RULES):
         if kind == "HANDLE":
             n, to = f"len(regexp_extract_all(text, {S.q('(^|[^0-9A-Za-z_])@[A-Za-z_][A-Za-z0-9_]{2,}')}))", f"regexp_replace(text, {S.q('(^|[^0-9A-Za-z_])@[A-Za-z_][A-Za-z0-9_]{2,}')}, '\\1<HANDLE>', 'g')"
+        elif kind == "CARD":  # the engine's word boundary is Unicode-aware: a space before an accented letter belongs to the match
+            wide = r"\b(?:\d[ -]?){12,15}\d[ -]([^\x00-\x7F])"
+            first = f"regexp_replace(text, {S.q(wide)}, 'X_CARD_X\\1', 'g')"
+            n, to = f"len(regexp_extract_all(text, {S.q(wide)})) + len(regexp_extract_all({first}, {S.q(pattern)}))", f"replace({S.sub(first, pattern, '<CARD>')}, 'X_CARD_X', '<CARD>')"
         else:
             n, to = f"len(regexp_extract_all(text, {S.q(pattern)}))", S.sub("text", pattern, f"<{kind}>")
         ctes.append(f"s{i} AS (SELECT * REPLACE ({to} AS text), {n} AS n_{kind} FROM {prev})")

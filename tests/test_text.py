@@ -1,0 +1,203 @@
+from __future__ import annotations
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from inkwell.functions import fixed as X
+from inkwell.functions import text as T
+from inkwell.operators import chunk, clean, extract, leakage, pairs, splits
+from inkwell.operators.graph import components
+
+
+def one(spark, expr, value, name="text"):
+    return spark.createDataFrame([(value,)], f"{name} string").select(expr).first()[0]
+
+
+def test_sentences_keep_abbreviations(spark):
+    text = "Mr. Hale met Dr. Ode at 9 a.m. She was late. \"Really?\" He said no."
+    assert one(spark, T.sentences(F.col("text")), text) == ["Mr. Hale met Dr. Ode at 9 a.m.", "She was late.", '"Really?"', "He said no."]
+
+
+def test_grams_and_repetition(spark):
+    assert one(spark, T.grams(T.words(F.col("text")), 3), "a b c d") == ["a b c", "b c d"]
+    assert one(spark, T.grams(T.words(F.col("text")), 3), "a b") == []
+    assert one(spark, T.repetition(F.col("text")), "x y z w x y z w x y z w") > 0.3
+    assert one(spark, T.repetition(F.col("text")), "one two three four") == 0.0
+
+
+def test_normalize_drops_furniture_and_is_idempotent(spark):
+    raw = "Hello there friend.\r\n> quoted line\n| a | b |\nPage 3 of 9\n- one\n- two\n- three\nSee https://x.org/y now.\n\n\n\nEnd   here.\n\nBest regards,\nKim\n\nSent from my phone"
+    once = one(spark, clean.normalize(F.col("text")), raw)
+    assert "quoted" not in once and "|" not in once and "Page 3" not in once and "- one" not in once
+    assert "<link>" in once and "Sent from" not in once and "Kim" not in once
+    assert one(spark, clean.normalize(F.col("text")), once) == once
+
+
+def test_prose_ratio_and_template(spark):
+    assert one(spark, clean.prose_ratio(F.col("text")), "") == 0.0
+    prose = "This is a line of running prose with many words.\n" * 12
+    assert one(spark, clean.prose_ratio(F.col("text")), prose + "SHORT HEADING") > 0.9
+    assert not one(spark, clean.looks_like_template(F.col("text")), prose)
+    assert one(spark, clean.looks_like_template(F.col("text")), prose + " lorem ipsum")
+    assert one(spark, clean.looks_like_template(F.col("text")), "too short.")
+
+
+def test_scrub_counts_on_rewritten_text(spark):
+    rows = spark.createDataFrame([("c1", "Mail a.b@c.org or 555-123-4567, key sk-abcdefghijklmnop1234 at 12 Oak Street 90210. Ana Ana met Ana.")], "chunk_id string, text string")
+    got = clean.scrub(rows, ["Ana"]).first()
+    kinds = {r["kind"]: r["n"] for r in got["removed"]}
+    assert kinds == {"CUSTOM": 3, "SECRET": 1, "EMAIL": 1, "PHONE": 1, "ADDRESS": 1, "ZIP": 1}
+    assert "<NAME> met <NAME>" in got["text"] and "a.b@c.org" not in got["text"]
+    kept, log = clean.scrub_records(spark.createDataFrame([("c2", "Ana " * 90)], "chunk_id string, text string"), ["Ana"])
+    assert kept.count() == 0 and log.first()["placeholder_density"] == 1.0
+    assert set(log.columns) == {"chunk_id", "placeholder_density", "removed"}
+
+
+def plain_chunks(text: str, least: int, most: int) -> list[str]:
+    paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
+    go_on = re.compile(X.CONTINUATION)
+    return chunk.pack(paragraphs, [[p] for p in paragraphs], [bool(go_on.match(p)) for p in paragraphs], least, most)
+
+
+def test_chunks_stay_in_bounds_and_match_the_fold(spark):
+    rng = random.Random(3)
+    docs = []
+    for i in range(12):
+        paragraphs = [" ".join(rng.choice(["But", "Alpha", "beta", "gamma"]) for _ in range(rng.randint(5, 70))) + "." for _ in range(rng.randint(2, 9))]
+        docs.append((str(i), "\n\n".join(paragraphs)))
+    got = chunk.chunk_documents(spark.createDataFrame(docs, "doc_id string, text string"), 40, 120).collect()
+    for d, text in docs:
+        assert [r["text"] for r in sorted((r for r in got if r["doc_id"] == d), key=lambda r: r["chunk_index"])] == plain_chunks(text, 40, 120)
+    assert len({r["chunk_id"] for r in got}) == len(got) and all(r["n_words"] >= 40 for r in got)
+    assert chunk.chunk_documents(spark.createDataFrame([("x", None), ("y", "")], "doc_id string, text string")).count() == 0
+
+
+def test_longest_run_matches_brute_force(spark):
+    rng = random.Random(5)
+    train = [" ".join(rng.choice("abcd") for _ in range(60)) for _ in range(3)]
+    gens = [" ".join(rng.choice("abcd") for _ in range(10)) + " " + train[i % 3][: 2 * rng.randint(4, 50)] for i in range(6)]
+
+    def run(g):
+        g, best = g.split(), 0
+        for t in train:
+            t = t.split()
+            for i in range(len(g)):
+                for j in range(len(t)):
+                    n = 0
+                    while i + n < len(g) and j + n < len(t) and g[i + n] == t[j + n]:
+                        n += 1
+                    best = max(best, n)
+        return min(best, 80)
+
+    a = spark.createDataFrame(list(enumerate(gens)), "g long, text string")
+    b = spark.createDataFrame(list(enumerate(train)), "t long, text string")
+    got = {r["g"]: r["longest_run"] for r in leakage.longest_runs(a, b, "g", "t", n=4).collect()}
+    assert got == {i: run(g) for i, g in enumerate(gens) if run(g) >= 4}
+
+
+def test_verbatim_extremes_and_probes(spark):
+    same = " ".join(f"w{i}" for i in range(16))
+    a = spark.createDataFrame([(1, same)], "g long, text string")
+    b = spark.createDataFrame([(1, same)], "t long, text string")
+    c = spark.createDataFrame([(1, " ".join(f"z{i}" for i in range(16)))], "t long, text string")
+    assert leakage.verbatim_rate(a, b, "g", "t").first()["rate"] == 1.0
+    assert leakage.verbatim_rate(a, c, "g", "t").first()["verdict"] == "PASS"
+    probes = leakage.fact_probes(spark.createDataFrame([(1, "In the long summer of that year we met Margaret near the lake. Too short.")], "d long, text string"), "d").collect()
+    assert [(p["answer"], "____" in p["probe"]) for p in probes] == [("Margaret", True)]
+
+
+def test_near_duplicates_group_and_split(spark):
+    passage = " ".join(f"passage{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    docs = [(i, f"doc {i} " + " ".join(f"word{chr(97 + i)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(80)), "formal") for i in range(8)]
+    docs += [(8, passage, "formal"), (9, passage + " tail", "formal")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, register string")
+    groups = {r["doc_id"]: r["group"] for r in splits.near_duplicate_groups(df, "doc_id").collect()}
+    assert groups == {i: i for i in range(8)} | {8: 8, 9: 8}
+    rows = splits.split_documents(df, "doc_id", "register", 0.2, 0.2)
+    assert splits.split_overlap(rows, "group").count() == 0
+    assert {r["split"] for r in rows.collect()} == {"train", "val", "blind"}
+
+
+def test_split_sizes(spark):
+    for n, want in ((20, (12, 4, 4)), (3, (1, 1, 1)), (2, (1, 0, 1)), (1, (1, 0, 0))):
+        got = splits.group_split(spark.createDataFrame([(i, "r") for i in range(n)], "group long, register string"), 0.2, 0.2).groupBy("split").count().collect()
+        sizes = {r["split"]: r["count"] for r in got}
+        assert tuple(sizes.get(s, 0) for s in ("train", "val", "blind")) == want
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]
+    parent = {}
+
+    def top(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: top(x) for x in list(parent)}
+
+
+def test_sweep_is_nested(spark):
+    df = spark.createDataFrame([(i, 100 + i) for i in range(60)], "doc_id long, n_words long")
+    sweep = splits.size_sweep(df, "doc_id", (500, 2000))
+    assert splits.not_nested(sweep, "doc_id").count() == 0
+    m = {r["label"]: r for r in splits.sweep_manifest(sweep, "doc_id").collect()}
+    assert m["full"]["documents"] == 60 and 500 <= m["0k"]["actual_words"] < 700
+
+
+def test_pairs_prompts_and_resume(spark):
+    chunks = spark.createDataFrame([("d-000", "d", 0, "Why?", "some text here"), ("d-001", "d", 1, "Why?", "more text here")], "chunk_id string, doc_id string, chunk_index int, prompt string, text string")
+    rows = pairs.build_pairs(chunks).collect()
+    assert sorted(r["pair_id"] for r in rows) == ["d-000-q0", "d-001-q0", "d-001-q1"]
+    assert {r["generator"] for r in rows if r["chunk_id"] == "d-000"} == {"supplied-prompt"} and rows[0]["register"] == "unknown" and rows[0]["n_words"] == 3
+    assert pairs.build_pairs(chunks, scope="all_chunks").count() == 2
+    done = spark.createDataFrame([("d-000",)], "chunk_id string")
+    assert pairs.build_pairs(chunks, done=done).count() == 2
+
+
+def test_self_continuation_loses_nothing(spark):
+    text = "One starts here with some words. Two follows on with a few more words.\n\nThree comes after the break and keeps going. Four ends the passage with enough words to count as a rest."
+    row = pairs.self_continuation(spark.createDataFrame([("p", text)], "pair_id string, response string")).first()
+    lead = row["prompt"][0]["content"].removeprefix(X.CONTINUE_INSTRUCTION)
+    assert text.startswith(lead) and text[len(lead) :].strip() == row["completion"][0]["content"]
+    assert pairs.self_continuation(spark.createDataFrame([("p", "Too short.")], "pair_id string, response string")).count() == 0
+
+
+def test_preference_gates(spark):
+    refs = spark.createDataFrame([("a", "x " * 20), ("b", "x " * 20), ("c", "x " * 20)], "pair_id string, response string")
+    words = " ".join(f"w{i}" for i in range(20))
+    gens = spark.createDataFrame([("a", words, 0), ("b", "w " * 40, 0), ("c", words[:20], 0)], "pair_id string, completion string, seq int")
+    got = {r["pair_id"]: r["outcome"] for r in pairs.preference_pairs(refs, gens).collect()}
+    assert got == {"a": "kept", "b": "dropped_degenerate", "c": "pending"}
+    final = {r["pair_id"]: r["outcome"] for r in pairs.regenerate(refs, lambda p, k: gens.join(p.select("pair_id"), "pair_id"), 1).collect()}
+    assert final["c"] == "dropped_length"
+
+
+def test_sections_drop_the_table_of_contents(spark):
+    body = "This is a proper sentence of prose with several words in it. " * 8
+    book = "CHAPTER I.\nCHAPTER II.\n\nPREFACE\n\nCHAPTER I.\n\n" + body + "\n\nCHAPTER II.\n\n" + body
+    got = extract.sections(spark.createDataFrame([(1, book)], "b long, text string"), "b", least=20).orderBy("pos").collect()
+    assert [r["title"] for r in got] == ["CHAPTER I.", "CHAPTER II."]
+
+
+def test_blog_posts_and_bloggers(spark):
+    post = "<post>I went out &amp; I saw <b>it</b> urlLink " + "my day was long " * 30 + "</post>"
+    files = [("1.male.25.tech.Leo.xml", post * 60), ("2.male.17.tech.Leo.xml", post * 60), ("3.female.30.law.Leo.xml", "<post>" + "quoted words only " * 60 + "</post>" * 1)]
+    got = extract.bloggers(spark.createDataFrame(files, "file string, text string"))
+    rows = got.collect()
+    assert [r["id"] for r in rows] == ["1"] and rows[0]["posts"] == 60
+    assert extract.best_blogger(got).first()["id"] == "1"
+
+
+def test_paste_scores(spark):
+    rows = [("typed", float(i), 100 * i) for i in range(5)] + [("pasted", 0.0, 0), ("pasted", 1.0, 100), ("pasted", 1.5, 1100)] + [("single", 0.0, 5), ("gap", 0.0, None), ("gap", 1.0, 10)]
+    got = {r["f"]: round(r["paste_score"], 4) for r in extract.paste_scores(spark.createDataFrame(rows, "f string, minutes double, chars long"), "f").collect()}
+    assert got == {"typed": 0.0, "pasted": round(1000 / 1100, 4), "single": -1.0, "gap": -1.0}
