@@ -11,9 +11,10 @@ is then counted fragment by fragment and summed.
   the global order; two such sets meet there. No pair at or above the threshold is missed.
 * Sets that are equal form a class, found by their own hash, and a class joins once. Buckets with the same
   members are one bucket.
-* A bucket's members are compared with its first member, then with the next seven, and so on, eight
-  times as many each round; members already in one component need no comparison. So a group of
-  copies costs a multiple of its size, and the links lose no component.
+* Buckets connect classes into clusters. A cluster of bounded size goes to one task, which counts overlaps
+  exactly and skips classes that are linked already. In a larger one, members of a bucket are compared with
+  its first member, then with the next seven, and so on, eight times as many each round; sketches of the sets
+  come first, then overlaps fragment by fragment. Members of one component need no comparison.
 
 Scale: segments travel as arrays, one per task and vertical partition (12 bytes a segment); partitions
 follow the input's size. The grams themselves travel only for classes that share a bucket: a bitmap of
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import runs
+from inkwell.llm.superkmer import _spread
 from inkwell.llm.textbuf import LOWER, blocks, cut_words, gram_hashes, mix, ship, word_hashes
 from inkwell.operators.graph import components
 from inkwell.session import settle
@@ -42,6 +44,8 @@ PERCENT = 80
 #: Parts that verification cuts a set into.
 FRAGMENTS = 4
 FILTER_BITS = 1 << 27
+#: Grams of a cluster that one task compares (64 MB).
+CLUSTER = 8 << 20
 #: A gram is counted where a task's gathering has it so often, and frequent if one in SHARE classes has it.
 LOCAL, SHARE = 4, 1000
 
@@ -301,8 +305,8 @@ def _bitmap(nodes: DataFrame) -> tuple[np.ndarray, int]:
     return out, bits
 
 
-def fragments(docs: DataFrame, nodes: DataFrame, n: int = N) -> DataFrame:
-    """(node, fragment, grams) of the classes among ``nodes`` and of few others."""
+def fragments(docs: DataFrame, nodes: DataFrame, n: int = N, whole: bool = False) -> DataFrame:
+    """(node, fragment, grams) of the classes among ``nodes`` and of few others; ``whole``: in one fragment."""
     bitmap, bits = _bitmap(nodes)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -319,7 +323,7 @@ def fragments(docs: DataFrame, nodes: DataFrame, n: int = N) -> DataFrame:
                     continue
                 seen.add(int(name[i]))
                 values = flat[own[i] : own[i + 1]]
-                cuts = np.searchsorted(values, np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(62))
+                cuts = [] if whole else np.searchsorted(values, np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(62))
                 for f, piece in enumerate(np.split(values, cuts)):
                     node.append(int(name[i : i + 1].view(np.int64)[0]))
                     part.append(f)
@@ -330,6 +334,54 @@ def fragments(docs: DataFrame, nodes: DataFrame, n: int = N) -> DataFrame:
     return found.groupBy("node", "fragment").agg(F.first("grams").alias("grams"))  # a class may come from several tasks
 
 
+def _fold(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bitmaps as rows of one width, longer ones folded to the shortest."""
+    sizes = np.diff(offsets)
+    least = int(sizes.min())
+    out = np.zeros((len(sizes), least), np.uint64)
+    for width in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == width)
+        out[own] = np.bitwise_xor.reduce(words[_spread(offsets[own], np.full(len(own), width))].reshape(len(own), width // least, least), axis=1)
+    return out
+
+
+def possible_links(rows: DataFrame, found: DataFrame, parts: int, percent: int) -> DataFrame:
+    """(u, v) edges that connect classes of a bucket whose sketches allow a link, without those that add nothing:
+    a bucket of m classes gives fewer than m."""
+    maps = found.where("bitmap IS NOT NULL").select(F.col("class").alias("node"), "bitmap")
+    maps = maps.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("bitmap").alias("bitmap"))
+    placed = rows.join(maps, "node").select(F.pmod("bucket", F.lit(parts)).alias("part"), "bucket", "node", "size", "bitmap")
+
+    def connect(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket").to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        node, size = table.column("node").to_numpy()[order], table.column("size").to_numpy()[order]
+        offsets, words = _lists(table.column("bitmap").take(pa.array(order)))
+        words = words.view(np.uint64)
+        at = runs.group_starts(bucket[order])
+        u, v = [], []
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
+            bits = _fold(words, offsets[a : b + 1])
+            own = size[a:b]
+            root = np.arange(b - a)
+            for i in range(b - a - 1):
+                later = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+                later = later[(np.minimum(own[i], own[later]) * 100 >= np.maximum(own[i], own[later]) * percent)]
+                if not len(later):
+                    continue
+                both = own[i] + own[later]
+                differ = np.bitwise_count(bits[later] ^ bits[i]).sum(1, dtype=np.int64)
+                hit = later[differ * (100 + percent) <= both * (100 - percent)]
+                if len(hit):
+                    new = np.unique(root[hit], return_index=True)[1]
+                    u += node[a + hit[new]].tolist()
+                    v += [int(node[a + i])] * len(new)
+                    root[np.isin(root, root[hit])] = root[i]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return placed.groupBy("part").applyInArrow(connect, "u long, v long").distinct()
+
+
 def near_sketches(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """Pairs whose bitmaps differ in no more bits than sets within reach may."""
     left = maps.select(F.col("class").alias("a"), F.col("bitmap").alias("_a"))
@@ -359,11 +411,85 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
 
 
-def links(docs: DataFrame, found: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame | None:
-    """(node, component) of every class that links with another, given ``classes``; None if none does."""
+def cluster_links(table: pa.Table, percent: int) -> pa.Table:
+    """(node, component) of whole clusters (node, cluster, grams), by exact overlaps.
+
+    Every set marks its grams in turn; the marks in each fragment of a later set are their partial overlap, and
+    the sum over the fragments is the pair's. Sets that are linked already, or whose sizes lie too far apart, aren't
+    compared.
+    """
+    nodes, roots = [], []
+    names = table.column("node").to_numpy()
+    cluster = table.column("cluster").to_numpy()
+    offsets, flat = _lists(table.column("grams"))
+    for _, own in runs.split(np.unique(cluster, return_inverse=True)[1]):
+        own = own[np.argsort(names[own])]
+        size = offsets[own + 1] - offsets[own]
+        grams = flat[_spread(offsets[own], size)]
+        universe, ids = np.unique(grams, return_inverse=True)
+        base = np.append(0, np.cumsum(size))
+        piece = (grams.view(np.uint64) >> np.uint64(62)).astype(np.int64)  # fragments of the global order
+        cuts = np.stack([np.bincount(np.repeat(np.arange(len(own)), size)[piece == f], minlength=len(own)) for f in range(FRAGMENTS)], 1)
+        root = np.arange(len(own))
+        mark = np.zeros(len(universe), np.int64)
+        for i in range(len(own) - 1):
+            later = np.arange(i + 1, len(own))
+            later = later[(root[later] != root[i]) & (np.minimum(size[later], size[i]) * 100 >= np.maximum(size[later], size[i]) * percent)]
+            if not len(later):
+                continue
+            mine = ids[base[i] : base[i + 1]]
+            mark[mine] = 1
+            part = size[later]
+            seen = np.append(0, np.cumsum(mark[ids[_spread(base[later], part)]]))
+            ends = np.cumsum(cuts[later].ravel())
+            partial = np.diff(np.append(0, seen[ends])).reshape(len(later), FRAGMENTS)
+            both = partial.sum(1)
+            mark[mine] = 0
+            hit = later[both * 100 >= (size[i] + part - both) * percent]
+            if len(hit):
+                joined = np.unique(np.append(root[hit], root[i]))
+                root[np.isin(root, joined)] = joined[0]
+        nodes.append(names[own])
+        roots.append(names[own][root])
+    return pa.table({"node": np.concatenate(nodes), "component": np.concatenate(roots)})
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a list column."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(whole, pa.ChunkedArray):
+        whole = pa.concat_arrays(whole.chunks)
+    offsets = whole.offsets.to_numpy().astype(np.int64)
+    return offsets, whole.values.to_numpy()
+
+
+def links(docs: DataFrame, found: DataFrame, n: int = N, percent: int = PERCENT, most: int = CLUSTER) -> DataFrame | None:
+    """(node, component) of every class that shares a bucket, given ``classes``; None if none does.
+
+    Classes of a bucket whose sketches allow a link are connected; outside the clusters that they form nothing can
+    link. A cluster of up to ``most`` grams is
+    settled by one task; the classes of larger ones are compared pair by pair in ``rounds_of``.
+    """
     rows = settle(buckets(docs, frequent_grams(found), n, percent))
     if rows.isEmpty():
         return None
+    cluster = components(possible_links(rows, found, runs.partitions_for(docs), percent)).withColumnRenamed("component", "cluster")
+    sized = settle(rows.select("node", "size").distinct().join(cluster, "node"))
+    sums = sized.groupBy("cluster").agg(F.sum("size").alias("_grams"))
+    large = settle(sums.where(F.col("_grams") > most).select("cluster"))
+    small = sized.join(large, "cluster", "left_anti").select("node", "cluster")
+    parts = runs.partitions_for(docs)
+    sets = fragments(docs, sized.select("node"), n, whole=True).join(small, "node")
+    placed = sets.withColumn("part", F.pmod(F.xxhash64("cluster"), F.lit(parts)))
+    out = placed.groupBy("part").applyInArrow(lambda t: cluster_links(t, percent), "node long, component long")
+    if not large.isEmpty():
+        rest = rounds_of(docs, found, settle(rows.join(sized.join(large, "cluster", "left_semi").select("node"), "node", "left_semi")), n, percent)
+        out = out if rest is None else out.unionByName(rest)
+    return settle(out)
+
+
+def rounds_of(docs: DataFrame, found: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame | None:
+    """(node, component) of linked classes in buckets of any size, members against one, eight, 64 ... leaders."""
     maps = found.where("bitmap IS NOT NULL").select("class", "bitmap").join(rows.select(F.col("node").alias("class")), "class", "left_semi")
     maps = settle(maps.groupBy("class").agg(F.first("bitmap").alias("bitmap")))
     tested = edges = group = None
