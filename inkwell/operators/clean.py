@@ -47,9 +47,12 @@ def normalize(text: Column, drop_bullet_runs: bool = True) -> Column:
 
 def prose_ratio(text: Column) -> Column:
     """Share of non-empty lines of at least eight words that aren't headings; 0 without lines."""
-    own = T.lines(text)
-    prose = F.filter(own, lambda s: (T.word_count(s) >= 8) & ~T.matches(s, X.HEADING_ONLY))
-    return F.when(F.size(own) == 0, F.lit(0.0)).otherwise(F.size(prose) / F.size(own))
+
+    def share(own: Column) -> Column:
+        prose = F.filter(own, lambda s: (T.word_count(s) >= 8) & ~T.matches(s, X.HEADING_ONLY))
+        return F.when(F.size(own) == 0, F.lit(0.0)).otherwise(F.size(prose) / F.size(own))
+
+    return T.let(T.lines(text), share)
 
 
 def looks_like_template(text: Column, min_words: int = X.TEMPLATE_MIN_WORDS) -> Column:
@@ -59,10 +62,9 @@ def looks_like_template(text: Column, min_words: int = X.TEMPLATE_MIN_WORDS) ->
     for phrase in X.TEMPLATE_HINTS:
         hint = hint | low.contains(phrase)
     n = T.word_count(text)
-    own = T.lines(text)
-    short = F.size(F.filter(own, lambda s: T.word_count(s) <= 4))
     stops = F.length(text) - F.length(F.translate(text, ".?!", ""))
-    return hint | (n < min_words) | ((F.size(own) > 0) & (short / F.size(own) > 0.6)) | (stops < n / 60)
+    short = lambda own: (F.size(own) > 0) & (F.size(F.filter(own, lambda s: T.word_count(s) <= 4)) / F.size(own) > 0.6)
+    return hint | (n < min_words) | T.let(T.lines(text), short) | (stops < n / 60)
 
 
 def skip_reason(text: Column, min_prose_ratio: float = X.MIN_PROSE_RATIO, keep_templates: bool = False) -> Column:

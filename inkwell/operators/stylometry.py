@@ -7,7 +7,7 @@ Documents are measured one by one and summed, so sentences and vocabulary segmen
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import fixed as X
@@ -22,10 +22,6 @@ BLOCKS = {
 }
 
 
-def _in(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with tokens, sentences and the lengths of sentences in tokens."""
     out = docs.withColumns({"_tok": T.style_tokens(F.col("text")), "_sent": T.sentences(F.col("text"))})
@@ -50,7 +46,7 @@ def document_counts(docs: DataFrame, *by: str) -> DataFrame:
     """Additive counts of every document, with the columns ``by``."""
     d = measured(docs)
     chars = lambda c: F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))
-    said = lambda words: F.size(F.filter("_tok", lambda w: F.array_contains(_in(words), w)))
+    said = lambda words: F.size(F.filter("_tok", lambda w: w.isin(words)))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     return d.select(
         *by,
@@ -105,10 +101,10 @@ def block_counts(docs: DataFrame, *by: str) -> DataFrame:
     """(by..., block, key, n): raw counts of every distribution."""
     d = measured(docs)
     entry = lambda block, key: F.struct(F.lit(block).alias("block"), key.alias("key"))
-    words = F.transform(F.filter("_tok", lambda w: F.array_contains(_in(X.FUNCTION_WORDS), w)), lambda w: entry("function_words", w))
-    letters = F.transform(F.filter(F.split("text", ""), lambda c: F.array_contains(_in(X.PUNCTUATION), c)), lambda c: entry("punctuation", c))
+    words = F.transform(F.filter("_tok", lambda w: w.isin(X.FUNCTION_WORDS)), lambda w: entry("function_words", w))
+    letters = F.transform(F.filter(F.split("text", ""), lambda c: c.isin(X.PUNCTUATION)), lambda c: entry("punctuation", c))
     first = F.filter(F.transform("_sent", lambda s: F.get(T.style_tokens(s), F.lit(0))), lambda w: w.isNotNull())
-    opener = F.transform(first, lambda w: entry("openers", F.when(F.array_contains(_in(X.FUNCTION_WORDS), w), w).otherwise(F.lit("<content>"))))
+    opener = F.transform(first, lambda w: entry("openers", F.when(w.isin(X.FUNCTION_WORDS), w).otherwise(F.lit("<content>"))))
     hist = lambda a, edges, name: F.filter(F.transform(a, lambda x: entry(name, T.bin_of(x, edges).cast("string"))), lambda e: e["key"].isNotNull())
     sent = hist(F.col("_len"), X.SENTENCE_BINS, "sent_len_hist")
     word = hist(F.transform("_tok", F.length), X.WORD_BINS, "word_len_hist")
@@ -174,8 +170,6 @@ def bootstrap_ci(docs: DataFrame, corpus: str, a: str, b: str, key: str, replica
     A draw is a hash of replicate, side and place, so it is the same in any engine. Draws become multiplicities
     per (replicate, text) before they meet the text's counts; one aggregation serves all replicates.
     """
-    from pyspark.sql import Window
-
     sides = docs.where(F.col(corpus).isin(a, b))
     order = Window.partitionBy(corpus).orderBy(key)
     placed = sides.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(corpus)))
