@@ -46,8 +46,11 @@ FRAGMENTS = 4
 FILTER_BITS = 1 << 27
 #: Grams of a cluster that one task compares (64 MB).
 CLUSTER = 8 << 20
-#: A gram is counted where a task's gathering has it so often, and frequent if one in SHARE classes has it.
-LOCAL, SHARE = 4, 1000
+#: Members from which a bucket is dealt by itself.
+SPREAD = 256
+#: A gram is counted where a task's gathering of COUNTED grams has it LOCAL times; of the frequent ones so many are
+#: listed (16 MB).
+COUNTED, LOCAL, LISTED = 4_000_000, 3, 1 << 21
 
 
 def doc_sets(buf: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +180,7 @@ def classes(docs: DataFrame, n: int = N) -> DataFrame:
             )
             held.append(grams)
             many += len(grams)
-            if many >= runs.GATHER:
+            if many >= COUNTED:
                 yield counted()
                 held, many = [], 0
         if many:
@@ -186,31 +189,35 @@ def classes(docs: DataFrame, n: int = N) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def frequent_grams(found: DataFrame, share: int = SHARE) -> np.ndarray:
-    """Sorted grams that one in ``share`` classes holds, as counted by the tasks that met them repeatedly.
+def frequent_grams(found: DataFrame, most: int = LISTED) -> np.ndarray:
+    """Sorted grams that several classes hold, as counted by the tasks that met them repeatedly: at most ``most``,
+    those of the highest powers of two if there are more.
 
-    At most ``share`` times the mean set size of them can exist, so the list has a bound. Which grams it holds
-    only steers where sets meet, never the result.
+    Which grams it holds only steers where sets meet, never the result.
     """
-    from inkwell.llm.textbuf import tidy
-
-    total = found.where("class IS NOT NULL").agg(F.count_if(F.col("bitmap").isNotNull())).first()[0]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 n = len(data) // 16
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data, "<i8", n)), pa.array(np.frombuffer(data, "<i8", n, n * 8))], ["gram", "n"])
-        tidy()
 
     counts = found.where("counts IS NOT NULL").select("counts").mapInArrow(spread, "gram long, n long")
-    often = counts.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2 * LOCAL, total // share))
-    rows = often.select("gram").toPandas()["gram"].to_numpy()
+    often = settle(counts.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= 2 * LOCAL))
+    level = F.floor(F.log2("n"))
+    least, listed = 64, 0
+    for r in often.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # at most 64 rows
+        listed += r["n"]
+        if listed > most:
+            break
+        least = r["level"]
+    rows = often.where(level >= least).select("gram").toPandas()["gram"].to_numpy()
     return np.sort(rows.astype(np.int64).view(np.uint64))
 
 
 def buckets(docs: DataFrame, frequent: np.ndarray, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """(bucket, node, size, place): classes that share a segment, in order of their name."""
+    """(bucket, node, size, place, lead, members): classes that share a segment, in order of their name, with the
+    bucket's first class and its number of classes."""
     parts = runs.partitions_for(docs)
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -279,9 +286,10 @@ def buckets(docs: DataFrame, frequent: np.ndarray, n: int = N, percent: int = PE
         pick[once] = True
         place = np.arange(len(v)) - np.repeat(at, count)
         own = np.repeat(pick, count)
-        return pa.table({"bucket": np.repeat(bucket, count)[own].view(np.int64), "node": v[own].view(np.int64), "size": size[order][own].astype(np.int64), "place": place[own].astype(np.int32)})
+        each = lambda x: np.repeat(x, count)[own]
+        return pa.table({"bucket": each(bucket).view(np.int64), "node": v[own].view(np.int64), "size": size[order][own].astype(np.int64), "place": place[own].astype(np.int32), "lead": each(v[at]).view(np.int64), "members": each(count).astype(np.int32)})
 
-    found = docs.select("text").mapInArrow(emit, runs.PACKETS).groupBy("part").applyInArrow(meet, "bucket long, node long, size long, place int")
+    found = docs.select("text").mapInArrow(emit, runs.PACKETS).groupBy("part").applyInArrow(meet, "bucket long, node long, size long, place int, lead long, members int")
     return found.dropDuplicates(["bucket", "node"])
 
 
@@ -306,7 +314,8 @@ def _bitmap(nodes: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def fragments(docs: DataFrame, nodes: DataFrame, n: int = N, whole: bool = False) -> DataFrame:
-    """(node, fragment, grams) of the classes among ``nodes`` and of few others; ``whole``: in one fragment."""
+    """(node, fragment, grams) of the classes among ``nodes`` and of few others; ``whole``: in one fragment, and
+    once for each task that met the class."""
     bitmap, bits = _bitmap(nodes)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -331,6 +340,8 @@ def fragments(docs: DataFrame, nodes: DataFrame, n: int = N, whole: bool = False
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(part, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["node", "fragment", "grams"])
 
     found = docs.select("text").mapInArrow(run, "node long, fragment int, grams array<long>")
+    if whole:
+        return found
     return found.groupBy("node", "fragment").agg(F.first("grams").alias("grams"))  # a class may come from several tasks
 
 
@@ -346,11 +357,13 @@ def _fold(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def possible_links(rows: DataFrame, found: DataFrame, parts: int, percent: int) -> DataFrame:
-    """(u, v) edges that connect classes of a bucket whose sketches allow a link, without those that add nothing:
-    a bucket of m classes gives fewer than m."""
+    """(u, v) edges that connect classes of a bucket whose sketches allow a link; a task leaves out those that join
+    what it has joined, so m classes give it fewer than m."""
     maps = found.where("bitmap IS NOT NULL").select(F.col("class").alias("node"), "bitmap")
     maps = maps.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("bitmap").alias("bitmap"))
-    placed = rows.join(maps, "node").select(F.pmod("bucket", F.lit(parts)).alias("part"), "bucket", "node", "size", "bitmap")
+    # buckets of one group mostly share their first class; those of many members are spread all the same
+    part = F.when(F.col("members") <= SPREAD, F.xxhash64("lead")).otherwise(F.col("bucket"))
+    placed = rows.join(maps, "node").select(F.pmod(part, F.lit(parts)).alias("part"), "bucket", "node", "size", "bitmap")
 
     def connect(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket").to_numpy()
@@ -359,24 +372,35 @@ def possible_links(rows: DataFrame, found: DataFrame, parts: int, percent: int)
         offsets, words = _lists(table.column("bitmap").take(pa.array(order)))
         words = words.view(np.uint64)
         at = runs.group_starts(bucket[order])
+        ids = np.unique(node, return_inverse=True)[1]
+        parent = np.arange(len(node))
+
+        def tops(x: np.ndarray) -> np.ndarray:
+            top = parent[x]
+            while (parent[top] != top).any():
+                top = parent[top]
+            parent[x] = top
+            return top
+
         u, v = [], []
         for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
-            bits = _fold(words, offsets[a : b + 1])
-            own = size[a:b]
-            root = np.arange(b - a)
+            root = tops(ids[a:b])
+            if (root == root[0]).all():
+                continue
+            bits, own = _fold(words, offsets[a : b + 1]), size[a:b]
             for i in range(b - a - 1):
                 later = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-                later = later[(np.minimum(own[i], own[later]) * 100 >= np.maximum(own[i], own[later]) * percent)]
+                later = later[np.minimum(own[i], own[later]) * 100 >= np.maximum(own[i], own[later]) * percent]
                 if not len(later):
                     continue
-                both = own[i] + own[later]
                 differ = np.bitwise_count(bits[later] ^ bits[i]).sum(1, dtype=np.int64)
-                hit = later[differ * (100 + percent) <= both * (100 - percent)]
+                hit = later[differ * (100 + percent) <= (own[i] + own[later]) * (100 - percent)]
                 if len(hit):
                     new = np.unique(root[hit], return_index=True)[1]
                     u += node[a + hit[new]].tolist()
                     v += [int(node[a + i])] * len(new)
-                    root[np.isin(root, root[hit])] = root[i]
+                    parent[root[hit]] = root[i]
+                    root = tops(ids[a:b])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return placed.groupBy("part").applyInArrow(connect, "u long, v long").distinct()
@@ -423,7 +447,7 @@ def cluster_links(table: pa.Table, percent: int) -> pa.Table:
     cluster = table.column("cluster").to_numpy()
     offsets, flat = _lists(table.column("grams"))
     for _, own in runs.split(np.unique(cluster, return_inverse=True)[1]):
-        own = own[np.argsort(names[own])]
+        own = own[np.unique(names[own], return_index=True)[1]]  # a class may come from several tasks
         size = offsets[own + 1] - offsets[own]
         grams = flat[_spread(offsets[own], size)]
         universe, ids = np.unique(grams, return_inverse=True)
@@ -573,3 +597,15 @@ def _with(docs: DataFrame, name: str):
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
     """Contract query: set size and component of every document."""
     return linked(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: md5(array_to_string(ws[i:i + 4], ' ')))) WHEN len(ws) > 0 THEN [md5(array_to_string(ws, ' '))] ELSE [] END AS g FROM w),
+e AS (SELECT doc_id, unnest(g) AS gram FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= 80 * (len(x.g) + len(y.g) - c)),
+n AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS root, a AS node FROM (SELECT DISTINCT a FROM n) UNION SELECT r.root, n.b FROM r JOIN n ON n.a = r.node)
+SELECT s.doc_id, any_value(len(g))::BIGINT AS n_shingles, coalesce(min(root), s.doc_id) AS component_id FROM s LEFT JOIN r ON r.node = s.doc_id GROUP BY s.doc_id
+"""
