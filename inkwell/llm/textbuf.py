@@ -8,15 +8,13 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+
+from inkwell.session import ship  # noqa: F401
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[9:14] = True
@@ -36,23 +34,6 @@ _MASK = (1 << 64) - 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, which need not have it installed."""
-    sc = spark.sparkContext
-    if getattr(sc, "_inkwell_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="inkwell-"), "inkwell_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.join("inkwell", os.path.relpath(full, top)))
-    sc.addPyFile(path)
-    sc._inkwell_shipped = True
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and the n + 1 offsets of its rows; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
