@@ -96,7 +96,7 @@ def line_table(buf: np.ndarray, off: np.ndarray):
         grams = gram_hashes(hashes, 3)
         at = np.flatnonzero(w_row[2:] == w_row[:-2])
         keyed = mix(grams[at] + w_row[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order = np.argsort(keyed, kind="stable")
+        order = np.argsort(keyed)
         same = keyed[order[1:]] == keyed[order[:-1]]
         twice = np.zeros(len(at), bool)
         twice[order[1:]] |= same

@@ -17,4 +17,9 @@ QUERIES = {
     "op10_superkmer": superkmer.op10_superkmer,
 }
 
-ORACLE_SQL = {"op1_mixing": mixing.ORACLE_SQL, "op7_urls": urls.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_mixing": mixing.ORACLE_SQL,
+    "op5_jaccard": jaccard.ORACLE_SQL,
+    "op7_urls": urls.ORACLE_SQL,
+    "op10_superkmer": superkmer.ORACLE_SQL,
+}

@@ -60,7 +60,7 @@ def packets(rows: list[tuple]) -> pa.RecordBatch:
 
 def split(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(value, positions) of each value of ``part``."""
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 65536 else part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[order])) + 1
     for own in np.split(order, cuts) if len(order) else []:
         yield int(part[own[0]]), own
@@ -118,7 +118,7 @@ def shared_runs(docs: DataFrame, parts: int, finder: Finder) -> DataFrame:
         return [(p, 1, key[own], ordinal[own].astype(np.int32)) for p, own in split(home(key, parts))] if len(key) else []
 
     def send(value: np.ndarray, key: np.ndarray, ordinal: np.ndarray, inner: np.ndarray) -> list[tuple]:
-        order = np.argsort(value, kind="stable")
+        order = np.argsort(value)
         shared = np.zeros(len(value), bool)
         shared[order] = _shared(value, key, order, np.zeros(len(value), bool), finder.within)
         rows = results(key[shared | inner], ordinal[shared | inner])
@@ -152,7 +152,7 @@ def shared_runs(docs: DataFrame, parts: int, finder: Finder) -> DataFrame:
         if mine.num_rows:
             each = [gather(mine.slice(i, 1), 0, ["<u8", "<i8", "<u4", "<u4", "u1"]) for i in range(mine.num_rows)]
             value, key, ordinal, mark = (np.concatenate(x) for x in zip(*((v, d[i], o, m) for v, d, i, o, m in each)))
-            order = np.argsort(value, kind="stable")
+            order = np.argsort(value)
             hit = np.zeros(len(value), bool)
             hit[order] = _shared(value, key, order, mark > 0, finder.within)
             hit &= mark == 0

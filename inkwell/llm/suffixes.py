@@ -44,7 +44,7 @@ def suffix_ranks(text: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
         key |= wide[j : n + j] << np.uint64(56 - 8 * j)
     levels, length = [], 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.zeros(n, np.int64)
         new[1:] = key[order[1:]] != key[order[:-1]]
         rank = np.empty(n, np.int64)
@@ -62,7 +62,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes sorted by at least their first ``depth`` bytes, and the length shared with the one before
     (exact below ``depth``)."""
     levels = suffix_ranks(text, depth)
-    order = np.argsort(levels[-1][1], kind="stable")
+    order = np.argsort(levels[-1][1])
     a, b = order[:-1].astype(np.int64), order[1:].astype(np.int64)
     n, got = len(text), np.zeros(max(0, len(text) - 1), np.int64)
     for length, rank in reversed(levels):
@@ -294,7 +294,7 @@ def dedup(docs: DataFrame, keep_first: bool = True, window: int = WINDOW, gram:
 
     def remove(mine: pa.Table, named: pa.Table) -> pa.Table:
         key, lo, hi = runs.gather(named, 3, ["<i8", "<i8", "<i8"])
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, lo, hi = key[order], lo[order], hi[order]
         ids, n, removed, spans, sha, kept = [], [], [], [], [], []
         for batch, buf, off in runs.pieces(mine):

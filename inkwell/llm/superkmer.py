@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from inkwell.llm import runs
-from inkwell.llm.textbuf import cut_words, gram_hashes, mix, span_union, word_hashes, tidy
+from inkwell.llm.textbuf import cut_words, gram_hashes, mix, tidy, word_hashes
 
 WINDOW = 13
 GRAM = 5
@@ -72,10 +72,14 @@ def window_keys(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray
 
 def _not_least(one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each window also starts in a smaller document; and whether its key is among several."""
-    order = np.lexsort((two, one))
+    order = np.argsort(one)
     a, b = one[order], two[order]
     new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    new[1:] = a[1:] != a[:-1]
+    if ((b[1:] != b[:-1]) & ~new[1:]).any():  # the first hash alone isn't enough
+        order = np.lexsort((two, one))
+        a, b = one[order], two[order]
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     at = np.flatnonzero(new)
     low = np.repeat(np.minimum.reduceat(doc[order], at), np.diff(np.append(at, len(a))))
     out = np.zeros(len(a), bool)
@@ -176,7 +180,7 @@ def repeated(docs: DataFrame, parts: int, window: int = WINDOW, gram: int = GRAM
 def _covered(mine: pa.Table, named: pa.Table):
     """Blocks of documents with word bounds and which words are covered."""
     key, lo, hi = runs.gather(named, 3, ["<i8", "<i4", "<i4"])
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, lo, hi = key[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
     for batch, buf, off in runs.pieces(mine):
         keys = batch.column(batch.schema.get_field_index("key")).to_numpy(zero_copy_only=False)
@@ -239,3 +243,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
 def op10_superkmer(spark, sf_dir: str) -> DataFrame:
     """Contract query: words that remain of every document."""
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 12], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+l AS (SELECT k, min(doc_id) AS least FROM v GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM v JOIN l USING (k) WHERE doc_id > least),
+x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+k AS (SELECT x.doc_id, count(*) AS n, count(c.p) AS gone, string_agg(word, ' ' ORDER BY x.p) FILTER (c.p IS NULL) AS kept FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.p = x.p GROUP BY x.doc_id)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
