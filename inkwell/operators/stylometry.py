@@ -80,13 +80,17 @@ RATES = {
 def scalars(docs: DataFrame, corpus: str) -> DataFrame:
     """The sixteen scalars of each corpus."""
     counts = document_counts(docs, corpus)
-    s = counts.groupBy(corpus).agg(*[F.sum(c).alias(c) for c in counts.columns if c != corpus])
+    return derived(counts.groupBy(corpus).agg(*[F.sum(c).alias(c) for c in counts.columns if c != corpus]), corpus)
+
+
+def derived(sums: DataFrame, *by: str) -> DataFrame:
+    """The sixteen scalars of summed counts."""
     n = F.greatest(F.col("n_tokens"), F.lit(1))
     sents = F.greatest(F.col("n_sents"), F.lit(1))
     mean = F.col("len_sum") / sents
     sd = F.sqrt(F.greatest(F.col("len_squares") / sents - mean * mean, F.lit(0.0)))
-    return s.select(
-        corpus,
+    return sums.select(
+        *by,
         mean.alias("sent_len_mean"),
         sd.alias("sent_len_sd"),
         F.when(sd + mean > 0, (sd - mean) / (sd + mean)).otherwise(F.lit(0.0)).alias("burstiness"),
@@ -138,6 +142,14 @@ def js_divergence(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("js", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("js"))))
 
 
+def scalar_gaps(s: DataFrame, corpus: str, a: str, b: str, *by: str) -> DataFrame:
+    """(by..., name, value): normalised gap of every scalar (scalar:)."""
+    long = s.unpivot([*by, corpus], list(X.SCALES), "name", "value")
+    scale = F.create_map(*[F.lit(v) for kv in X.SCALES.items() for v in kv])
+    gap = long.groupBy(*by, "name").agg(F.max(F.when(F.col(corpus) == a, F.col("value"))).alias("_a"), F.max(F.when(F.col(corpus) == b, F.col("value"))).alias("_b"))
+    return gap.select(*by, F.concat(F.lit("scalar:"), "name").alias("name"), F.least(F.lit(1.0), F.abs(F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0))) / scale[F.col("name")]).alias("value"))
+
+
 def corpus_distances(docs: DataFrame, corpus: str, a: str, b: str) -> DataFrame:
     """(name, value): divergence of every block (dist:) and normalised gap of every scalar (scalar:)."""
     sides = docs.where(F.col(corpus).isin(a, b))
@@ -145,18 +157,14 @@ def corpus_distances(docs: DataFrame, corpus: str, a: str, b: str) -> DataFrame:
     names = docs.sparkSession.createDataFrame([(a,), (b,)], f"{corpus} string")
     d = distributions(counts, names, corpus)
     js = js_divergence(d.where(F.col(corpus) == a).drop(corpus), d.where(F.col(corpus) == b).drop(corpus))
-    s = scalars(sides, corpus).unpivot(corpus, list(X.SCALES), "name", "value")
-    scale = F.create_map(*[F.lit(v) for kv in X.SCALES.items() for v in kv])
-    gap = s.groupBy("name").agg(F.max(F.when(F.col(corpus) == a, F.col("value"))).alias("_a"), F.max(F.when(F.col(corpus) == b, F.col("value"))).alias("_b"))
-    gaps = gap.select(F.concat(F.lit("scalar:"), "name").alias("name"), F.least(F.lit(1.0), F.abs(F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0))) / scale[F.col("name")]).alias("value"))
-    return js.select(F.concat(F.lit("dist:"), "block").alias("name"), F.col("js").alias("value")).unionByName(gaps)
+    return js.select(F.concat(F.lit("dist:"), "block").alias("name"), F.col("js").alias("value")).unionByName(scalar_gaps(scalars(sides, corpus), corpus, a, b))
 
 
-def overall(distances: DataFrame) -> DataFrame:
-    """One row: the mean of the divergences and the mean scalar gap, as one more."""
+def overall(distances: DataFrame, *by: str) -> DataFrame:
+    """One row (for each of ``by``): the mean of the divergences and the mean scalar gap, as one more."""
     dist = F.col("name").startswith("dist:")
-    parts = distances.agg(F.sum(F.when(dist, F.col("value"))).alias("_d"), F.count_if(dist).alias("_n"), F.avg(F.when(~dist, F.col("value"))).alias("_s"))
-    return parts.select(F.round((F.col("_d") + F.col("_s")) / (F.col("_n") + 1), 4).alias("overall"))
+    parts = distances.groupBy(*by).agg(F.sum(F.when(dist, F.col("value"))).alias("_d"), F.count_if(dist).alias("_n"), F.avg(F.when(~dist, F.col("value"))).alias("_s"))
+    return parts.select(*by, F.round((F.col("_d") + F.col("_s")) / (F.col("_n") + 1), 4).alias("overall"))
 
 
 def biggest_gaps(distances: DataFrame, k: int = 6) -> DataFrame:
@@ -165,10 +173,11 @@ def biggest_gaps(distances: DataFrame, k: int = 6) -> DataFrame:
 
 
 def bootstrap_ci(docs: DataFrame, corpus: str, a: str, b: str, key: str, replicates: int = 200, seed: int = X.SEED) -> DataFrame:
-    """(low, high): 2.5 and 97.5 percentiles of the mean block divergence when texts are drawn with replacement.
+    """(low, high): 2.5 and 97.5 percentiles of the overall distance when texts are drawn with replacement.
 
     A draw is a hash of replicate, side and place, so it is the same in any engine. Draws become multiplicities
-    per (replicate, text) before they meet the text's counts; one aggregation serves all replicates.
+    per (replicate, text) before they meet the text's counts; two aggregations, of the distributions' counts and
+    of the scalars', serve all replicates.
     """
     sides = docs.where(F.col(corpus).isin(a, b))
     order = Window.partitionBy(corpus).orderBy(key)
@@ -182,5 +191,8 @@ def bootstrap_ci(docs: DataFrame, corpus: str, a: str, b: str, key: str, replica
     who = docs.sparkSession.range(replicates).select(F.col("id").cast("int").alias("_r")).join(docs.sparkSession.createDataFrame([(a,), (b,)], f"{corpus} string"))
     d = distributions(summed, who, "_r", corpus)
     js = js_divergence(d.where(F.col(corpus) == a).drop(corpus), d.where(F.col(corpus) == b).drop(corpus), "_r")
-    per = js.groupBy("_r").agg(F.avg("js").alias("v"))
-    return per.agg(F.round(F.percentile("v", F.lit(0.025)), 4).alias("low"), F.round(F.percentile("v", F.lit(0.975)), 4).alias("high"))
+    plain = document_counts(placed, corpus, "_i")
+    sums = weight.join(plain, [corpus, "_i"]).groupBy("_r", corpus).agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in plain.columns if c not in (corpus, "_i")])
+    gaps = scalar_gaps(derived(sums, "_r", corpus), corpus, a, b, "_r")
+    per = overall(js.select("_r", F.concat(F.lit("dist:"), "block").alias("name"), F.col("js").alias("value")).unionByName(gaps), "_r")
+    return per.agg(F.round(F.percentile("overall", F.lit(0.025)), 4).alias("low"), F.round(F.percentile("overall", F.lit(0.975)), 4).alias("high"))

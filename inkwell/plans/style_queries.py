@@ -146,7 +146,7 @@ nm AS (SELECT r, block, p / sum(p) OVER w AS p, q / sum(q) OVER w AS q FROM pq W
 js AS (SELECT r, block, greatest(0.0, least(1.0, sum((p * log2(p / ((p + q) / 2)) + q * log2(q / ((p + q) / 2))) / 2))) AS js FROM nm GROUP BY ALL),
 pr AS (SELECT r, avg(js) AS v FROM js GROUP BY r) SELECT round(quantile_cont(v, 0.025), 4) AS low, round(quantile_cont(v, 0.975), 4) AS high FROM pr""")
 def bootstrap_ci(spark, sf_dir):
-    """95 % interval of the mean block divergence of two languages."""
+    """95 % interval of the overall style distance of two languages."""
     return stylometry.bootstrap_ci(corpora(spark, sf_dir), "corpus", A, B, "doc_id", replicates=_R)
 
 

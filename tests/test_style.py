@@ -23,6 +23,21 @@ def test_distance_contracts(spark):
     assert 0.2 < far <= 1.0 and far == pytest.approx(distance(spark, FLOWING, TERSE), abs=1e-9)
 
 
+def test_bootstrap_is_of_the_overall_distance(spark):
+    """Each replicate is the style distance of its drawn texts."""
+    import hashlib
+
+    import numpy as np
+
+    texts = {"a": [TERSE, "I think you don't know; really! " * 9, "Maybe (so). We wait? " * 12], "b": [FLOWING, "It's very quiet — perhaps. " * 15]}
+    docs = lambda sides: spark.createDataFrame([(i, c, t) for c, ts in sides.items() for i, t in enumerate(ts)], "doc_id long, corpus string, text string")
+    draw = lambda r, c, i: int(hashlib.md5(f"7|{r}|{c}|{i}".encode()).hexdigest()[:8], 16) % len(texts[c])
+    each = [stylometry.overall(stylometry.corpus_distances(docs({c: [ts[draw(r, c, i)] for i in range(len(ts))] for c, ts in texts.items()}), "corpus", "a", "b")).first()[0] for r in range(3)]
+    assert len(set(each)) > 1
+    got = stylometry.bootstrap_ci(docs(texts), "corpus", "a", "b", "doc_id", replicates=3, seed=7).first()
+    assert tuple(got) == pytest.approx(tuple(np.percentile(each, [2.5, 97.5])), abs=1e-4)
+
+
 def test_js_divergence_extremes(spark):
     a = spark.createDataFrame([("b", "x", 1.0)], "block string, key string, p double")
     b = spark.createDataFrame([("b", "y", 1.0)], "block string, key string, p double")
