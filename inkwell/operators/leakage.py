@@ -86,12 +86,14 @@ def probe_recall(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(hit, F.lit(False)).cast("int")), 4).alias("recall"))
 
 
-def semantic_echo(queries: DataFrame, training: DataFrame, key: str, vector: str) -> DataFrame:
-    """Highest cosine of each query vector with any training vector.
+def semantic_echo(queries: DataFrame, training: DataFrame, key: str, vector: str, among: bool = False) -> DataFrame:
+    """Highest cosine of each query vector with any training vector; ``among``: the queries are training rows, too, and
+    a row of a query's own key is not compared with it.
 
     The query set is stated by the caller and bounded; training vectors stream past it in blocks.
     """
     unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(T.dot(c, c)))
     q = queries.select(key, unit(F.col(vector)).alias("_q"))
-    t = training.select(unit(F.col(vector)).alias("_t"))
-    return t.join(F.broadcast(q)).groupBy(key).agg(F.max(T.dot(F.col("_q"), F.col("_t"))).alias("echo"))
+    t = training.select(F.col(key).alias("_k"), unit(F.col(vector)).alias("_t"))
+    met = t.join(F.broadcast(q), ~F.col("_k").eqNullSafe(F.col(key)) if among else None)
+    return met.groupBy(key).agg(F.max(T.dot(F.col("_q"), F.col("_t"))).alias("echo"))

@@ -236,7 +236,6 @@ def label_auc(spark, sf_dir):
 @query("""WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings)
 SELECT q.vec_id, round(max(list_inner_product(q.v, t.v)), 6) AS echo FROM u q, u t WHERE q.vec_id % 50 = 0 AND t.vec_id % 50 <> 0 GROUP BY q.vec_id""")
 def semantic_echo(spark, sf_dir):
-    """Nearest cosine of every fiftieth embedding among the others."""
+    """Nearest cosine of every fiftieth embedding among all other rows."""
     e = table(spark, sf_dir, "embeddings")
-    asked = F.col("vec_id") % 50 == 0
-    return leakage.semantic_echo(e.where(asked), e.where(~asked), "vec_id", "embedding").select("vec_id", F.round("echo", 6).alias("echo"))
+    return leakage.semantic_echo(e.where(F.col("vec_id") % 50 == 0), e, "vec_id", "embedding", among=True).select("vec_id", F.round("echo", 6).alias("echo"))

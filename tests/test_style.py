@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.operators import records, stylometry, verifier
-from inkwell.plans import golden
+from inkwell.plans import golden, style_queries
 
 TERSE = "Stop now. Go on. It rains. We wait. He left. " * 20
 FLOWING = "When the evening had settled over the quiet valley and all the lamps were lit, the old man, who had walked since morning, finally sat down beside the river and thought about nothing in particular. " * 12
@@ -54,6 +54,13 @@ def test_auc_and_threshold(spark):
     assert got["attribution_rate"] == 0.75 and got["n"] == 4
 
 
+def test_echo_searches_all_other_rows(spark, tmp_path):
+    rows = [(0, [1.0, 0.0]), (50, [2.0, 0.0]), (100, [-1.0, -1.0]), (7, [0.0, 1.0]), (8, [1.0, 1.0])]
+    spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: r["echo"] for r in style_queries.semantic_echo(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({0: 1.0, 50: 1.0, 100: -0.707107}, abs=1e-6)
+
+
 def test_rank_correlation(spark):
     frame = lambda a, b: spark.createDataFrame(list(zip(a, b)), "a double, b double")
     x = [1.0, 2.0, 3.0, 4.0]
