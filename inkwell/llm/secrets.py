@@ -1,10 +1,11 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
 Patterns find assigned passwords, access keys and long hexadecimal strings. The method adds what they miss:
-every long token that follows a sensitive word on its line is priced by the bytes it adds to a compressed
+every long token that follows a sensitive word (plurals and parts of identifiers count) on its line is priced by the bytes it adds to a compressed
 window of its surroundings, with the compressor primed by a dictionary of identifiers and by the
 surrounding code itself. Names and prose are cheap after that; a string that costs nearly as much as
-random characters would is reported as ``novel``.
+random characters would is reported as ``novel``. Short literals aren't entropy-coded there, so letters without
+digits are priced by pairs of letters as well, and must cost no less than random letters.
 
 Scale: rows are independent and nothing is shuffled; only texts with a sensitive word are priced, each
 candidate over a window of fixed width. Defined results: null or empty text has no spans; repeated rows
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,6 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from inkwell.functions import fixed as X
 from inkwell.llm.spans import Span, apart, digest, printed, secret
 from inkwell.llm.textbuf import ship
 
@@ -39,12 +42,24 @@ IDENTIFIERS = (
     "manager controller handler factory provider repository interface abstract exception error warning message logger debug info "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 the and for with that this from which are was were have has been"
 )
+#: Long words of the corpus' languages, whose pairs of letters price letters (fixed values).
+LETTERS = (
+    "international information communication organization responsibility characteristic development environment understanding relationship government administration "
+    "transportation architecture representative establishment knowledge throughout everything something straightforward approximately opportunity experience "
+    "verantwortung gesellschaft entwicklung geschwindigkeit wirtschaft wissenschaft unterschiedlich bundesrepublik versicherung zusammenarbeit arbeitgeber benutzer "
+    "verwaltung krankenhaus schwierigkeiten moeglichkeit regierung durchschnittlich selbstverstaendlich jahrhundert beschreibung eigenschaft freundlich buchstabe zwischen "
+    "responsabilidad desarrollo conocimiento comunicacion caracteristicas administracion universidad establecimiento aproximadamente trabajador importante siguiente "
+    "gouvernement developpement particulierement communication environnement connaissance immediatement etablissement entreprise aujourdhui quelquefois naturellement "
+    "buffer thread callback iterator dispatch listener synchronize initialize template generator transaction permission timeout schedule wrapper pool build module package backup "
+    "query index cluster network security certificate encrypt algorithm parse document object property attribute component widget layout display window keyboard"
+)
 AROUND = 256
-REACH = 64
 #: Shortest candidate, and the share of a random string's cost that makes one novel.
 LEAST, NOVEL = 16, 0.75
 
-_WORD = re.compile(r"(?<![A-Za-z])(?:" + "|".join(map(re.escape, sorted(SENSITIVE, key=len, reverse=True))) + r")(?![a-z])", re.I | re.A)
+_ANY = "|".join(map(re.escape, sorted(SENSITIVE, key=len, reverse=True)))
+#: Whole words, parts before an upper-case letter, capitalised parts, and upper-case parts; each also in the plural.
+_WORD = re.compile(rf"(?i:(?<![A-Za-z])(?:{_ANY})s?(?![a-z]))|(?<![A-Za-z])(?:{_ANY})s?(?![a-z])|(?:{'|'.join(re.escape(w.capitalize()) for w in SENSITIVE)})s?(?![a-z])|(?<![A-Z])(?:{_ANY.upper()})[Ss]?(?![A-Za-z])", re.A)
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 
 
@@ -60,6 +75,20 @@ def price(candidate: str, around: str) -> int:
     return len(_press().compress(before + candidate.encode())) - len(_press().compress(before))
 
 
+@lru_cache(maxsize=1)
+def _pairs() -> dict[tuple[str, str], float]:
+    """Bits of each letter after another, or after a word's start."""
+    words = re.findall("[a-z]+", f"{LETTERS} {IDENTIFIERS} {' '.join(X.FUNCTION_WORDS)}".replace("abcdefghijklmnopqrstuvwxyz", "").lower())
+    seen = Counter(x for w in words for x in zip(" " + w, w))
+    after, alone = Counter(), Counter()
+    for (a, b), n in seen.items():
+        after[a] += n
+        alone[b] += n
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    share = {b: (alone[b] + 1) / (alone.total() + 26) for b in letters}
+    return {(a, b): -math.log2((seen[a, b] + 2 * share[b]) / (after[a] + 2)) for a in f" {letters}" for b in letters}
+
+
 def random_bytes(candidate: str) -> float:
     """Bytes a random string over the candidate's kinds of characters would need."""
     kinds = [(r"[0-9]", 10), (r"[a-z]", 26), (r"[A-Z]", 26), (r"[^0-9A-Za-z]", 2)]
@@ -69,22 +98,28 @@ def random_bytes(candidate: str) -> float:
     return len(candidate) * math.log2(max(2, alphabet)) / 8
 
 
+def spelt(candidate: str) -> bool:
+    """Whether the letters of a candidate without digits follow each other as in words, rather than at random."""
+    if re.search("[0-9]", candidate):
+        return False
+    pairs = _pairs()
+    bits = [pairs[x] for word in re.findall("[a-z]+", candidate.lower()) for x in zip(" " + word, word)]
+    return sum(bits) < len(bits) * math.log2(26)
+
+
 def novel(text: str) -> list[Span]:
-    """Candidates after a sensitive word whose price is near that of random characters."""
+    """Candidates after a line's first sensitive word whose price is near that of random characters."""
     out: list[Span] = []
     done = 0
-    for word in _WORD.finditer(text):
-        stop = min(len(text), word.end() + REACH)
-        newline = text.find("\n", word.end(), stop)
-        stop = newline if newline >= 0 else stop
-        while (near := _TOKEN.search(text, max(done, word.end()), stop + LEAST)) and near.start() < stop:
-            m = _TOKEN.match(text, near.start())
-            done = m.end()
+    while word := _WORD.search(text, done):
+        newline = text.find("\n", word.end())
+        done = newline if newline >= 0 else len(text)
+        for m in _TOKEN.finditer(text, word.end(), done):
             token = m[0]
-            if not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)):
+            if not re.search("[0-9A-Za-z]", token):  # a rule; the compressor's least cost is above its random cost
                 continue
             around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
-            if price(token, around) >= NOVEL * random_bytes(token):
+            if price(token, around) >= NOVEL * random_bytes(token) and not spelt(token):
                 out.append(("novel", m.start(), m.end()))
     return out
 

@@ -172,3 +172,13 @@ def test_secrets_novelty(spark):
     got = {r["doc_id"]: r for r in secrets.scan(wide(spark, docs)).collect()}
     assert [got[i]["n_novel"] for i in range(1, 6)] == [1, 0, 0, 0, 0] and got[4]["n_assign"] == 1
     assert got[1]["spans"] == "novel:7:27" and got[3]["spans"] == ""
+
+
+def test_secrets_reach_the_end_of_the_line_and_parts_of_names():
+    p = "9fK2mX81bQz7LpTr4WvY"
+    forms = [f'tokens: ["{p}"]', f'api_keys = ["{p}"]', f"secrets {p}", f"accessToken({p})", f"dbPassword -> {p}", f"tokenValue {p}", f"DB_TOKENS {p}", "key = 1; " + "x = 2; " * 40 + f'v = "{p}"']
+    assert [[t[s:e] for _, s, e in secrets.find(t)[1]] for t in forms] == [[p]] * len(forms)
+    assert secrets.find(f'keys: ["{p}", "{p[::-1]}"]')[1] == [("novel", 8, 28), ("novel", 32, 52)]
+    assert [len(secrets.find(t)[1]) for t in ("password is xkqzvwjyhpfbgtrm", "pwd 8305192746150937")] == [1, 1]
+    plain = [f"tokenizer {p}", f"author {p}", f"monkeys {p}", f"key\n{p}", "key ================ telecommunications", "token getUserAuthenticationHandlerFactory", "Schlüssel, key: Geschwindigkeitsbegrenzung"]
+    assert [secrets.find(t)[1] for t in plain] == [[]] * len(plain)
