@@ -74,12 +74,19 @@ def lesson(rng: np.random.Generator) -> tuple[str, list[Span]]:
         return ".".join(str(n(0, 255)) for _ in range(4))
 
     def card() -> str:
+        if rng.random() < 0.2:  # of twelve digits
+            d = pick("50", "6") + num(11)
+            d = next(x for x in (d[:11] + str(c) for c in range(10)) if luhn(x))
+            return pick(" ", "-", ".", ".", ".").join(d[i : i + 4] for i in range(0, 12, 4))
         d = pick("4", "5", "37") + num(15)
         d = next(x for x in (d[:15] + str(c) for c in range(10)) if luhn(x))
         return pick(d, d, "-".join(d[i : i + 4] for i in range(0, 16, 4)), " ".join(d[i : i + 4] for i in range(0, 16, 4)), ".".join(d[i : i + 4] for i in range(0, 16, 4)))
 
     def phone() -> str:
         a, b, c = num(3), num(3), num(4)
+        if rng.random() < 0.3:  # national forms of Spanish, French and German
+            s, pairs = pick(" ", " ", "-", "."), [num(2) for _ in range(4)]
+            return pick(f"{n(6, 9)}{a[:2]}{s}{b}{s}{c[:3]}", f"9{n(1, 8)}{s}{a}{s}{c[:2]}{s}{c[2:]}", f"{n(6, 9)}{a[:2]}{s}{s.join(pairs[:3])}", f"0{n(1, 9)}{s}{s.join(pairs)}", f"0{n(20, 99)}{pick(s, '/')}{b}{c}", f"01{n(50, 79)}{pick(s, '/')}{b}{c}")
         return pick(f"+1 ({a}) {b}-{c}", f"+{n(1, 99)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{n(1, 99)}-{a}-{b}-{c}")
 
     def lookalike() -> str:
@@ -87,7 +94,7 @@ def lesson(rng: np.random.Generator) -> tuple[str, list[Span]]:
         return pick(
             f"version {n(1, 9)}.{n(0, 20)}", f"{n(1900, 2030)}", f"{n(1900, 2030)}-{n(1, 12):02d}-{n(1, 28):02d}", f"{n(1, 28)}.{n(1, 12)}.{n(1990, 2030)}", f"{n(1, 999)},{num(3)}",
             f"$ {n(1, 99)}.{num(2)}", f'token = "{hexes}"', f"password={hexes[:18]}", "AKIA" + hexes[:16].upper(), f"{n(1, 23)}:{num(2)}", f"({n(1, 9)})", f"@{word()}", f"{n(1, 99)} %",
-            f"{n(1, 9)}.{n(1, 9)}.{n(1, 9)}", f"ISBN 978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{num(2)}/{num(2)}", f"{word()}{num(2)}", f"{num(5)}", f"{num(6)}", f"{num(4)}.{num(4)}.{num(4)}", f"{n(256, 999)}.{n(0, 999)}.{n(0, 999)}.{n(0, 999)}",
+            f"{n(1, 9)}.{n(1, 9)}.{n(1, 9)}", f"ISBN 978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{num(2)}/{num(2)}", f"{word()}{num(2)}", f"{num(5)}", f"{num(6)}", f"{n(256, 999)}.{n(0, 999)}.{n(0, 999)}.{n(0, 999)}",
         )
 
     text, found = "", []
@@ -244,8 +251,8 @@ def plausible(kind: str, piece: str) -> bool:
         parts = piece.split(".")
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
-        return 13 <= many <= 19 and luhn(digits(piece)) and not any(c.isalpha() for c in piece)
-    return 10 <= many <= 15 and not any(c.isalpha() for c in piece) and len(piece) > many
+        return 12 <= many <= 19 and luhn(digits(piece)) and not any(c.isalpha() for c in piece)
+    return 9 <= many <= 15 and not any(c.isalpha() for c in piece) and len(piece) > many
 
 
 def tag(texts: list[str], tagger: Tagger) -> list[list[Span]]:

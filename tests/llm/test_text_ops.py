@@ -158,6 +158,14 @@ def test_tagger_on_held_out_lessons():
     assert hit / (hit + wrong) > 0.95 and hit / (hit + missed) > 0.75
 
 
+def test_tagger_on_national_phones_and_short_cards():
+    assert pii.plausible("phone", "612 345 678") and not pii.plausible("phone", "12 345 678") and pii.plausible("card", "5018.0000.0009") and not pii.plausible("card", "5018.0000.0008")
+    tagger = pii.train()
+    for piece in ("612 345 678", "91 234 56 78", "612 34 56 78", "01 23 45 67 89", "030/1234567", "5018.0000.0009"):
+        text = f"llame al numero {piece} por favor"
+        assert piece in [text[s:e] for _, s, e in pii.tag([text], tagger)[0]]
+
+
 def test_pii_rows_and_redaction(spark):
     docs = [(1, None), (2, ""), (None, "mail a@b.co"), (3, "call +1 (555) 555-0100 or mail a.b@c.org now"), (3, "call +1 (555) 555-0100 or mail a.b@c.org now"), (4, "plain words only"), (5, "x " * 30000 + "10.1.2.3")]
     got = pii.scan(wide(spark, docs)).collect()
