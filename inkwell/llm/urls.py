@@ -30,6 +30,7 @@ from inkwell.session import settle
 
 #: (verdict, host and path), as given by the contract.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+#: Levels of the SQL's tree; the operator's own is as deep as its paths.
 LEVELS = 3
 #: A node is variable beyond so many branches if they have under this many pages each on average.
 BRANCHES, PER_BRANCH = 20, 2
@@ -58,17 +59,15 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
 
 
 def shapes(path: Column) -> Column:
-    """The first LEVELS segments with runs of digits as ``*``, deeper ones joined in one more."""
+    """All segments with runs of digits as ``*``."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    parts = F.transform(parts, lambda s: F.regexp_replace(s, "[0-9]+", "*"))
-    deep = F.array_join(F.slice(parts, LEVELS + 1, 1_000_000), "/")
-    return F.when(F.size(parts) > LEVELS, F.concat(F.slice(parts, 1, LEVELS), F.array(deep))).otherwise(parts)
+    return F.transform(parts, lambda s: F.regexp_replace(s, "[0-9]+", "*"))
 
 
 def templates(paths: DataFrame) -> DataFrame:
-    """host, shape and template of distinct shapes (host, shape, n, blocked, labelled)."""
+    """host, shape and template of distinct shapes (host, shape, n, blocked, labelled), as deep as the deepest."""
     tree = paths.withColumn("parts", F.split("shape", "\n")).withColumn("template", F.lit(""))
-    for level in range(LEVELS + 1):
+    for level in range(paths.agg(F.max(F.size(F.split("shape", "\n")))).first()[0] or 0):
         tree = tree.withColumn("part", F.coalesce(F.get("parts", F.lit(level)), F.lit("")))
         branch = tree.groupBy("host", "template", "part").agg(F.sum("n").alias("n"), F.sum("blocked").alias("b"), F.sum("labelled").alias("m"))
         node = branch.groupBy("host", "template").agg(F.count("*").alias("branches"), F.sum("n").alias("all_n"), F.sum("b").alias("all_b"), F.sum("m").alias("all_m"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -120,3 +121,12 @@ def test_templates_learn_from_labels(spark):
     labels = spark.createDataFrame([(i, bool(i % 2)) for i in range(200)], "page_id long, blocked boolean")
     got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), labels=labels).collect()
     assert all((r["verdict"] == "block") == bool(r["page_id"] % 2) for r in got) and {r["template"] for r in got} == {"/spam/*", "/news/*"}
+
+
+def test_urls_learn_below_the_third_segment(spark):
+    names = ["".join(x) for x in itertools.product("abcdef", repeat=2)]
+    pages = [(i, f"http://x.net/a/b/c/{kind}/{n}/{n}") for i, (kind, n) in enumerate(itertools.product(("good", "bad"), names))]
+    labels = spark.createDataFrame([(i, "/bad/" in u) for i, u in pages if i % 6], "page_id long, blocked boolean")
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), labels=labels).collect()}
+    assert all(got[i]["verdict"] == ("block" if "/bad/" in u else "allow") for i, u in pages) and len(got) == len(pages)
+    assert {r["template"] for r in got.values()} == {"/*/*/*/good/*/*", "/*/*/*/bad/*/*"}
