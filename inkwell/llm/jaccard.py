@@ -552,28 +552,33 @@ def rounds_of(docs: DataFrame, found: DataFrame, rows: DataFrame, n: int, percen
 
 def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class and component_id (the smallest doc_id reachable by links) of every document."""
+    return grouped(docs, n, percent).drop("component")
+
+
+def grouped(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """As ``linked``, with the component by the name of one of its classes, which no other component has."""
     docs = docs.select("doc_id", "text")
     found = settle(classes(docs, n))
     group = links(docs, found, n, percent)
     own = found.where("counts IS NULL").select("doc_id", "n_shingles", "class")
     named = own.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("_least"))
     if group is None:
-        top = named.select("class", F.col("_least").alias("component_id"))
+        top = named.select("class", F.col("class").alias("component"), F.col("_least").alias("component_id"))
     else:
         joined = named.join(group.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         least = joined.groupBy("component").agg(F.min("_least").alias("component_id"))
-        top = joined.select("class", "component").join(least, "component").select("class", "component_id")
+        top = joined.select("class", "component").join(least, "component").select("class", "component", "component_id")
     out = own.join(top, "class", "left")
-    return out.select("doc_id", "n_shingles", "class", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", "class", "component", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with all its columns."""
     ship(docs.sparkSession)
-    found = linked(docs, n, percent).where("class IS NOT NULL")
-    # the component's own row: that of the smallest id, of the smallest class among equal ids
-    chosen = found.where("component_id IS NULL OR doc_id = component_id").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("class")).alias("_own")).agg(F.min("class").alias("class"))
-    keep = chosen.select(F.col("component_id").alias("_id"), F.col("class").alias("_class"))
+    found = grouped(docs, n, percent).where("class IS NOT NULL")
+    # the component's own row: that of the smallest id, nulls last, of the smallest class among equal ids
+    chosen = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "class")).alias("_first"))
+    keep = chosen.select(F.col("_first.doc_id").alias("_id"), F.col("_first.class").alias("_class"))
     schema = docs.schema.simpleString()[len("struct<") : -1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

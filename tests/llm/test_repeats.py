@@ -51,6 +51,14 @@ def test_jaccard_components(spark, docs):
     assert kept.count() == lone + len(groups) + len({t for (d, t), (_, n, c) in zip(docs, want) if n and c is None})
 
 
+def test_keep_one_by_component_not_by_id(spark):
+    base = [f"w{i}" for i in range(80)]
+    near = [" ".join(base), " ".join([*base[:-1], "other"])]
+    docs = [(1, "a b c d e f g h"), (1, "p q r s t u v w"), (None, near[0]), (None, near[1]), (None, "k l m n o p q r"), (2, "k l m n o p q r")]
+    kept = jaccard.keep_one(spark.createDataFrame(docs, TEXT)).collect()
+    assert len(kept) == 4 and {docs[0], docs[1], docs[5]} < {tuple(r) for r in kept}
+
+
 def test_large_clusters_agree_with_small_ones(spark):
     df = spark.createDataFrame(near_documents(), TEXT)
     found = jaccard.settle(jaccard.classes(df))
