@@ -18,7 +18,8 @@ is then counted fragment by fragment and summed.
 
 Scale: segments travel as arrays, one per task and vertical partition (12 bytes a segment); partitions
 follow the input's size. The grams themselves travel only for classes that share a bucket: a bitmap of
-fixed size, 2**27 bits at most, keeps the others back. Equal sets are taken for one by 64 bits, as are grams.
+fixed size, 2**27 bits at most, keeps the others back. Sets are taken for equal by 128 bits; grams by 64,
+and only within a pair that is compared.
 
 Defined results: null or empty text has no grams and links with nothing; a null doc_id never names a
 component (a component of such rows only has a null one); repeated rows are linked.
@@ -32,13 +33,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkwell.llm import runs
 from inkwell.llm.superkmer import _spread
-from inkwell.llm.textbuf import LOWER, blocks, cut_words, gram_hashes, mix, ship, word_hashes
+from inkwell.llm.textbuf import LOWER, blocks, byte_hashes, cut_words, gram_hashes, mix, ship
 from inkwell.operators.graph import components
 from inkwell.session import settle
 
+NONE = np.zeros(0, np.uint64)
 N = 5
 PERCENT = 80
 #: Parts that verification cuts a set into.
@@ -55,8 +58,9 @@ COUNTED, LOCAL, LISTED = 4_000_000, 3, 1 << 21
 
 def doc_sets(buf: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct gram hashes of each row, joined, and the offsets of the rows."""
-    starts, ends, row = cut_words(LOWER[buf], off)
-    hashes = word_hashes(LOWER[buf], starts, ends)
+    low = LOWER[buf]
+    starts, ends, row = cut_words(low, off)
+    hashes = byte_hashes(low, starts, ends)
     rows = len(off) - 1
     words = np.bincount(row, minlength=rows)
     base = np.append(0, np.cumsum(words))
@@ -72,11 +76,31 @@ def doc_sets(buf: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray,
     return np.concatenate(out) if out else grams[:0], np.append(0, np.cumsum([len(x) for x in out])).astype(np.int64)
 
 
-def set_class(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set (0 for empty ones, which have none)."""
-    total = np.append(np.uint64(0), np.cumsum(mix(flat ^ np.uint64(0x6A09E667F3BCC909))))
-    size = np.diff(off).astype(np.uint64)
-    return np.where(size > 0, mix(total[off[1:]] - total[off[:-1]] + size), np.uint64(0))
+def _set_hash(flat: np.ndarray, off: np.ndarray, seed: int) -> np.ndarray:
+    total = np.append(np.uint64(0), np.cumsum(mix(flat ^ np.uint64(seed))))
+    return mix(total[off[1:]] - total[off[:-1]] + np.diff(off).astype(np.uint64))
+
+
+def set_class(flat: np.ndarray, off: np.ndarray, twins: np.ndarray = NONE) -> np.ndarray:
+    """A 64-bit name of each set (0 for empty ones, which have none). Names among the sorted ``twins`` stand for
+    unequal sets; these are named by their check as well."""
+    name = _set_hash(flat, off, 0x6A09E667F3BCC909)
+    if len(twins):
+        two = np.flatnonzero(twins[np.minimum(np.searchsorted(twins, name), len(twins) - 1)] == name)
+        name[two] = mix(name[two] ^ mix(set_check(flat, off)[two]))
+    return np.where(np.diff(off) > 0, name, np.uint64(0))
+
+
+def set_check(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """64 further bits of each set."""
+    return _set_hash(flat, off, 0x510E527FADE682D1)
+
+
+def twin_names(found: DataFrame) -> np.ndarray:
+    """Sorted names that unequal sets share, by their checks: of n sets some n * n / 2**65, so next to none."""
+    own = found.where("class IS NOT NULL").groupBy("class").agg(F.min("check").alias("_lo"), F.max("check").alias("_hi"))
+    rows = own.where("_lo <> _hi").select("class").toPandas()["class"].to_numpy()
+    return np.sort(rows.astype(np.int64).view(np.uint64))
 
 
 def intervals(percent: int, most: int) -> np.ndarray:
@@ -143,11 +167,12 @@ def _sketch(name: np.ndarray, flat: np.ndarray, off: np.ndarray, size: np.ndarra
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8"), start
 
 
-def classes(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, n_shingles and class (null without words) of every document; a class' first row in a task has
+def classes(docs: DataFrame, n: int = N, twins: np.ndarray = NONE) -> DataFrame:
+    """doc_id, n_shingles, class (null without words) and check of every document; a class' first row in a task has
     its bitmap. Rows with ``counts`` instead hold grams that several classes of a task share, with their number."""
     ship(docs.sparkSession)
-    schema = "doc_id long, n_shingles long, class long, bitmap array<long>, counts binary"
+    schema = "doc_id long, n_shingles long, class long, check long, bitmap array<long>, counts binary"
+    names = ["doc_id", "n_shingles", "class", "check", "bitmap", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -160,12 +185,12 @@ def classes(docs: DataFrame, n: int = N) -> DataFrame:
             times = np.diff(np.append(at, len(values)))
             often = times >= LOCAL
             data = values[at][often].tobytes() + times[often].astype("<i8").tobytes()
-            null = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays([*null, pa.array([data], pa.binary())], ["doc_id", "n_shingles", "class", "bitmap", "counts"])
+            null = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([*null, pa.array([data], pa.binary())], names)
 
         for batch, buf, off in blocks(batches, "text"):
             flat, own = doc_sets(buf, off, n)
-            name, size = set_class(flat, own), np.diff(own)
+            name, size = set_class(flat, own, twins), np.diff(own)
             fresh = np.zeros(len(name), bool)
             for i, x in enumerate(name.tolist()):
                 if x and x not in seen:
@@ -176,7 +201,7 @@ def classes(docs: DataFrame, n: int = N) -> DataFrame:
             maps = iter(np.split(words.view(np.int64), start[1:-1]))
             bitmaps = [next(maps) if f else None for f in fresh.tolist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(size), pa.array(name.view(np.int64), mask=size == 0), pa.array(bitmaps, pa.list_(pa.int64())), pa.nulls(len(size), pa.binary())], ["doc_id", "n_shingles", "class", "bitmap", "counts"]
+                [batch.column(0).cast(pa.int64()), pa.array(size), pa.array(name.view(np.int64), mask=size == 0), pa.array(set_check(flat, own).view(np.int64)), pa.array(bitmaps, pa.list_(pa.int64())), pa.nulls(len(size), pa.binary())], names
             )
             held.append(grams)
             many += len(grams)
@@ -215,7 +240,7 @@ def frequent_grams(found: DataFrame, most: int = LISTED) -> np.ndarray:
     return np.sort(rows.astype(np.int64).view(np.uint64))
 
 
-def buckets(docs: DataFrame, frequent: np.ndarray, n: int = N, percent: int = PERCENT) -> DataFrame:
+def buckets(docs: DataFrame, frequent: np.ndarray, n: int = N, percent: int = PERCENT, twins: np.ndarray = NONE) -> DataFrame:
     """(bucket, node, size, place, lead, members): classes that share a segment, in order of their name, with the
     bucket's first class and its number of classes."""
     parts = runs.partitions_for(docs)
@@ -236,7 +261,7 @@ def buckets(docs: DataFrame, frequent: np.ndarray, n: int = N, percent: int = PE
 
         for _, buf, off in blocks(batches, "text"):
             flat, own = doc_sets(buf, off, n)
-            name = set_class(flat, own)
+            name = set_class(flat, own, twins)
             fresh = np.zeros(len(name), bool)
             for i, x in enumerate(name.tolist()):
                 if x and x not in seen:
@@ -313,7 +338,7 @@ def _bitmap(nodes: DataFrame) -> tuple[np.ndarray, int]:
     return out, bits
 
 
-def fragments(docs: DataFrame, nodes: DataFrame, n: int = N, whole: bool = False) -> DataFrame:
+def fragments(docs: DataFrame, nodes: DataFrame, n: int = N, whole: bool = False, twins: np.ndarray = NONE) -> DataFrame:
     """(node, fragment, grams) of the classes among ``nodes`` and of few others; ``whole``: in one fragment, and
     once for each task that met the class."""
     bitmap, bits = _bitmap(nodes)
@@ -323,7 +348,7 @@ def fragments(docs: DataFrame, nodes: DataFrame, n: int = N, whole: bool = False
         wanted, seen = shared.value, set()
         for _, buf, off in blocks(batches, "text"):
             flat, own = doc_sets(buf, off, n)
-            name = set_class(flat, own)
+            name = set_class(flat, own, twins)
             low = (name & np.uint64(bits - 1)).astype(np.int64)
             hit = (name != 0) & (wanted[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1 > 0)
             node, part, grams = [], [], []
@@ -487,14 +512,14 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return offsets, whole.values.to_numpy()
 
 
-def links(docs: DataFrame, found: DataFrame, n: int = N, percent: int = PERCENT, most: int = CLUSTER) -> DataFrame | None:
+def links(docs: DataFrame, found: DataFrame, n: int = N, percent: int = PERCENT, most: int = CLUSTER, twins: np.ndarray = NONE) -> DataFrame | None:
     """(node, component) of every class that shares a bucket, given ``classes``; None if none does.
 
     Classes of a bucket whose sketches allow a link are connected; outside the clusters that they form nothing can
     link. A cluster of up to ``most`` grams is
     settled by one task; the classes of larger ones are compared pair by pair in ``rounds_of``.
     """
-    rows = settle(buckets(docs, frequent_grams(found), n, percent))
+    rows = settle(buckets(docs, frequent_grams(found), n, percent, twins))
     if rows.isEmpty():
         return None
     cluster = components(possible_links(rows, found, runs.partitions_for(docs), percent)).withColumnRenamed("component", "cluster")
@@ -503,16 +528,16 @@ def links(docs: DataFrame, found: DataFrame, n: int = N, percent: int = PERCENT,
     large = settle(sums.where(F.col("_grams") > most).select("cluster"))
     small = sized.join(large, "cluster", "left_anti").select("node", "cluster")
     parts = runs.partitions_for(docs)
-    sets = fragments(docs, sized.select("node"), n, whole=True).join(small, "node")
+    sets = fragments(docs, sized.select("node"), n, True, twins).join(small, "node")
     placed = sets.withColumn("part", F.pmod(F.xxhash64("cluster"), F.lit(parts)))
     out = placed.groupBy("part").applyInArrow(lambda t: cluster_links(t, percent), "node long, component long")
     if not large.isEmpty():
-        rest = rounds_of(docs, found, settle(rows.join(sized.join(large, "cluster", "left_semi").select("node"), "node", "left_semi")), n, percent)
+        rest = rounds_of(docs, found, settle(rows.join(sized.join(large, "cluster", "left_semi").select("node"), "node", "left_semi")), n, percent, twins)
         out = out if rest is None else out.unionByName(rest)
     return settle(out)
 
 
-def rounds_of(docs: DataFrame, found: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame | None:
+def rounds_of(docs: DataFrame, found: DataFrame, rows: DataFrame, n: int, percent: int, twins: np.ndarray = NONE) -> DataFrame | None:
     """(node, component) of linked classes in buckets of any size, members against one, eight, 64 ... leaders."""
     maps = found.where("bitmap IS NOT NULL").select("class", "bitmap").join(rows.select(F.col("node").alias("class")), "class", "left_semi")
     maps = settle(maps.groupBy("class").agg(F.first("bitmap").alias("bitmap")))
@@ -540,7 +565,7 @@ def rounds_of(docs: DataFrame, found: DataFrame, rows: DataFrame, n: int, percen
             likely = settle(near_sketches(pairs, maps, percent))
             if not likely.isEmpty():
                 nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-                good = overlaps(likely, fragments(docs, nodes, n)).where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent)
+                good = overlaps(likely, fragments(docs, nodes, n, False, twins)).where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent)
                 linked_now = settle(good.select(F.col("a").alias("u"), F.col("b").alias("v")))
                 if not linked_now.isEmpty():
                     edges = linked_now if edges is None else edges.unionByName(linked_now)
@@ -552,14 +577,18 @@ def rounds_of(docs: DataFrame, found: DataFrame, rows: DataFrame, n: int, percen
 
 def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class and component_id (the smallest doc_id reachable by links) of every document."""
-    return grouped(docs, n, percent).drop("component")
+    return grouped(docs, n, percent)[0].drop("component")
 
 
-def grouped(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """As ``linked``, with the component by the name of one of its classes, which no other component has."""
+def grouped(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, np.ndarray]:
+    """As ``linked``, with the component by the name of one of its classes, which no other component has; and the
+    names that need a check (``twin_names``)."""
     docs = docs.select("doc_id", "text")
     found = settle(classes(docs, n))
-    group = links(docs, found, n, percent)
+    twins = twin_names(found)
+    if len(twins):
+        found = settle(classes(docs, n, twins))
+    group = links(docs, found, n, percent, twins=twins)
     own = found.where("counts IS NULL").select("doc_id", "n_shingles", "class")
     named = own.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("_least"))
     if group is None:
@@ -569,34 +598,30 @@ def grouped(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
         least = joined.groupBy("component").agg(F.min("_least").alias("component_id"))
         top = joined.select("class", "component").join(least, "component").select("class", "component", "component_id")
     out = own.join(top, "class", "left")
-    return out.select("doc_id", "n_shingles", "class", "component", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", "class", "component", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), twins
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns."""
+    """One document of each component, the one with the smallest doc_id, with all its columns, whatever their names."""
     ship(docs.sparkSession)
-    found = grouped(docs, n, percent).where("class IS NOT NULL")
+    groups, twins = grouped(docs, n, percent)
     # the component's own row: that of the smallest id, nulls last, of the smallest class among equal ids
-    chosen = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "class")).alias("_first"))
-    keep = chosen.select(F.col("_first.doc_id").alias("_id"), F.col("_first.class").alias("_class"))
-    schema = docs.schema.simpleString()[len("struct<") : -1]
+    first = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "class")
+    chosen = groups.where("class IS NOT NULL").groupBy("component").agg(F.min(first).alias("_first"))
+    keep = chosen.select(F.col("_first.doc_id").alias("id"), F.col("_first.class").alias("class"))
+    row = T.StructType([T.StructField("class", T.LongType()), T.StructField("doc", docs.schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, off in blocks(batches, "text"):
             flat, own = doc_sets(buf, off, n)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(set_class(flat, own).view(np.int64), mask=np.diff(own) == 0)], [*batch.schema.names, "_class"])
-
-    named = docs.mapInArrow(run, _with(docs, "_class"))
-    none = named.where("_class IS NULL")
-    best = named.where("_class IS NOT NULL").withColumnRenamed("_class", "_c")
-    hit = best.join(keep, (F.col("_c") == F.col("_class")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return hit.dropDuplicates(["doc_id", "_c"]).select(*docs.columns).unionByName(none.select(*docs.columns))
-
-
-def _with(docs: DataFrame, name: str):
-    from pyspark.sql import types as T
-
-    return T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+            name = pa.array(set_class(flat, own, twins).view(np.int64), mask=np.diff(own) == 0)
+            yield pa.RecordBatch.from_arrays([name, pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))], ["class", "doc"])
+
+    named = docs.mapInArrow(run, row)  # the document as one struct, so that no name can clash
+    none = named.where("class IS NULL").select("doc")
+    best = named.where("class IS NOT NULL").select(F.col("class").alias("own"), F.col("doc.doc_id").alias("own_id"), "doc")
+    hit = best.join(keep, (F.col("own") == F.col("class")) & F.col("own_id").eqNullSafe(F.col("id")), "left_semi")
+    return hit.dropDuplicates(["own_id", "own"]).select("doc").unionByName(none).select("doc.*")
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:

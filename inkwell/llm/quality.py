@@ -13,6 +13,7 @@ has no words and fails; repeated rows are judged alike; a document without lines
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import crf
-from inkwell.llm.textbuf import blocks, cut_words, gram_hashes, mix, prefix, ship, span_hash, utf8, word_hashes
+from inkwell.llm.textbuf import blocks, byte_hashes, cut_words, gram_hashes, mix, same_bytes, ship, utf8
 
 #: Labelled documents that the chain is fitted on, at most.
 SAMPLE_DOCS = 1500
@@ -55,6 +56,39 @@ _COUNTS = [
 ]
 
 
+def _groups(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group of each (value, row), and the first place of its group."""
+    order = np.lexsort((value, row))
+    new = np.ones(len(order), bool)
+    new[1:] = (value[order[1:]] != value[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
+    group, first = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    first[order] = np.repeat(order[new], np.diff(np.append(np.flatnonzero(new), len(order))))
+    return group, first
+
+
+def _same_lines(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether each range has the bytes of the range ``first`` names."""
+    size = ends - starts
+    same = size == size[first]
+    at = np.flatnonzero(same & (first < np.arange(len(first))))
+    same[at] = same_bytes(buf, starts[at], starts[first[at]], size[at])
+    return same
+
+
+def _by_bytes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, rows: np.ndarray, repeated: np.ndarray) -> None:
+    """Settle ``repeated`` of some rows by the words themselves."""
+    for r in rows.tolist():
+        own = np.flatnonzero(row == r)
+        words = [buf[a:b].tobytes() for a, b in zip(starts[own].tolist(), ends[own].tolist())]
+        grams = list(zip(words, words[1:], words[2:]))
+        times = Counter(grams)
+        repeated[own] = False
+        for i, g in enumerate(grams):
+            if times[g] > 1:
+                repeated[own[i : i + 3]] = True
+
+
 def line_table(buf: np.ndarray, off: np.ndarray):
     """Lines (start, end, row) and per line eight counts, words, repeated neighbours and a duplicate flag;
     per row the base figures."""
@@ -76,7 +110,7 @@ def line_table(buf: np.ndarray, off: np.ndarray):
         counts += [both & np.uint64(0xFFFFFFFF), both >> np.uint64(32)]
     counts = np.stack(counts, 1).astype(np.int64)
     w_start, w_end, w_row = cut_words(buf, off)
-    hashes = word_hashes(buf, w_start, w_end)
+    hashes = byte_hashes(buf, w_start, w_end)
     first, stop = np.searchsorted(w_start, starts), np.searchsorted(w_start, ends)
     words = stop - first
     echo = np.zeros(len(w_start) + 1, np.int64)
@@ -84,25 +118,28 @@ def line_table(buf: np.ndarray, off: np.ndarray):
     repeats = np.where(words > 1, echo[stop] - echo[np.minimum(first + 1, len(w_start))], 0)
     # lines with a word, equal to an earlier line of the row
     has = np.flatnonzero(words > 0)
-    key = mix(span_hash(prefix(buf), starts[has], ends[has]) + row[has].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(key, kind="stable")
-    again = np.zeros(len(has), bool)
-    again[order[1:]] = key[order[1:]] == key[order[:-1]]
+    group, first = _groups(byte_hashes(buf, starts[has], ends[has]), row[has])
+    same = _same_lines(buf, starts[has], ends[has], first)
     duplicate = np.zeros(len(starts), bool)
-    duplicate[has[again]] = True
+    duplicate[has[same & (first < np.arange(len(has)))]] = True
     # words in 3-word windows that the row holds twice
     repeated = np.zeros(len(w_start), bool)
-    if len(w_start) >= 3:
-        grams = gram_hashes(hashes, 3)
-        at = np.flatnonzero(w_row[2:] == w_row[:-2])
-        keyed = mix(grams[at] + w_row[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order = np.argsort(keyed)
-        same = keyed[order[1:]] == keyed[order[:-1]]
-        twice = np.zeros(len(at), bool)
-        twice[order[1:]] |= same
-        twice[order[:-1]] |= same
+    at = np.flatnonzero(w_row[2:] == w_row[:-2]) if len(w_start) >= 3 else w_row[:0]
+    if len(at):
+        group, first = _groups(gram_hashes(hashes, 3)[at], w_row[at])
+        for j in range(3):
+            repeated[at[np.bincount(group)[group] > 1] + j] = True
+        copy = np.flatnonzero(first < np.arange(len(at)))
+        unequal = np.zeros(len(copy), bool)
         for j in range(3):
-            repeated[at[twice] + j] = True
+            unequal |= ~_same_lines(buf, w_start[at + j], w_end[at + j], first)[copy]
+        _by_bytes(buf, w_start, w_end, w_row, np.unique(w_row[at[copy[unequal]]]), repeated)
+    for r in np.unique(row[has[~same]]).tolist():  # unequal lines of one hash: settle the row by its bytes
+        seen: set[bytes] = set()
+        for i in has[row[has] == r].tolist():
+            line = buf[starts[i] : ends[i]].tobytes()
+            duplicate[i] = line in seen
+            seen.add(line)
     base = np.stack(
         [
             np.bincount(w_row, minlength=n_rows),

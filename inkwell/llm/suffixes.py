@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from inkwell.llm import runs
 from inkwell.llm.superkmer import _ordinals, _spread, _survivors, sliding_min
-from inkwell.llm.textbuf import mix, prefix, span_hash, span_union, tidy
+from inkwell.llm.textbuf import prefix, rolling_hash, span_union, tidy
 
 WINDOW = 200
 GRAM = 32
@@ -124,7 +124,7 @@ def byte_runs(buf: np.ndarray, off: np.ndarray, window: int = WINDOW, gram: int
         return none, none, none, np.zeros(0, np.uint64), np.zeros(0, bool)
     sums = prefix(buf)
     at = np.arange(len(buf) - gram + 1)
-    value = span_hash(sums, at, at + gram)
+    value = rolling_hash(sums, at, at + gram)
     wide = window - gram
     least = sliding_min(value, wide + 1)
     sizes = np.diff(off)
@@ -158,11 +158,10 @@ def _find(buf: np.ndarray, off: np.ndarray):
     return row, _ordinals(row), value, inner
 
 
-def _text_keys(text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Two independent hashes of each byte range, as rows."""
-    one = span_hash(prefix(text), lo, hi)
-    two = span_hash(prefix(text ^ 0x55), lo, hi)
-    return np.stack([one, two], 1)
+def _text_keys(texts: list[bytes]) -> np.ndarray:
+    """128 bits of the BLAKE2b digest of each string, as rows of two numbers."""
+    joined = b"".join([hashlib.blake2b(t, digest_size=16).digest() for t in texts])
+    return np.frombuffer(joined, "<u8").reshape(-1, 2)
 
 
 def repeated(docs: DataFrame, parts: int, keep_first: bool, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
@@ -189,7 +188,8 @@ def repeated(docs: DataFrame, parts: int, keep_first: bool, window: int = WINDOW
             if not len(pick):
                 continue
             row, at, value, stop = row[pick], at[pick], value[pick], at[pick] + count[pick] + window - 1
-            held.append((value, ids[row], keys[row], at - off[row], stop - at, _text_keys(buf, at, stop), [buf[a:b].tobytes() for a, b in zip(at.tolist(), stop.tolist())]))
+            strings = [buf[a:b].tobytes() for a, b in zip(at.tolist(), stop.tolist())]
+            held.append((value, ids[row], keys[row], at - off[row], stop - at, _text_keys(strings), strings))
         if not held:
             return runs.empty(schema)
         value, ids, key, start, size, digest = (np.concatenate([h[i] for h in held]) for i in range(6))
@@ -222,7 +222,7 @@ def repeated(docs: DataFrame, parts: int, keep_first: bool, window: int = WINDOW
         if len(value):
             ids, key, start, size, asks = meta.reshape(-1, 5).T
             end = np.cumsum(size)
-            digest = _text_keys(text, end - size, end)
+            digest = _text_keys([text[a:b].tobytes() for a, b in zip((end - size).tolist(), end.tolist())])
             order = np.lexsort((start, ids, digest[:, 1], digest[:, 0], value))
             new = np.ones(len(order), bool)
             new[1:] = (digest[order[1:]] != digest[order[:-1]]).any(1)

@@ -1,8 +1,8 @@
 """Substring dedup by super-k-mer partitioning: windows of 13 words that a smaller doc_id also has.
 
 Consecutive windows that share a minimiser (the smallest hash of their runs of 5 words) travel as one
-packed string to the minimiser's partition, where the windows are sorted by their 128-bit hash and counted
-exactly; every window of a document other than the smallest is removed. ``runs`` has the exchange.
+packed string to the minimiser's partition, where the windows are sorted by a 128-bit hash, compared byte by
+byte and counted exactly; every window of a document other than the smallest is removed. ``runs`` has the exchange.
 
 Defined results: null text has no words; a null doc_id counts as larger than any other; rows with the
 same doc_id are not smaller than each other, so repeated rows keep the same words.
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from inkwell.llm import runs
-from inkwell.llm.textbuf import cut_words, gram_hashes, mix, tidy, word_hashes
+from inkwell.llm.textbuf import byte_hashes, cut_words, gram_hashes, mix, same_bytes, tidy
 
 WINDOW = 13
 GRAM = 5
@@ -39,11 +39,11 @@ def word_runs(buf: np.ndarray, off: np.ndarray, window: int = WINDOW, gram: int
     """Words (starts, ends, row, first word of each row) and runs (row, first window, windows, minimiser)."""
     starts, ends, row = cut_words(buf, off)
     base = np.searchsorted(row, np.arange(len(off) - 1))
-    hashes = word_hashes(buf, starts, ends)
+    hashes = byte_hashes(buf, starts, ends)
     n = len(starts) - window + 1
     if n < 1:
         none = np.zeros(0, np.int64)
-        return (starts, ends, row, base, hashes), (none, none, none, np.zeros(0, np.uint64))
+        return (starts, ends, row, base), (none, none, none, np.zeros(0, np.uint64))
     least = sliding_min(gram_hashes(hashes, gram), window - gram + 1)
     valid = row[:n] == row[window - 1 :]
     new = valid.copy()
@@ -51,7 +51,7 @@ def word_runs(buf: np.ndarray, off: np.ndarray, window: int = WINDOW, gram: int
     at = np.flatnonzero(new)
     stop = np.append(at[1:], n)
     count = np.add.reduceat(valid.astype(np.int64), at) if len(at) else stop[:0]
-    return (starts, ends, row, base, hashes), (row[at], at, count, least[at])
+    return (starts, ends, row, base), (row[at], at, count, least[at])
 
 
 def _ordinals(row: np.ndarray) -> np.ndarray:
@@ -65,32 +65,61 @@ def _find(buf: np.ndarray, off: np.ndarray):
     return row, _ordinals(row), value, np.zeros(len(row), bool)
 
 
-def window_keys(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of every window."""
-    return gram_hashes(hashes, window), gram_hashes(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), window)
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... for count[i] values, joined."""
+    total = np.cumsum(count)
+    return np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - count, count) + np.repeat(first, count)
 
 
-def _not_least(one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each window also starts in a smaller document; and whether its key is among several."""
+def joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words as bytes with one space after each, and where each begins."""
+    size = ends - starts + 1
+    at = np.cumsum(size) - size
+    text = np.full(int(size.sum()), 32, np.uint8)
+    text[_spread(at, size - 1)] = buf[_spread(starts, size - 1)]
+    return text, at
+
+
+def _removed(text: np.ndarray, size: np.ndarray, ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every window of packed strings (words ``joined``, ``size`` bytes each): its string, its place there, and
+    whether a string of a smaller id has it too.
+
+    Windows meet by 128 bits; every one is then compared with the first of its group byte by byte, and a
+    group of unequal windows is settled by the bytes themselves.
+    """
+    starts, ends, row = cut_words(text, np.append(0, np.cumsum(size)))
+    base = np.searchsorted(row, np.arange(len(size)))
+    at = np.flatnonzero(row[: len(row) - window + 1] == row[window - 1 :])
+    one = gram_hashes(byte_hashes(text, starts, ends, 1), window)[at]
+    two = gram_hashes(byte_hashes(text, starts, ends, 2), window)[at]
+    lo, hi, doc = starts[at], ends[at + window - 1], ids[row[at]]
     order = np.argsort(one)
     a, b = one[order], two[order]
-    new = np.ones(len(a), bool)
-    new[1:] = a[1:] != a[:-1]
-    if ((b[1:] != b[:-1]) & ~new[1:]).any():  # the first hash alone isn't enough
+    if ((b[1:] != b[:-1]) & (a[1:] == a[:-1])).any():  # the first hash alone isn't enough
         order = np.lexsort((two, one))
         a, b = one[order], two[order]
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    at = np.flatnonzero(new)
-    low = np.repeat(np.minimum.reduceat(doc[order], at), np.diff(np.append(at, len(a))))
-    out = np.zeros(len(a), bool)
-    out[order] = doc[order] > low
-    return out, order
-
-
-def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """first[i], first[i] + 1, ... for count[i] values, joined."""
-    total = np.cumsum(count)
-    return np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - count, count) + np.repeat(first, count)
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    first = np.flatnonzero(new)
+    many = np.diff(np.append(first, len(a)))
+    group = np.repeat(np.arange(len(first)), many)
+    least = np.minimum.reduceat(doc[order], first)
+    gone = np.zeros(len(at), bool)
+    gone[order] = doc[order] > least[group]
+    other = np.flatnonzero(~new)
+    mine, lead = order[other], order[first[group[other]]]
+    width = hi - lo
+    equal = width[mine] == width[lead]
+    equal[equal] = same_bytes(text, lo[mine[equal]], lo[lead[equal]], width[mine[equal]])
+    for g in np.unique(group[other[~equal]]).tolist():
+        low: dict[bytes, int] = {}
+        own = order[first[g] : first[g] + many[g]].tolist()
+        for i in own:
+            piece = text[lo[i] : hi[i]].tobytes()
+            low[piece] = min(low.get(piece, int(doc[i])), int(doc[i]))
+        for i in own:
+            gone[i] = doc[i] > low[text[lo[i] : hi[i]].tobytes()]
+    return row[at], at - base[row[at]], gone
 
 
 def _survivors(row, ordinal, keys, packets_table):
@@ -126,50 +155,40 @@ def repeated(docs: DataFrame, parts: int, window: int = WINDOW, gram: int = GRAM
             return runs.empty(schema)
         wanted = np.unique(runs.gather(named, 1, ["<i8"])[0])
         mine = mine.filter(pa.array(np.isin(mine.column("key").to_numpy(), wanted)))
-        sent, removed = [], []
-        held: list[tuple] = []
+        held = []
         for batch, buf, off in runs.pieces(mine):
             keys = batch.column(batch.schema.get_field_index("key")).to_numpy(zero_copy_only=False)
             ids = batch.column(0).fill_null(int(runs.LAST)).to_numpy(zero_copy_only=False)
-            (starts, ends, row, base, hashes), (r, at, count, value) = word_runs(buf, off, window, gram)
+            (starts, ends, _, base), (r, at, count, value) = word_runs(buf, off, window, gram)
             pick = _survivors(r, _ordinals(r), keys, named)
             if not len(pick):
                 continue
-            r, at, count, value = r[pick], at[pick], count[pick], value[pick]
-            one, two = window_keys(hashes, window)
-            each = _spread(at, count)
-            held.append((one[each], two[each], np.repeat(ids[r], count), np.repeat(keys[r], count), each - base[np.repeat(r, count)]))
-            sent.append((value, count, ids[r], keys[r], at - base[r], [buf[starts[a] : ends[a + c + window - 2]].tobytes() for a, c in zip(at.tolist(), count.tolist())]))
-        if not sent:
+            r, at, words, value = r[pick], at[pick], count[pick] + window - 1, value[pick]
+            each = _spread(at, words)
+            text, begin = joined(buf, starts[each], ends[each])
+            edge = np.append(begin, len(text))[np.append(0, np.cumsum(words))]
+            held.append((value, ids[r], keys[r], at - base[r], np.diff(edge), text))
+        if not held:
             return runs.empty(schema)
-        one, two, doc, key, first = (np.concatenate(x) for x in zip(*held))
-        gone, _ = _not_least(one, two, doc)  # windows that this partition can settle itself
-        removed = ranges(key[gone], first[gone])
-        value, count, ids, keys, start = (np.concatenate([s[i] for s in sent]) for i in range(5))
-        texts = [t for s in sent for t in s[5]]
-        open_ = np.flatnonzero(np.add.reduceat((~gone).astype(np.int64), np.cumsum(count) - count) > 0)
-        rows = removed
+        value, ids, key, start, size, text = (np.concatenate(x) for x in zip(*held))
+        del held
+        string, place, gone = _removed(text, size, ids, window)  # windows that this partition can settle itself
+        rows = ranges(key[string[gone]], start[string[gone]] + place[gone])
+        open_ = np.flatnonzero(np.bincount(string[~gone], minlength=len(size)) > 0)
+        begin = np.cumsum(size) - size
         for p, i in runs.split((value[open_] >> np.uint64(33)).astype(np.int64) % parts):
             i = open_[i]
-            packed = [texts[j] for j in i.tolist()]
-            rows.append((p, 2, ids[i], keys[i], start[i].astype(np.int32), np.array([len(t) for t in packed], np.int64), b"".join(packed)))
+            rows.append((p, 2, ids[i], key[i], start[i].astype(np.int32), size[i].astype(np.int64), text[_spread(begin[i], size[i])]))
         return pa.Table.from_batches([runs.packets(rows)]).cast(schema)
 
     def count(table: pa.Table) -> pa.Table:
         tidy()
         kinds = table.column("kind").to_numpy()
         out = [table.filter(pa.array(kinds == 3))]
-        ids, keys, start, size, text = runs.gather(table, 2, ["<i8", "<i8", "<i4", "<i8", "u1"])
+        ids, key, start, size, text = runs.gather(table, 2, ["<i8", "<i8", "<i4", "<i8", "u1"])
         if len(ids):
-            starts, ends, row = cut_words(text, np.append(0, np.cumsum(size)))
-            hashes = word_hashes(text, starts, ends)
-            one, two = window_keys(hashes, window)
-            n = len(one)
-            valid = np.flatnonzero(row[:n] == row[window - 1 :])
-            r = row[valid]
-            gone, _ = _not_least(one[valid], two[valid], ids[r])
-            first = valid - np.searchsorted(row, np.arange(len(ids)))[r] + start[r]
-            if rows := ranges(keys[r[gone]], first[gone]):
+            string, place, gone = _removed(text, size, ids, window)
+            if rows := ranges(key[string[gone]], start[string[gone]].astype(np.int64) + place[gone]):
                 out.append(pa.Table.from_batches([runs.packets(rows)]).cast(table.schema))
         return pa.concat_tables(out)
 
@@ -220,12 +239,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         ids, n, removed, sha, kept = [], [], [], [], []
         for batch, buf, starts, ends, base, gone in _covered(mine, named):
             ids += batch.column(0).to_pylist()
-            # one byte follows each word: make it a space, then drop what lies outside kept words
-            size = (ends - starts + 1)[~gone]
-            text = np.full(int(size.sum()), 32, np.uint8)
-            at = np.cumsum(size) - size
-            inner = _spread(at, size - 1)
-            text[inner] = buf[_spread(starts[~gone], size - 1)]
+            text, at = joined(buf, starts[~gone], ends[~gone])
             edge = np.append(at, len(text))
             before = np.append(0, np.cumsum(~gone))
             for a, b in zip(base[:-1].tolist(), base[1:].tolist()):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ SPACE[32] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLOCK = 1 << 20
+#: Bytes from which a range is hashed and compared by itself.
+LONG = 512
 
 try:
     _libc = ctypes.CDLL("libc.so.6")
@@ -32,6 +35,7 @@ _STEP = 0x9E3779B97F4A7C15
 _BASE = 0x2545F4914F6CDD1D
 _MASK = (1 << 64) - 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,31 +108,75 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix(buf: np.ndarray) -> np.ndarray:
-    """Running sums from which the hash of any byte range follows (``span_hash``)."""
+    """Running sums from which ``rolling_hash`` follows."""
     up, _ = _power(len(buf) + 1)
     out = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_tables()[buf] * up[:-1], out=out[1:])
     return out
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range; equal bytes give equal hashes in any buffer."""
+def rolling_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of overlapping short byte ranges. Being linear, it has collisions that can be constructed, so it may
+    choose minimisers, where equal bytes only have to give equal hashes, but never decide that bytes are equal."""
     _, down = _power(len(sums))
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(_STEP))
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word."""
-    return span_hash(prefix(buf), starts, ends) if len(starts) else np.zeros(0, np.uint64)
+def _lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as a number; zeros follow the end."""
+    return np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def byte_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each byte range, eight bytes a round, each round scrambled; long ranges go through BLAKE2b.
+    Ranges of equal length of up to eight bytes never collide."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * np.uint64(_STEP) + np.uint64(seed))
+    long = np.flatnonzero(size > LONG)
+    for i in long.tolist():
+        digest = hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8, salt=seed.to_bytes(8, "little"))
+        out[i] = int.from_bytes(digest.digest(), "little")
+    lanes = _lanes(buf)
+    live = np.flatnonzero(size <= LONG) if len(long) else np.arange(len(size))
+    at, left = starts[live], size[live]
+    while len(live):
+        out[live] = mix(out[live] * np.uint64(_BASE) ^ (lanes[at] & _LOW[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ranges of ``size`` bytes at ``a`` and ``b`` are equal."""
+    out = np.ones(len(a), bool)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = np.array_equal(buf[a[i] : a[i] + size[i]], buf[b[i] : b[i] + size[i]])
+    lanes, live = _lanes(buf), np.flatnonzero(size <= LONG)
+    a, b, left = a[live], b[live], size[live]
+    while len(live):
+        equal = (lanes[a] ^ lanes[b]) & _LOW[np.minimum(left, 8)] == 0
+        out[live[~equal]] = False
+        more = np.flatnonzero(equal & (left > 8))
+        live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
+    return out
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hash of every run of n consecutive values (rows are the caller's concern)."""
-    count = max(0, len(words) - n + 1)
-    out = np.zeros(count, np.uint64)
-    for j in range(n):
-        out = out * np.uint64(_BASE) + words[j : j + count]
-    return mix(out + np.uint64(n))
+    """64-bit hash of every run of n consecutive values, scrambled at each doubling (rows are the caller's concern)."""
+    count = len(words) - n + 1
+    if count < 1:
+        return np.zeros(0, np.uint64)
+    out = np.full(count, n, np.uint64)
+    width, at, rest, runs = 1, 0, n, words
+    while rest:
+        if rest & 1:
+            out = mix(out * np.uint64(_BASE) ^ runs[at : at + count])
+            at += width
+        rest >>= 1
+        if rest:
+            runs = mix(runs[:-width] * np.uint64(_BASE) ^ runs[width:])
+            width *= 2
+    return out
 
 
 def signed(x: np.ndarray) -> np.ndarray:
