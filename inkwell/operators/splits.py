@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import fixed as X
 from inkwell.functions import text as T
 from inkwell.operators.graph import components
+from inkwell.operators.ordered import numbered, running
 from inkwell.session import settle
 
 
@@ -36,10 +37,19 @@ def near_duplicate_pairs(docs: DataFrame, key: str, threshold: float = X.NEAR_DU
 
 
 def near_duplicate_groups(docs: DataFrame, key: str, threshold: float = X.NEAR_DUP_THRESHOLD, n: int = X.NEAR_DUP_N) -> DataFrame:
-    """key and group (its smallest key) of every document."""
-    pairs = near_duplicate_pairs(docs, key, threshold, n)
+    """key and group (its smallest key) of every document.
+
+    Documents of equal tokens are one class, and the smallest key of a class stands for it, so copies never meet
+    pair by pair.
+    """
+    tokens = T.near_dup_tokens(F.col("text"))
+    named = settle(docs.select(key, "text", F.when(F.size(tokens) >= n, F.sha2(F.array_join(tokens, " "), 256)).otherwise(F.concat(F.lit("none|"), F.coalesce(F.col(key).cast("string"), F.lit("")))).alias("_class")))
+    least = named.groupBy("_class").agg(F.min(key).alias("_lead"))
+    member = named.select(key, "_class").distinct().join(least, "_class").select(key, "_lead")
+    leads = named.join(least.select(F.col("_lead").alias(key)), key, "left_semi").select(key, "text")
+    pairs = near_duplicate_pairs(leads, key, threshold, n)
     found = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return docs.select(key).distinct().join(found.withColumnRenamed("node", key), key, "left").select(key, F.coalesce("component", F.col(key)).alias("group"))
+    return member.join(found.withColumnRenamed("node", "_lead"), "_lead", "left").select(key, F.coalesce("component", "_lead").alias("group"))
 
 
 def group_split(groups: DataFrame, val: float = X.VAL_FRACTION, blind: float = X.BLIND_FRACTION, seed: int = X.SEED) -> DataFrame:
@@ -48,9 +58,9 @@ def group_split(groups: DataFrame, val: float = X.VAL_FRACTION, blind: float = X
     At four groups or more blind and val take their share, at least one; three give one each, two one blind,
     one none; the rest trains. Shares round half to even.
     """
-    order = Window.partitionBy("register").orderBy(T.seeded(seed, F.col("group")), "group")
-    stratum = Window.partitionBy("register")
-    ranked = groups.withColumns({"_i": F.row_number().over(order), "_n": F.count("*").over(stratum)})
+    ready = groups.withColumn("_o", T.seeded(seed, F.col("group")))
+    sizes = groups.groupBy(F.col("register").alias("_register")).agg(F.count("*").alias("_n"))
+    ranked = numbered(ready, ["_o", "group"], "_i", ["register"]).join(sizes, F.col("register").eqNullSafe(F.col("_register")))
     share = lambda f: F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(f)).cast("int"))
     n_blind = F.when(F.col("_n") >= 4, share(blind)).when(F.col("_n") >= 2, 1).otherwise(0)
     n_val = F.when(F.col("_n") >= 4, share(val)).when(F.col("_n") == 3, 1).otherwise(0)
@@ -71,10 +81,9 @@ def split_pairs_by_row(pairs: DataFrame, key: str, val: float = X.VAL_FRACTION,
     """Split rows without groups: the first floor(n * share) of a seeded order are blind, the next val."""
     n = pairs.count()
     n_blind, n_val = int(n * blind), int(n * val)
-    order = pairs.select(key).orderBy(T.seeded(seed, F.col(key)), key)
-    chosen = order.limit(n_blind + n_val).withColumn("_i", F.row_number().over(Window.orderBy(T.seeded(seed, F.col(key)), key)))
-    split = F.when(F.col("_i") <= n_blind, "blind").when(F.col("_i").isNotNull(), "val").otherwise("train")
-    return pairs.join(chosen, key, "left").withColumn("split", split).drop("_i")
+    placed = numbered(pairs.select(key, T.seeded(seed, F.col(key)).alias("_o")), ["_o", key], "_i").select(key, "_i")
+    split = F.when(F.col("_i") <= n_blind, "blind").when(F.col("_i") <= n_blind + n_val, "val").otherwise("train")
+    return pairs.join(placed, key).withColumn("split", split).drop("_i")
 
 
 def split_summary(rows: DataFrame, key: str) -> DataFrame:
@@ -89,9 +98,9 @@ def split_overlap(rows: DataFrame, key: str) -> DataFrame:
 
 def missing_registers(rows: DataFrame) -> DataFrame:
     """(split, register) of registers that train but not this split holds."""
-    have = rows.select("split", "register").distinct()
-    want = have.where("split = 'train'").select("register").join(have.select("split").distinct())
-    return want.select("split", "register").subtract(have)
+    per = rows.groupBy("register").agg(F.collect_set("split").alias("_in")).where(F.array_contains("_in", "train"))
+    every = rows.agg(F.collect_set("split").alias("_all"))  # one row of a few names
+    return per.join(F.broadcast(every)).select(F.explode(F.array_except("_all", "_in")).alias("split"), "register")
 
 
 def size_sweep(docs: DataFrame, key: str, sizes: Sequence[int] = X.SWEEP_SIZES, seed: int = X.SEED) -> DataFrame:
@@ -124,20 +133,15 @@ def not_nested(sweep: DataFrame, key: str) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key in a stated order."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i")
+    """The first row of each key in a stated order: a least element per key, which partial aggregates find."""
+    first = rows.groupBy(*[F.col(b) for b in by]).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row"))
+    return first.select("_row.*")
 
 
 def interleave(rows: DataFrame, who: str, order: Sequence[str], per: int = 20) -> DataFrame:
     """Rows with ``sequence``: the k-th row of each author stands at (k + 0.5) / per, authors in order."""
-    k = F.row_number().over(Window.partitionBy(who).orderBy(*order)) - 1
-    placed = rows.withColumn("_k", k)
-    per_place = placed.groupBy("_k").agg(F.count("*").alias("_c"))  # rounds, far fewer than rows
-    ahead = F.coalesce(F.sum("_c").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("_k").orderBy(who))
-    numbered = placed.withColumn("_r", inside).join(per_place.select("_k", ahead.alias("_ahead")), "_k")
-    return numbered.withColumns({"sequence": F.col("_ahead") + F.col("_r"), "position": (F.col("_k") + 0.5) / per}).drop("_k", "_r", "_ahead")
+    placed = numbered(rows, order, "_k", [who]).withColumn("_k", F.col("_k") - 1)
+    return numbered(placed, ["_k", who], "sequence").withColumn("position", (F.col("_k") + 0.5) / per).drop("_k")
 
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = X.SEED) -> DataFrame:
@@ -148,11 +152,11 @@ def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = X.SEED) -> Data
 def class_balance(rows: DataFrame, label: str, order: Sequence[str]) -> DataFrame:
     """As many rows of each class as the smallest class has, in a stated order."""
     least = rows.groupBy(label).agg(F.count("*").alias("_c")).agg(F.min("_c").alias("_k"))
-    ranked = rows.withColumn("_i", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
+    ranked = numbered(rows, order, "_i", [label])
     return ranked.join(F.broadcast(least)).where(F.col("_i") <= F.col("_k")).drop("_i", "_k")
 
 
 def word_budget(docs: DataFrame, order: Sequence[str], most: int) -> DataFrame:
     """Documents in order until their words reach a budget."""
-    before = F.coalesce(F.sum("n_words").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return docs.withColumn("_before", before).where(F.col("_before") < most).drop("_before")
+    placed = running(docs, order, {"_to": F.col("n_words")})
+    return placed.where(F.col("_to") - F.col("n_words") < most).drop("_to")

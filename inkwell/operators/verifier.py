@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import fixed as X
 from inkwell.functions import text as T
+from inkwell.operators.ordered import numbered, running
+from inkwell.operators.splits import class_balance, keep_first
 
 
 def unit(vector: Column) -> Column:
@@ -16,10 +18,10 @@ def unit(vector: Column) -> Column:
 
 def held_out(rows: DataFrame, group: str, share: float = X.AV_TEST_FRACTION, seed: int = X.SEED) -> DataFrame:
     """``rows`` with ``test``: whole groups, the first share of a seeded order, are held out."""
-    groups = rows.select(group).distinct()
-    order = Window.orderBy(T.seeded(seed, F.col(group)), group)
-    n = Window.partitionBy(F.lit(0))
-    marked = groups.select(group, (F.row_number().over(order) <= F.ceil(F.count("*").over(n) * F.lit(share))).alias("test"))
+    groups = rows.select(group).distinct().withColumn("_o", T.seeded(seed, F.col(group)))
+    placed = numbered(groups, ["_o", group], "_i")
+    n = placed.agg(F.count("*").alias("_n"))
+    marked = placed.join(F.broadcast(n)).select(group, (F.col("_i") <= F.ceil(F.col("_n") * F.lit(share))).alias("test"))
     return rows.join(marked, group)
 
 
@@ -54,18 +56,40 @@ def logistic_scores(rows: DataFrame, key: str, vector: str, label: str, test: st
     return model.transform(ready).select(key, label, test, *carry, F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
 
 
+def training_texts(author: DataFrame, distractor: DataFrame, balance: bool = True, least: int = X.AV_MIN_TEXTS) -> DataFrame:
+    """label (1 author), text, group and seq of what a verifier learns from (text, group, seq on either side).
+
+    Blank texts go, of equal texts of a side the first stays, and both sides have as many as the smaller one if they
+    are to be balanced. Fewer than six texts on a side are an error.
+    """
+
+    def side(rows: DataFrame, label: int) -> DataFrame:
+        own = rows.select(F.lit(label).alias("label"), T.strip(F.col("text")).alias("text"), "group", "seq").where("text <> ''")
+        return keep_first(own, ["text"], ["seq"])
+
+    both = side(author, 1).unionByName(side(distractor, 0))
+    sizes = {r["label"]: r["n"] for r in both.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    few = min(sizes.get(0, 0), sizes.get(1, 0))
+    if few < least:
+        raise ValueError(f"a verifier needs {least} texts on each side, one has {few}")
+    return class_balance(both, "label", ["seq"]) if balance else both
+
+
 def average_ranks(rows: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """``rows`` with 1-based ranks; ties share their mean. Ranks come from counts per distinct value."""
-    per = rows.groupBy(value).agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(per.select(value, (before + (F.col("_c") + 1) / 2).alias(name)), value)
+    per = running(rows.groupBy(value).agg(F.count("*").alias("_c")), [value], {"_to": F.col("_c")})
+    return rows.join(per.select(value, (F.col("_to") - F.col("_c") + (F.col("_c") + 1) / 2).alias(name)), value)
+
+
+def _per_score(scored: DataFrame, label: str, score: str) -> DataFrame:
+    """Rows and positives of every distinct score."""
+    return scored.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.count("*").alias("_c"))
 
 
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One row: exact AUC by the rank sum of positives."""
-    per = scored.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn("_r", before + (F.col("_c") + 1) / 2)
+    per = running(_per_score(scored, label, score), [score], {"_to": F.col("_c")})
+    ranked = per.withColumn("_r", F.col("_to") - F.col("_c") + (F.col("_c") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("_r") * F.col("_p")).alias("r"), F.sum("_p").alias("p"), F.sum("_c").alias("n"))
     p, q = F.col("p"), F.col("n") - F.col("p")
     return sums.select(F.round((F.col("r") - p * (p + 1) / 2) / (p * q), 4).alias("auc"), p.alias("n_positive"), q.alias("n_negative"))
@@ -73,18 +97,11 @@ def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> Da
 
 def threshold_sweep(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """score, true and false positives at or above it, and balanced accuracy, for every distinct score."""
-    per = scored.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.count("*").alias("_c"))
-    above = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(F.lit(0))
-    swept = per.select(
-        F.col(score).alias("threshold"),
-        F.sum("_p").over(above).alias("tp"),
-        F.sum(F.col("_c") - F.col("_p")).over(above).alias("fp"),
-        F.sum("_p").over(every).alias("_p"),
-        F.sum(F.col("_c") - F.col("_p")).over(every).alias("_q"),
-    )
-    balanced = (F.col("tp") / F.col("_p") + (F.col("_q") - F.col("fp")) / F.col("_q")) / 2
-    return swept.select("threshold", "tp", "fp", balanced.alias("balanced_accuracy"))
+    per = _per_score(scored, label, score)
+    swept = running(per, [F.desc(score)], {"tp": F.col("_p"), "fp": F.col("_c") - F.col("_p")})
+    every = swept.agg(F.sum("_p").alias("_all_p"), F.sum(F.col("_c") - F.col("_p")).alias("_all_q"))
+    balanced = (F.col("tp") / F.col("_all_p") + (F.col("_all_q") - F.col("fp")) / F.col("_all_q")) / 2
+    return swept.join(F.broadcast(every)).select(F.col(score).alias("threshold"), "tp", "fp", balanced.alias("balanced_accuracy"))
 
 
 def best_threshold(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -25,11 +26,16 @@ def build_session(app: str = "inkwell", cores: str | None = None, shuffle_partit
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The application's folder in the session's ``spark.checkpoint.dir`` (shared storage on a cluster); a
-    temporary one is set only where the session names none, as in tests."""
+    """The application's folder in the session's ``spark.checkpoint.dir``, which is shared storage on a cluster.
+
+    Where the session names none, a local master (tests) gets a temporary one; a cluster gets an error, since its
+    executors would not see each other's files.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "inkwell-checkpoints"))
     return sc.getCheckpointDir()
 
