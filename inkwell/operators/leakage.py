@@ -1,21 +1,28 @@
 """Leakage of training text into other text: shared n-grams, copied runs, entities, probes and echo.
 
-Token tables are exploded once and met on 64-bit gram hashes by equi-joins; the longest copied run comes from
+Token tables are exploded once and meet on 128-bit gram digests by equi-joins; the longest copied run comes from
 islands on diagonals (same offset between the two texts), not from joins repeated for every length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import fixed as X
 from inkwell.functions import text as T
+from inkwell.session import ship
 
 
 def positioned_grams(docs: DataFrame, key: str, n: int = X.VERBATIM_N) -> DataFrame:
-    """key, position and n-gram of every place of every document."""
-    return docs.select(key, F.posexplode(T.grams(T.leak_tokens(F.col("text")), n)).alias("pos", "gram"))
+    """key, position and digest of the n-gram of every place of every document."""
+    grams = docs.select(key, F.posexplode(T.grams(T.leak_tokens(F.col("text")), n)).alias("pos", "_g"))
+    return grams.select(key, "pos", F.unhex(F.md5("_g")).alias("gram"))
 
 
 def shared_grams(docs: DataFrame, training: DataFrame, key: str, train_key: str, n: int = X.VERBATIM_N) -> DataFrame:
@@ -86,14 +93,58 @@ def probe_recall(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(hit, F.lit(False)).cast("int")), 4).alias("recall"))
 
 
+#: Query vectors that one pass over the training vectors serves.
+ECHO_BLOCK = 16384
+
+
+def _unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors at length one as rows, and the places of those that are neither null nor zero."""
+    places = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    if not len(places):
+        return np.zeros((0, 0)), places
+    whole = column.take(pa.array(places))
+    rows = whole.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(places), -1)
+    norm = np.sqrt((rows * rows).sum(1))
+    return rows[norm > 0] / norm[norm > 0, None], places[norm > 0]
+
+
 def semantic_echo(queries: DataFrame, training: DataFrame, key: str, vector: str, among: bool = False) -> DataFrame:
     """Highest cosine of each query vector with any training vector; ``among``: the queries are training rows, too, and
-    a row of a query's own key is not compared with it.
+    a row of a query's own key is not compared with it. Null and zero vectors are left out.
 
-    The query set is stated by the caller and bounded; training vectors stream past it in blocks.
+    Queries go in blocks of at most ``ECHO_BLOCK``, each broadcast; training vectors stream past a block, and a task
+    sends on one row per query of the block. Keys are unique and not null.
     """
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(T.dot(c, c)))
-    q = queries.select(key, unit(F.col(vector)).alias("_q"))
-    t = training.select(F.col(key).alias("_k"), unit(F.col(vector)).alias("_t"))
-    met = t.join(F.broadcast(q), ~F.col("_k").eqNullSafe(F.col(key)) if among else None)
-    return met.groupBy(key).agg(F.max(T.dot(F.col("_q"), F.col("_t"))).alias("echo"))
+    ship(training.sparkSession)
+    blocks = max(1, -(-queries.count() // ECHO_BLOCK))
+    out = None
+    for block in range(blocks):
+        mine = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == block).select(F.col(key).cast("long").alias("key"), vector)
+        arrow = mine.toArrow().combine_chunks()
+        unit, places = _unit_rows(arrow.column(1).combine_chunks()) if arrow.num_rows else (np.zeros((0, 0)), np.zeros(0, np.int64))
+        names = arrow.column(0).to_numpy()[places] if arrow.num_rows else places
+        order = np.argsort(names)
+        shared = training.sparkSession.sparkContext.broadcast((names[order], unit[order]))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own, q = shared.value
+            best = np.full(len(own), -np.inf)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(at, 1024)
+                    rows, kept = _unit_rows(batch.column(1))
+                    if not len(kept) or not len(own):
+                        continue
+                    cosine = rows @ q.T
+                    if among:
+                        ids = batch.column(0).to_numpy(zero_copy_only=False)[kept]
+                        where = np.minimum(np.searchsorted(own, ids), len(own) - 1)
+                        self_ = np.flatnonzero(own[where] == ids)
+                        cosine[self_, where[self_]] = -np.inf
+                    best = np.maximum(best, cosine.max(0))
+            seen = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(own[seen], pa.int64()), pa.array(best[seen], pa.float64())], ["key", "echo"])
+
+        part = training.select(F.col(key).cast("long").alias("key"), vector).mapInArrow(run, "key long, echo double")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy(F.col("key").alias(key)).agg(F.max("echo").alias("echo"))

@@ -7,11 +7,18 @@ Documents are measured one by one and summed, so sentences and vocabulary segmen
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import fixed as X
 from inkwell.functions import text as T
+from inkwell.operators.ordered import numbered
+from inkwell.session import settle, ship
 
 BLOCKS = {
     "function_words": X.FUNCTION_WORDS,
@@ -42,33 +49,36 @@ def msttr(tokens: Column) -> Column:
     return F.aggregate(r, F.lit(0.0), lambda a, x: a + x) / F.size(r)
 
 
-def document_counts(docs: DataFrame, *by: str) -> DataFrame:
-    """Additive counts of every document, with the columns ``by``."""
-    d = measured(docs)
+def count_columns() -> dict[str, Column]:
+    """Additive counts of ``measured`` documents, by name."""
     chars = lambda c: F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))
     said = lambda words: F.size(F.filter("_tok", lambda w: w.isin(words)))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    return d.select(
-        *by,
-        F.size("_tok").alias("n_tokens"),
-        F.size("_sent").alias("n_sents"),
-        total(F.transform("_len", lambda x: x.cast("long"))).alias("len_sum"),
-        total(F.transform("_len", lambda x: x.cast("long") * x)).alias("len_squares"),
-        total(F.transform("_tok", lambda w: F.length(w).cast("long"))).alias("letters"),
-        F.aggregate(segment_ratios(F.col("_tok")), F.lit(0.0), lambda a, x: a + x).alias("ratio_sum"),
-        F.size(segment_ratios(F.col("_tok"))).alias("ratios"),
-        T.count(F.col("text"), X.CONTRACTION).alias("contractions"),
-        said(X.HEDGES).alias("hedges"),
-        said(X.INTENSIFIERS).alias("intensifiers"),
-        said(["i", "me", "my", "we", "our"]).alias("first_person"),
-        said(["you", "your"]).alias("second_person"),
-        chars("—").alias("em_dashes"),
-        chars(";").alias("semicolons"),
-        chars("(").alias("parens"),
-        chars("?").alias("questions"),
-        chars("!").alias("exclaims"),
-        (T.count(F.col("text"), r"\n\n") + 1).alias("paras"),
-    )
+    return {
+        "n_tokens": F.size("_tok"),
+        "n_sents": F.size("_sent"),
+        "len_sum": total(F.transform("_len", lambda x: x.cast("long"))),
+        "len_squares": total(F.transform("_len", lambda x: x.cast("long") * x)),
+        "letters": total(F.transform("_tok", lambda w: F.length(w).cast("long"))),
+        "ratio_sum": F.aggregate(segment_ratios(F.col("_tok")), F.lit(0.0), lambda a, x: a + x),
+        "ratios": F.size(segment_ratios(F.col("_tok"))),
+        "contractions": T.count(F.col("text"), X.CONTRACTION),
+        "hedges": said(X.HEDGES),
+        "intensifiers": said(X.INTENSIFIERS),
+        "first_person": said(["i", "me", "my", "we", "our"]),
+        "second_person": said(["you", "your"]),
+        "em_dashes": chars("—"),
+        "semicolons": chars(";"),
+        "parens": chars("("),
+        "questions": chars("?"),
+        "exclaims": chars("!"),
+        "paras": T.count(F.col("text"), r"\n\n") + 1,
+    }
+
+
+def document_counts(docs: DataFrame, *by: str) -> DataFrame:
+    """Additive counts of every document, with the columns ``by``."""
+    return measured(docs).select(*by, *[c.alias(name) for name, c in count_columns().items()])
 
 
 RATES = {
@@ -172,27 +182,112 @@ def biggest_gaps(distances: DataFrame, k: int = 6) -> DataFrame:
     return distances.select("name", F.round("value", 4).alias("value")).orderBy(F.desc("value"), "name").limit(k)
 
 
+def _vectors(tokens: pa.Array, first: pa.Array, lengths: pa.Array, marks: pa.Array, plain: pa.Array) -> np.ndarray:
+    """Counts of every text over the keys of all blocks, then its plain counts, as rows."""
+    n = len(tokens)
+    words = pa.array(X.FUNCTION_WORDS)
+
+    def tally(lists: pa.ListArray, index: np.ndarray, size: int) -> np.ndarray:
+        row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+        good = (index >= 0) & (index < size)
+        return np.bincount(row[good] * size + index[good], minlength=n * size).reshape(n, size)
+
+    def bins(values: np.ndarray, edges: tuple[int, ...]) -> np.ndarray:
+        at = np.searchsorted(edges, values, "right") - 1
+        return np.where(values == edges[-1], len(edges) - 2, at)
+
+    def places(lists: pa.ListArray) -> np.ndarray:
+        return pc.fill_null(pc.index_in(lists.flatten(), value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    opener = places(first)
+    opener = np.where(opener < 0, X.OPENER_WORDS, np.where(opener < X.OPENER_WORDS, opener, -1))
+    letters = pc.utf8_length(tokens.flatten()).to_numpy(zero_copy_only=False)
+    return np.concatenate(
+        [
+            tally(tokens, places(tokens), len(X.FUNCTION_WORDS)),
+            tally(first, opener, X.OPENER_WORDS + 1),
+            marks.flatten().to_numpy(zero_copy_only=False).reshape(n, -1),
+            tally(lengths, bins(lengths.flatten().to_numpy(zero_copy_only=False), X.SENTENCE_BINS), len(X.SENTENCE_BINS) - 1),
+            tally(tokens, bins(letters, X.WORD_BINS), len(X.WORD_BINS) - 1),
+            plain.flatten().to_numpy(zero_copy_only=False).reshape(n, -1),
+        ],
+        axis=1,
+    ).astype(float)
+
+
+def draws(docs: DataFrame, corpus: str, key: str, replicates: int, seed: int) -> DataFrame:
+    """(corpus, key, draws): the replicates that drew each text, once for every time they did.
+
+    Texts of a corpus are numbered by key; in each replicate every place draws a text by a hash, so the draws are
+    the same in any engine and travel as small integers, gathered by the text that they hit.
+    """
+    places = settle(numbered(docs.select(corpus, key), [key], "_i", [corpus]).withColumn("_i", F.col("_i") - 1))
+    sizes = places.groupBy(corpus).agg(F.count("*").alias("_n"))  # one row per corpus
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "_r", F.col(corpus), F.col("_i").cast("string"))), 1, 8), 16, 10).cast("long")
+    cast = places.join(F.broadcast(sizes), corpus).select(corpus, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_r"))
+    hit = cast.select(corpus, (draw % F.col("_n")).alias("_i"), F.col("_r").cast("short").alias("_r")).groupBy(corpus, "_i").agg(F.collect_list("_r").alias("draws"))
+    return places.join(hit, [corpus, "_i"]).select(corpus, key, "draws")
+
+
+def replicate_sums(docs: DataFrame, corpus: str, key: str, replicates: int, seed: int) -> DataFrame:
+    """(_r, corpus, pos, n): counts of every replicate, summed over the texts that it drew.
+
+    A text's counts become one vector; a task multiplies the draws of a batch of texts with their vectors and adds
+    up the products, so what it sends on has a fixed size.
+    """
+    ship(docs.sparkSession)
+    d = measured(docs)
+    first = F.filter(F.transform("_sent", lambda s: F.get(T.style_tokens(s), F.lit(0))), lambda w: w.isNotNull())
+    marks = F.array(*[(F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double") for c in X.PUNCTUATION])
+    plain = F.array(*[c.cast("double") for c in count_columns().values()])
+    rows = d.where(F.col("text").isNotNull()).select(corpus, key, "_tok", first.alias("first"), "_len", marks.alias("marks"), plain.alias("plain"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                counts = _vectors(*(pa.concat_arrays([batch.column(i)]) for i in range(2, 7)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(counts), pa.list_(pa.float64()))], [corpus, key, "counts"])
+
+    types = dict(docs.dtypes)
+    vectors = rows.mapInArrow(measure, f"`{corpus}` {types[corpus]}, `{key}` {types[key]}, counts array<double>")
+    both = vectors.join(draws(docs, corpus, key, replicates, seed), [corpus, key]).select(F.col(corpus).cast("string").alias("corpus"), "counts", "draws")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in whole.slice(at, 256).columns], whole.schema.names)
+                counts = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                drawn = batch.column(2)
+                row = np.repeat(np.arange(batch.num_rows), np.diff(drawn.offsets.to_numpy()))
+                weight = np.bincount(row * replicates + drawn.flatten().to_numpy(), minlength=batch.num_rows * replicates).reshape(-1, replicates).astype(float)
+                names = batch.column(0).to_pylist()
+                for c in sorted(set(names)):
+                    own = [i for i, x in enumerate(names) if x == c]
+                    sums[c] = sums.get(c, 0) + weight[own].T @ counts[own]
+        for c, matrix in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), pa.array([c] * replicates), pa.array(list(matrix), pa.list_(pa.float64()))], ["_r", "corpus", "sums"])
+
+    parts = both.mapInArrow(multiply, "_r int, corpus string, sums array<double>")
+    flat = parts.select("_r", F.col("corpus").alias(corpus), F.posexplode("sums").alias("pos", "n"))
+    return flat.groupBy("_r", corpus, "pos").agg(F.sum("n").alias("n"))
+
+
 def bootstrap_ci(docs: DataFrame, corpus: str, a: str, b: str, key: str, replicates: int = 200, seed: int = X.SEED) -> DataFrame:
     """(low, high): 2.5 and 97.5 percentiles of the overall distance when texts are drawn with replacement.
 
-    A draw is a hash of replicate, side and place, so it is the same in any engine. Draws become multiplicities
-    per (replicate, text) before they meet the text's counts; two aggregations, of the distributions' counts and
-    of the scalars', serve all replicates.
+    Distributions and scalars of a replicate follow from its summed counts; those fill a table of fixed size.
     """
-    sides = docs.where(F.col(corpus).isin(a, b))
-    order = Window.partitionBy(corpus).orderBy(key)
-    placed = sides.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(corpus)))
-    places = placed.select(corpus, "_i", "_n")
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "_r", F.col(corpus), F.col("_i").cast("string"))), 1, 8), 16, 10).cast("long")
-    drawn = places.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_j", (draw % F.col("_n")).cast("int"))
-    weight = drawn.groupBy("_r", corpus, F.col("_j").alias("_i")).agg(F.count("*").alias("_w"))
-    counts = block_counts(placed, corpus, "_i")
-    summed = weight.join(counts, [corpus, "_i"]).groupBy("_r", corpus, "block", "key").agg(F.sum(F.col("_w") * F.col("n")).alias("n"))
-    who = docs.sparkSession.range(replicates).select(F.col("id").cast("int").alias("_r")).join(docs.sparkSession.createDataFrame([(a,), (b,)], f"{corpus} string"))
-    d = distributions(summed, who, "_r", corpus)
+    spark = docs.sparkSession
+    sums = settle(replicate_sums(docs.where(F.col(corpus).isin(a, b)), corpus, key, replicates, seed))  # replicates x two corpora x keys
+    keys = [(block, k) for block, own in BLOCKS.items() for k in own]
+    named = spark.createDataFrame([(i, block, k) for i, (block, k) in enumerate(keys)], "pos int, block string, key string")
+    counts = sums.join(F.broadcast(named), "pos").drop("pos")
+    who = spark.range(replicates).select(F.col("id").cast("int").alias("_r")).join(spark.createDataFrame([(a,), (b,)], f"{corpus} string"))
+    d = distributions(counts, who, "_r", corpus)
     js = js_divergence(d.where(F.col(corpus) == a).drop(corpus), d.where(F.col(corpus) == b).drop(corpus), "_r")
-    plain = document_counts(placed, corpus, "_i")
-    sums = weight.join(plain, [corpus, "_i"]).groupBy("_r", corpus).agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in plain.columns if c not in (corpus, "_i")])
-    gaps = scalar_gaps(derived(sums, "_r", corpus), corpus, a, b, "_r")
+    plain = sums.groupBy("_r", corpus).agg(*[F.max(F.when(F.col("pos") == len(keys) + i, F.col("n"))).alias(c) for i, c in enumerate(count_columns())])
+    gaps = scalar_gaps(derived(plain, "_r", corpus), corpus, a, b, "_r")
     per = overall(js.select("_r", F.concat(F.lit("dist:"), "block").alias("name"), F.col("js").alias("value")).unionByName(gaps), "_r")
     return per.agg(F.round(F.percentile("overall", F.lit(0.025)), 4).alias("low"), F.round(F.percentile("overall", F.lit(0.975)), 4).alias("high"))

@@ -45,14 +45,22 @@ def _said(words: list[str]) -> str:
 
 
 _RATIOS = f"CASE WHEN len(tok) < {X.SEGMENT} THEN [len(list_distinct(tok)) / greatest(len(tok), 1)] ELSE list_transform(range(0, len(tok) // {X.SEGMENT}), lambda i: len(list_distinct(tok[i * {X.SEGMENT} + 1:i * {X.SEGMENT} + {X.SEGMENT}])) / {X.SEGMENT}) END"
-_COUNTS = f"""{_M}, c AS (SELECT corpus, len(tok) AS n_tokens, len(sent) AS n_sents, coalesce(list_sum(lens), 0) AS len_sum, coalesce(list_sum(list_transform(lens, lambda x: x * x)), 0) AS len_squares,
+_SUMMED = ["n_tokens", "n_sents", "len_sum", "len_squares", "letters", "ratio_sum", "ratios", *stylometry.RATES.values(), "paras"]
+_C = f"""c AS (SELECT doc_id, corpus, len(tok) AS n_tokens, len(sent) AS n_sents, coalesce(list_sum(lens), 0) AS len_sum, coalesce(list_sum(list_transform(lens, lambda x: x * x)), 0) AS len_squares,
  coalesce(list_sum(list_transform(tok, lambda w: length(w))), 0) AS letters, list_sum({_RATIOS}) AS ratio_sum, len({_RATIOS}) AS ratios,
  len(regexp_extract_all(text, {S.q(X.CONTRACTION)})) AS contractions, {_said(X.HEDGES)} AS hedges, {_said(X.INTENSIFIERS)} AS intensifiers, {_said(['i', 'me', 'my', 'we', 'our'])} AS first_person, {_said(['you', 'your'])} AS second_person,
- {_chars('—')} AS em_dashes, {_chars(';')} AS semicolons, {_chars('(')} AS parens, {_chars('?')} AS questions, {_chars('!')} AS exclaims, len(regexp_extract_all(text, '\\n\\n')) + 1 AS paras FROM m),
-s AS (SELECT corpus, {', '.join(f'sum({x}) AS {x}' for x in ['n_tokens', 'n_sents', 'len_sum', 'len_squares', 'letters', 'ratio_sum', 'ratios', *stylometry.RATES.values(), 'paras'])} FROM c GROUP BY corpus),
-u AS (SELECT *, len_sum / greatest(n_sents, 1) AS mean FROM s), v AS (SELECT *, sqrt(greatest(len_squares / greatest(n_sents, 1) - mean * mean, 0.0)) AS sd FROM u),
-sc AS (SELECT corpus, mean AS sent_len_mean, sd AS sent_len_sd, CASE WHEN sd + mean > 0 THEN (sd - mean) / (sd + mean) ELSE 0.0 END AS burstiness, CASE WHEN n_tokens > 0 THEN letters / n_tokens ELSE 0.0 END AS word_len_mean,
- ratio_sum / ratios AS msttr, {', '.join(f'{c} / greatest(n_tokens, 1) * 100 AS {n}' for n, c in stylometry.RATES.items())}, n_sents / greatest(paras, 1) AS para_len_sents FROM v)"""
+ {_chars('—')} AS em_dashes, {_chars(';')} AS semicolons, {_chars('(')} AS parens, {_chars('?')} AS questions, {_chars('!')} AS exclaims, len(regexp_extract_all(text, '\\n\\n')) + 1 AS paras FROM m)"""
+
+
+def _scalar_sql(by: str) -> str:
+    """The scalars (sc) of summed counts (s), by the columns ``by``."""
+    rates = ", ".join(f"{c} / greatest(n_tokens, 1) * 100 AS {n}" for n, c in stylometry.RATES.items())
+    return f"""u AS (SELECT *, len_sum / greatest(n_sents, 1) AS mean FROM s), v AS (SELECT *, sqrt(greatest(len_squares / greatest(n_sents, 1) - mean * mean, 0.0)) AS sd FROM u),
+sc AS (SELECT {by}, mean AS sent_len_mean, sd AS sent_len_sd, CASE WHEN sd + mean > 0 THEN (sd - mean) / (sd + mean) ELSE 0.0 END AS burstiness, CASE WHEN n_tokens > 0 THEN letters / n_tokens ELSE 0.0 END AS word_len_mean,
+ ratio_sum / ratios AS msttr, {rates}, n_sents / greatest(paras, 1) AS para_len_sents FROM v)"""
+
+
+_COUNTS = f"{_M}, {_C}, s AS (SELECT corpus, {', '.join(f'sum({x}) AS {x}' for x in _SUMMED)} FROM c GROUP BY corpus), {_scalar_sql('corpus')}"
 
 
 @query(f"{_COUNTS} SELECT corpus, {', '.join(f'round({n}, 6) AS {n}' for n in X.SCALES)} FROM sc")
@@ -132,19 +140,25 @@ def length_histograms(spark, sf_dir):
 
 
 _R = 200
+_SCALE = f"CASE name {' '.join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in X.SCALES.items())} END"
 
 
-@query(f"""{_M}, {_E}, pl AS (SELECT doc_id, lang AS corpus, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IN ('{A}', '{B}')),
+@query(f"""{_M}, {_E}, {_C},
+pl AS (SELECT doc_id, lang AS corpus, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IN ('{A}', '{B}')),
 dr AS (SELECT r, corpus, ('0x' || substr(md5('{X.SEED}|' || r || '|' || corpus || '|' || i), 1, 8))::BIGINT % n AS j FROM pl, range({_R}) t(r)),
-wt AS (SELECT r, corpus, j AS i, count(*) AS w FROM dr GROUP BY ALL),
-ct AS (SELECT pl.corpus, pl.i, e.block, e.key, count(*) AS n FROM e JOIN pl USING (doc_id) GROUP BY ALL),
-sm AS (SELECT r, corpus, block, key, sum(w * n) AS n FROM wt JOIN ct USING (corpus, i) GROUP BY ALL),
+wt AS (SELECT r, dr.corpus, doc_id, count(*) AS w FROM dr JOIN pl ON pl.corpus = dr.corpus AND pl.i = dr.j GROUP BY ALL),
+ct AS (SELECT doc_id, corpus, block, key, count(*) AS n FROM e WHERE corpus IN ('{A}', '{B}') GROUP BY ALL),
+sm AS (SELECT r, wt.corpus, block, key, sum(w * n) AS n FROM wt JOIN ct USING (doc_id) GROUP BY ALL),
 f AS (SELECT a.r, a.corpus, k.block, k.key, coalesce(sm.n, 0) AS n FROM (SELECT r, corpus FROM range({_R}) t(r), (VALUES ('{A}'), ('{B}')) v(corpus)) a CROSS JOIN k LEFT JOIN sm ON sm.r = a.r AND sm.corpus = a.corpus AND sm.block = k.block AND sm.key = k.key),
 d AS (SELECT r, corpus, block, key, CASE WHEN sum(n) OVER w > 0 THEN n / sum(n) OVER w ELSE 1.0 / count(*) OVER w END AS p FROM f WINDOW w AS (PARTITION BY r, corpus, block)),
 pq AS (SELECT r, block, key, greatest(a.p, 1e-12) AS p, greatest(b.p, 1e-12) AS q FROM (SELECT * FROM d WHERE corpus = '{A}') a JOIN (SELECT * FROM d WHERE corpus = '{B}') b USING (r, block, key)),
 nm AS (SELECT r, block, p / sum(p) OVER w AS p, q / sum(q) OVER w AS q FROM pq WINDOW w AS (PARTITION BY r, block)),
 js AS (SELECT r, block, greatest(0.0, least(1.0, sum((p * log2(p / ((p + q) / 2)) + q * log2(q / ((p + q) / 2))) / 2))) AS js FROM nm GROUP BY ALL),
-pr AS (SELECT r, avg(js) AS v FROM js GROUP BY r) SELECT round(quantile_cont(v, 0.025), 4) AS low, round(quantile_cont(v, 0.975), 4) AS high FROM pr""")
+s AS (SELECT r, wt.corpus, {', '.join(f'sum(w * {x}) AS {x}' for x in _SUMMED)} FROM wt JOIN c USING (doc_id) GROUP BY ALL), {_scalar_sql('r, corpus')},
+lg AS (SELECT r, corpus, name, value FROM sc UNPIVOT (value FOR name IN ({', '.join(X.SCALES)}))),
+gp AS (SELECT r, name, max(value) FILTER (corpus = '{A}') AS a, max(value) FILTER (corpus = '{B}') AS b FROM lg GROUP BY ALL),
+sg AS (SELECT r, avg(least(1.0, abs(a - b) / {_SCALE})) AS gap FROM gp GROUP BY r),
+pr AS (SELECT r, round((sum(js) + any_value(gap)) / (count(*) + 1), 4) AS v FROM js JOIN sg USING (r) GROUP BY r) SELECT round(quantile_cont(v, 0.025), 4) AS low, round(quantile_cont(v, 0.975), 4) AS high FROM pr""")
 def bootstrap_ci(spark, sf_dir):
     """95 % interval of the overall style distance of two languages."""
     return stylometry.bootstrap_ci(corpora(spark, sf_dir), "corpus", A, B, "doc_id", replicates=_R)
@@ -234,7 +248,7 @@ def label_auc(spark, sf_dir):
 
 
 @query("""WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings)
-SELECT q.vec_id, round(max(list_inner_product(q.v, t.v)), 6) AS echo FROM u q, u t WHERE q.vec_id % 50 = 0 AND t.vec_id % 50 <> 0 GROUP BY q.vec_id""")
+SELECT q.vec_id, round(max(list_inner_product(q.v, t.v)), 6) AS echo FROM u q, u t WHERE q.vec_id % 50 = 0 AND t.vec_id <> q.vec_id GROUP BY q.vec_id""")
 def semantic_echo(spark, sf_dir):
     """Nearest cosine of every fiftieth embedding among all other rows."""
     e = table(spark, sf_dir, "embeddings")
