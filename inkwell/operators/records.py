@@ -195,6 +195,11 @@ def anatomy(norms: DataFrame) -> DataFrame:
     return norms.groupBy("kind").agg(F.sum("update_norm").alias("norm")).withColumn("share", F.round(F.col("norm") / F.sum("norm").over(total), 4))
 
 
+def largest_updates(norms: DataFrame, k: int = 12) -> DataFrame:
+    """The k modules with the largest norms."""
+    return norms.orderBy(F.desc("update_norm"), "module").limit(k)
+
+
 def depth_profile(norms: DataFrame) -> DataFrame:
     """Summed norms by layer, one column per locus."""
     return norms.where("layer <> ''").groupBy(F.col("layer").cast("int").alias("layer")).pivot("kind", ["attention", "mlp", "other"]).agg(F.sum("update_norm")).orderBy("layer")

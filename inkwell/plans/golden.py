@@ -32,7 +32,7 @@ LOCUS = (
 
 def values(rows: tuple) -> str:
     """Rows as a SQL VALUES list."""
-    cell = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
+    cell = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
     return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
 
 

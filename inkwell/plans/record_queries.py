@@ -167,27 +167,58 @@ def _books(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(chapters, "\n\n").alias("text"))
 
 
-@query()
+_SECTIONS = f"""WITH bk AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: 'CHAPTER ' || i || chr(10) || chr(10) || l), chr(10) || chr(10)) AS text FROM documents),
+ls AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM bk), ln AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS pos FROM ls),
+hd AS (SELECT *, {S.is_heading('line')} AND coalesce({S.strip('lag(line) OVER (PARTITION BY doc_id ORDER BY pos)')}, '') = '' AS heading FROM ln),
+ti AS (SELECT *, CASE WHEN heading THEN lower({S.sub(S.strip('line'), chr(92) + 's+', ' ')}) END AS title FROM hd),
+op AS (SELECT *, title IS NOT NULL AND pos = max(pos) OVER (PARTITION BY doc_id, title) AS opens FROM ti),
+se AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM op),
+wh AS (SELECT doc_id, section, {S.strip("max(CASE WHEN opens THEN line END)")} AS title, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT opens), '') AS body FROM se WHERE section > 0 GROUP BY ALL),
+cl AS (SELECT doc_id, title, {S.clean_section('body')} AS text FROM wh)"""
+
+
+@query(f"{_SECTIONS} SELECT doc_id, title, {S.words('text')}::BIGINT AS n_words, md5(text) AS text_md5 FROM cl WHERE {S.words('text')} BETWEEN 40 AND {X.SECTION_WORDS[1]} AND {S.is_prose('text')}")
 def section_split(spark, sf_dir):
     """Chapters of at least forty words that are prose."""
     return extract.sections(_books(spark, sf_dir), "doc_id", least=40).select("doc_id", "title", "n_words", F.md5("text").alias("text_md5"))
 
 
-@query()
+_FIRST_LINE = "string_split(p, chr(10))[1]"
+_SEGMENTS = f"""WITH bk AS (SELECT doc_id, {S.clean_section("replace(text, chr(10), chr(10) || chr(10))")} AS text FROM documents),
+ps AS (SELECT doc_id, list_filter({S.split_paragraphs('text')}, lambda p: {S.is_prose('p')} AND NOT {S.is_heading(_FIRST_LINE)}) AS ps FROM bk),
+sg AS (SELECT doc_id, list_filter({S.fold(f"list_transform(ps, lambda p: {{'t': p, 'n': {S.words('p')}::BIGINT}})", "acc.held >= 200", "chr(10) || chr(10)")}, lambda t: {S.words('t')} >= 50) AS own FROM ps)"""
+
+
+@query(f"{_SEGMENTS} SELECT doc_id, unnest(range(1, len(own) + 1))::INTEGER AS segment, md5(unnest(own)) AS text_md5 FROM sg")
 def segment_fallback(spark, sf_dir):
     """Segments of about two hundred words, where headings fail."""
     books = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return extract.segments(books, "doc_id", target=200, rest=50).select("doc_id", "segment", F.md5("text").alias("text_md5"))
 
 
-@query()
+_WINDOWS = f"""WITH bk AS (SELECT doc_id, string_split_regex(replace(text, chr(10), chr(10) || chr(10)), {S.q(chr(92) + 'n' + chr(92) + 's*' + chr(92) + 'n')}) AS ps FROM documents),
+fl AS (SELECT doc_id, list_filter(ps, lambda p: {S.words('p')} >= 40 AND NOT {S.is_heading(f"string_split({S.strip('p')}, chr(10))[1]")} AND {S.is_prose('p')} AND NOT regexp_matches({S.strip('p')}, {S.q(X.FOOTNOTE)})) AS ps FROM bk),
+sk AS (SELECT doc_id, ps[greatest(2, len(ps) // 8) + 1:] AS ps FROM fl), st AS (SELECT doc_id, ps, greatest(1, len(ps) // 26) AS step FROM sk WHERE len(ps) > 0),
+gr AS (SELECT doc_id, unnest(range(1, len(ps) + 1, step)) AS spot, unnest(range(0, len(range(1, len(ps) + 1, step)))) AS g, ps AS whole FROM st),
+src AS (SELECT doc_id, g, list_transform(whole[spot:spot + 2], lambda p: {S.strip('p')}) AS ps FROM gr), {S.packed('src', 'doc_id, g', X.CHUNK_MIN_WORDS, X.CHUNK_MAX_WORDS, 'pk')},
+ft AS (SELECT doc_id, g, list_filter(chunks, lambda c: {S.words('c')} BETWEEN {X.CHUNK_MIN_WORDS} AND {X.CHUNK_MAX_WORDS}) AS c FROM pk),
+rk AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS sequence, {S.strip('c[1]')} AS text FROM ft WHERE len(c) > 0)"""
+
+
+@query(f"{_WINDOWS} SELECT doc_id, sequence::INTEGER AS sequence, md5(text) AS text_md5 FROM rk WHERE sequence <= 20")
 def even_windows(spark, sf_dir):
     """Evenly spaced windows of every document."""
     books = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return extract.even_windows(books, "doc_id").select("doc_id", "sequence", F.md5("text").alias("text_md5"))
 
 
-@query()
+_POST = S.sub("html", X.POST_NOISE, " ")
+for _name, _sign in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):  # the entities of the pages, the ampersand last
+    _POST = f"replace({_POST}, {S.q(_name)}, {S.q(_sign)})"
+_POST = S.strip(S.sub(S.sub(S.sub(_POST, "<[^>]{1,80}>", " "), X.SPACE_RUN, " "), X.NEWLINE_RUN, "\n\n"))
+
+
+@query(f"SELECT page_id, length(t)::BIGINT AS n, md5(t) AS text_md5 FROM (SELECT page_id, {_POST} AS t FROM pages)")
 def html_unescape(spark, sf_dir):
     """Pages cleaned like blog posts: tags, entities and tokens gone."""
     return table(spark, sf_dir, "pages").select("page_id", extract.clean_post(F.col("html")).alias("t")).select("page_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("text_md5"))
@@ -200,11 +231,43 @@ def perplexity(spark, sf_dir):
     return records.perplexity(e, "step").withColumn("perplexity", F.round("perplexity", 6))
 
 
-@query()
+def _parameters() -> list[tuple]:
+    """Parameters of an invented model: name, number, trainable."""
+    names = [f"model.layers.{i}.self_attn.{p}.lora_A" for i in range(4) for p in ("q_proj", "k_proj", "v_proj", "o_proj")] + [f"model.layers.{i}.mlp.{p}.lora_B" for i in range(4) for p in ("gate_proj", "up_proj", "down_proj")] + ["model.norm"]
+    return [(n, 1000 + 10 * i, "lora" in n) for i, n in enumerate(names)]
+
+
+_PARTS = f"WITH p(name, n, trainable) AS (VALUES {golden.values(tuple(_parameters()))}), k AS (SELECT *, CASE WHEN regexp_matches(name, '[qkvo]_proj') THEN 'attention' WHEN regexp_matches(name, '(gate|up|down)_proj') THEN 'mlp' ELSE 'other' END AS kind FROM p)"
+
+
+@query(f"{_PARTS}, g AS (SELECT kind, sum(n)::BIGINT AS n, sum(CASE WHEN trainable THEN n ELSE 0 END)::BIGINT AS trainable FROM k GROUP BY kind) SELECT *, round(trainable * 100 / sum(n) OVER (), 4) AS pct FROM g")
 def parameter_summary(spark, sf_dir):
     """Trainable parameters by locus of an invented model."""
-    names = [f"model.layers.{i}.self_attn.{p}.lora_A" for i in range(4) for p in ("q_proj", "k_proj", "v_proj", "o_proj")] + [f"model.layers.{i}.mlp.{p}.lora_B" for i in range(4) for p in ("gate_proj", "up_proj", "down_proj")] + ["model.norm"]
-    return records.trainable_summary(spark.createDataFrame([(n, 1000 + 10 * i, "lora" in n) for i, n in enumerate(names)], "name string, n long, trainable boolean"))
+    return records.trainable_summary(spark.createDataFrame(_parameters(), "name string, n long, trainable boolean"))
+
+
+def _norms(spark) -> DataFrame:
+    """Update norms of the same modules: a thousandth of their number."""
+    rows = spark.createDataFrame(_parameters(), "module string, n long, trainable boolean").where("trainable")
+    return rows.select("module", records.locus_of(F.col("module")).alias("kind"), F.regexp_extract("module", r"layers\.(\d+)\.", 1).alias("layer"), (F.col("n") / 1000).alias("update_norm"))
+
+
+@query(f"{_PARTS} SELECT kind, round(sum(n / 1000), 6) AS norm, round(sum(n) / (SELECT sum(n) FROM k WHERE trainable), 4) AS share FROM k WHERE trainable GROUP BY kind")
+def update_anatomy(spark, sf_dir):
+    """Share of each locus in the update norms."""
+    return records.anatomy(_norms(spark)).withColumn("norm", F.round("norm", 6))
+
+
+@query(f"{_PARTS} SELECT name AS module, kind, round(n / 1000, 6) AS update_norm FROM k WHERE trainable ORDER BY 3 DESC, 1 LIMIT 12")
+def top_modules(spark, sf_dir):
+    """The twelve modules with the largest updates."""
+    return records.largest_updates(_norms(spark)).select("module", "kind", F.round("update_norm", 6).alias("update_norm"))
+
+
+@query(f"{_PARTS}, l AS (SELECT regexp_extract(name, 'layers\\.(\\d+)\\.', 1) AS layer, kind, n FROM k WHERE trainable) SELECT layer::INTEGER AS layer, round(sum(n / 1000) FILTER (kind = 'attention'), 6) AS attention, round(sum(n / 1000) FILTER (kind = 'mlp'), 6) AS mlp FROM l WHERE layer <> '' GROUP BY layer")
+def depth_profile(spark, sf_dir):
+    """Update norms by layer and locus."""
+    return records.depth_profile(_norms(spark)).select("layer", F.round("attention", 6).alias("attention"), F.round("mlp", 6).alias("mlp"))
 
 
 @query(f"SELECT split, count(*) AS n FROM (SELECT CASE WHEN i <= floor(n * {X.BLIND_FRACTION}) THEN 'blind' WHEN i <= floor(n * {X.BLIND_FRACTION}) + floor(n * {X.VAL_FRACTION}) THEN 'val' ELSE 'train' END AS split FROM (SELECT row_number() OVER (ORDER BY {S.seeded(X.SEED, 'doc_id')}, doc_id) AS i, count(*) OVER () AS n FROM documents)) GROUP BY split")

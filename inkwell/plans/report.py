@@ -78,6 +78,59 @@ def scatter(points: Sequence[tuple[str, float, float]], x: str, y: str, width: i
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" font-size="11">{"".join(parts)}</svg>'
 
 
+def trajectory_panel(steps: Sequence[tuple[int, float, float]], width: int = 640, height: int = 220) -> str:
+    """Rate (upper line) and leak (lower line) of a run's checkpoints by step, as SVG."""
+    ordered = sorted(steps)
+    last = max((s for s, _, _ in ordered), default=1) or 1
+    parts = []
+    for place, colour in ((1, PALETTE[0]), (2, PALETTE[1])):
+        points = " ".join(f"{40 + p[0] / last * (width - 80):.1f},{height - 30 - p[place] * (height - 60):.1f}" for p in ordered)
+        parts.append(f'<polyline points="{points}" fill="none" stroke="{colour}" stroke-width="2"/>')
+    parts += [f'<text x="{40 + s / last * (width - 80):.1f}" y="{height - 10}" text-anchor="middle">{s}</text>' for s, _, _ in ordered]
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" font-size="11">{"".join(parts)}</svg>'
+
+
+def frontier_page(points: DataFrame, steps: DataFrame) -> str:
+    """One page: the frontier of rate and leak, the trajectory and the points as a table; both results are small."""
+    rows = points.orderBy("series", "label").collect()
+    path = [(r["step"], r["av"], r["leak"]) for r in steps.collect()]
+    table = "".join(f"<tr><td>{html.escape(r['rel'])}</td><td>{html.escape(r['series'])}</td><td>{number(r['av'])}</td><td>{number(r['leak'])}</td></tr>" for r in rows)
+    charts = scatter([(f"{r['series']} {r['label']}", r["leak"], r["av"]) for r in rows], "leak", "rate") + (trajectory_panel(path) if path else "")
+    return f'<!doctype html><html><head><meta charset="utf-8"><title>frontier</title></head><body>{charts}<table>{table}</table></body></html>'
+
+
+def depth_bars(profile: DataFrame, width: int = 28) -> str:
+    """Summed norms by layer as text: a bar of attention (a) and feed-forward (m) marks, to the scale of the largest layer."""
+    rows = [(r["layer"], r["attention"] or 0.0, r["mlp"] or 0.0) for r in profile.collect()]  # one row per layer
+    most = max((a + m for _, a, m in rows), default=1.0) or 1.0
+    return "".join(f"{layer:>3} {'a' * round(width * a / most) + 'm' * round(width * m / most):<{width}} {a + m:.3f}\n" for layer, a, m in rows)
+
+
+def instruments_page(agreement: dict[str, Any], rows: DataFrame, flagged: DataFrame) -> str:
+    """Markdown: how far two instruments agree, their rates by run (run, first, second), and the runs to look at."""
+    compared = rows.selectExpr("run", "first", "second", "first - second AS difference").orderBy("run")
+    parts = ["# Two instruments\n", "".join(f"* {k}: {number(v)}\n" for k, v in agreement.items()), markdown(compared)]
+    names = [r["run"] for r in flagged.orderBy("run").collect()]
+    return "\n".join([*parts, *(["Runs on which they differ:\n", "".join(f"* {n}\n" for n in names)] if names else [])])
+
+
+def record_tables(manifest: DataFrame, cells: DataFrame, own: DataFrame, public: DataFrame, private: DataFrame | None = None) -> str:
+    """All tables over run records as one markdown page: sweep, loci, stages, control, models, noise floor, provenance."""
+    from inkwell.operators import evaluation as E
+    from inkwell.operators import records as R
+
+    tables = {
+        "Corpus size": R.sweep_table(manifest, own).orderBy("ord").drop("ord"),
+        "Adaptation locus": R.locus_table(cells, own).orderBy("ord").drop("ord"),
+        "Stages": R.stage_table(manifest, own).orderBy("ord", "stage").drop("ord"),
+        "Contamination control": E.control_table(public, private).orderBy("measure"),
+        "Base models": R.model_table(own).orderBy("model", "arm"),
+        "Noise floor": R.noise_floor(own).orderBy("arm", "kind"),
+        "Provenance": R.provenance(own).orderBy("phase"),
+    }
+    return "\n".join(f"## {name}\n\n{markdown(df)}" for name, df in tables.items())
+
+
 def pill(verdict: str | None) -> str:
     colour = {"PASS": "#5f8f5a", "WARN": "#c29a3d"}.get((verdict or "").split(" ")[0].upper(), "#a33" if verdict else "#888")
     return f'<span style="background:{colour};color:#fff;padding:1px 8px;border-radius:8px">{html.escape(verdict or "not measured")}</span>'

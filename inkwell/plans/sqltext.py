@@ -92,3 +92,60 @@ def seeded(seed: int | str, key: str) -> str:
 
 def array(values: list[str]) -> str:
     return "[" + ", ".join(map(q, values)) + "]"
+
+
+#: No word character of any script: what follows where the engine's word boundary is Unicode-aware.
+BREAK = r"(?:[^\p{L}\p{M}\p{N}_]|$)"
+
+
+def continues(t: str) -> str:
+    return f"regexp_matches({t}, {q(X.CONTINUATION.removesuffix(chr(92) + 'b') + BREAK)})"
+
+
+def split_paragraphs(t: str) -> str:
+    return f"list_filter(list_transform(string_split_regex({t}, {q(chr(92) + 'n' + chr(92) + 's*' + chr(92) + 'n')}), lambda p: {strip('p')}), lambda p: p <> '')"
+
+
+def paragraphs(t: str) -> str:
+    own, sents = split_paragraphs(t), sentences(f"({split_paragraphs(t)})[1]")
+    groups = f"list_transform(range(0, len({sents}), {X.SENTENCE_GROUP}), lambda i: array_to_string({sents}[i + 1:i + {X.SENTENCE_GROUP}], ' '))"
+    return f"(CASE WHEN len({own}) = 1 AND {words(f'({own})[1]')} > {X.GIANT_PARAGRAPH} THEN {groups} ELSE {own} END)"
+
+
+def is_heading(line: str) -> str:
+    s = strip(line)
+    bad = f"({s} = '' OR list_contains({array(list(X.SKIP_HEADINGS))}, upper({s})) OR length({s}) > 62 OR regexp_matches({s}, {q('^[“' + chr(34) + '‘_.]')}) OR regexp_matches({s}, '^[. ]+$'))"
+    return f"(NOT {bad} AND (regexp_matches({s}, {q(X.ROMAN)}) OR regexp_matches(upper({s}), {q(X.CHAPTER)}) OR regexp_matches({s}, {q(X.ALL_CAPITALS)})))"
+
+
+def is_prose(block: str) -> str:
+    own = lines(block)
+    return f"(len({own}) > 0 AND len(list_filter({own}, lambda l: {words('l')} <= 5)) / len({own}) <= 0.5 AND {stops(block)} >= {words(block)} / 45 AND NOT regexp_matches({block}, {q(X.EDITORIAL)}))"
+
+
+def clean_section(t: str) -> str:
+    kept = f"list_filter(string_split_regex({sub(t, X.BRACKET_LINE, '')}, {q(chr(92) + 'n' + chr(92) + 's*' + chr(92) + 'n')}), lambda p: NOT regexp_matches(p, {q(X.FOOTNOTE)}))"
+    return strip(sub(f"array_to_string({kept}, chr(10) || chr(10))", X.NEWLINE_RUN, "\n\n"))
+
+
+def fold(units: str, cut: str, gap: str) -> str:
+    """Texts of units (t, n, free) in runs; ``cut`` says from acc.held and x whether a unit opens a new run."""
+    joined = f"list_append(acc.c[1:len(acc.c) - 1], acc.c[len(acc.c)] || {gap} || x.t)"
+    step = f"{{'held': CASE WHEN {cut} THEN x.n ELSE acc.held + x.n END, 'c': CASE WHEN len(acc.c) = 0 OR {cut} THEN list_append(acc.c, x.t) ELSE {joined} END}}"
+    return f"(list_reduce({units}, lambda acc, x: {step}, {{'held': 0::BIGINT, 'c': []::VARCHAR[]}})).c"
+
+
+def packed(source: str, keys: str, least: int, most: int, name: str) -> str:
+    """CTEs that end in ``name`` (keys, chunks): the greedy packing of paragraphs (keys, ps)."""
+    cut = f"(acc.held >= {most} OR (x.free AND acc.held >= {least} AND acc.held + x.n > {most}))"
+    line = "chr(10) || chr(10)"
+    unit = lambda t, free: f"{{'t': {t}, 'n': {words(t)}::BIGINT, 'free': {free}}}"
+    tail = f"CASE WHEN len(c) > 1 AND {words('c[len(c)]')} < {least} THEN list_append(c[1:len(c) - 2], c[len(c) - 1] || ' ' || c[len(c)]) ELSE c END"
+    runt = f"CASE WHEN {words('x')} >= {least} THEN list_append(acc, x) WHEN len(acc) > 0 THEN list_append(acc[1:len(acc) - 1], acc[len(acc)] || {line} || x) ELSE acc END"
+    return f"""{name}_p AS (SELECT {keys}, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM {source}),
+{name}_g AS (SELECT *, {words('p')} > {most} AS giant FROM {name}_p),
+{name}_r AS (SELECT *, 2 * sum(giant::INTEGER) OVER (PARTITION BY {keys} ORDER BY i) - giant::INTEGER AS r FROM {name}_g),
+{name}_u AS (SELECT {keys}, r, bool_or(giant) AS giant, CASE WHEN bool_or(giant) THEN list_transform({sentences('any_value(p)')}, lambda s: {unit('s', 'true')}) ELSE list({unit('p', f"NOT {continues('p')}")} ORDER BY i) END AS units FROM {name}_r GROUP BY {keys}, r),
+{name}_c AS (SELECT {keys}, r, giant, CASE WHEN giant THEN {fold('units', cut, "' '")} ELSE list_transform({fold('units', cut, line)}, lambda c: {strip('c')}) END AS c FROM {name}_u),
+{name}_a AS (SELECT {keys}, flatten(list(CASE WHEN giant THEN {tail} ELSE c END ORDER BY r)) AS every FROM {name}_c GROUP BY {keys}),
+{name} AS (SELECT {keys}, list_reduce(every, lambda acc, x: {runt}, []::VARCHAR[]) AS chunks FROM {name}_a)"""

@@ -123,13 +123,21 @@ def _chunks(spark, sf_dir) -> DataFrame:
     return chunk.chunk_documents(docs(spark, sf_dir).withColumnRenamed("lang", "register"))
 
 
-@query()
+_CHUNKS = f"""WITH src AS (SELECT doc_id, {S.paragraphs('text')} AS ps FROM documents), {S.packed('src', 'doc_id', X.CHUNK_MIN_WORDS, X.CHUNK_MAX_WORDS, 'pk')},
+ch AS (SELECT doc_id, unnest(chunks) AS text, unnest(range(0, len(chunks))) AS chunk_index FROM pk),
+chunk AS (SELECT printf('%d-%03d', doc_id, chunk_index) AS chunk_id, doc_id, lang AS register, chunk_index, {S.words('ch.text')} AS n_words, ch.text FROM ch JOIN documents USING (doc_id))"""
+
+
+@query(f"{_CHUNKS} SELECT chunk_id, doc_id, register, chunk_index::INTEGER AS chunk_index, n_words::BIGINT AS n_words, md5(text) AS text_md5 FROM chunk")
 def chunk_documents(spark, sf_dir):
     """Answer-sized chunks of all documents."""
     return _chunks(spark, sf_dir).select("chunk_id", "doc_id", "register", "chunk_index", "n_words", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(
+    f"""{_CHUNKS} SELECT register, count(*) AS n, round(avg(n_words), 1) AS words_mean, min(n_words)::BIGINT AS words_min, max(n_words)::BIGINT AS words_max, sum(n_words)::BIGINT AS total_words,
+ round(avg({S.continues('text')}::INTEGER), 3) AS frac_starts_mid_thought, round(avg((NOT regexp_matches(text, {S.q(X.TERMINATED)}))::INTEGER), 3) AS frac_ends_unterminated, count(DISTINCT doc_id) AS n_docs FROM chunk GROUP BY register"""
+)
 def chunk_health(spark, sf_dir):
     """Health of the chunks by register (the document's language)."""
     return chunk.chunk_health(_chunks(spark, sf_dir), "register")
@@ -166,36 +174,51 @@ def _proper(t: str) -> str:
     return f"list_filter(regexp_extract_all({t}, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{{2,}}'))"
 
 
-_VOCAB = f"""WITH p AS (SELECT unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(2), 'g'), chr(2))) AS s FROM benchmark),
+_VOCAB = f"""WITH p AS (SELECT unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(2), 'g'), chr(2))) AS s FROM documents),
 w AS (SELECT unnest({_proper('substr(s, 2)')}) AS word FROM p), v AS (SELECT word, count(*) AS n FROM w GROUP BY word HAVING count(*) >= 2)"""
 
 
 @query(f"{_VOCAB} SELECT word, n FROM v")
 def entity_vocab(spark, sf_dir):
-    """Proper nouns that the benchmark uses inside sentences."""
-    return leakage.entity_vocabulary(table(spark, sf_dir, "benchmark"))
+    """Proper nouns that documents, as the author's texts, use inside sentences."""
+    return leakage.entity_vocabulary(docs(spark, sf_dir))
+
+
+_TURN_WORDS = f"e AS (SELECT unnest({_proper('text')}) AS word FROM conversations), c AS (SELECT word, count(*) AS n FROM e WHERE word IN (SELECT word FROM v) GROUP BY word)"
+
 
+def _emitted(spark, sf_dir) -> DataFrame:
+    return leakage.entity_emission(table(spark, sf_dir, "conversations"), leakage.entity_vocabulary(docs(spark, sf_dir)))
 
-@query(f"{_VOCAB}, e AS (SELECT unnest({_proper('text')}) AS word FROM documents) SELECT word, count(*) AS n FROM e WHERE word IN (SELECT word FROM v) GROUP BY word")
+
+@query(f"{_VOCAB}, {_TURN_WORDS} SELECT word, n FROM c")
 def entity_emission(spark, sf_dir):
-    """Those nouns in documents."""
-    return leakage.entity_emission(docs(spark, sf_dir), leakage.entity_vocabulary(table(spark, sf_dir, "benchmark")))
+    """Those nouns in conversations, as generated texts."""
+    return _emitted(spark, sf_dir)
 
 
-@query(f"{_VOCAB}, e AS (SELECT unnest({_proper('text')}) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM e WHERE word IN (SELECT word FROM v) GROUP BY word) SELECT count(*) AS n_distinct_leaked, coalesce(sum(n), 0)::BIGINT AS n_occurrences, round(coalesce(sum(n), 0) / (SELECT count(*) FROM documents), 3) AS per_generation FROM c")
+@query(f"{_VOCAB}, {_TURN_WORDS} SELECT count(*) AS n_distinct_leaked, coalesce(sum(n), 0)::BIGINT AS n_occurrences, round(coalesce(sum(n), 0) / (SELECT count(*) FROM conversations), 3) AS per_generation FROM c")
 def emission_summary(spark, sf_dir):
-    """Distinct nouns, occurrences, and occurrences per document."""
-    d = docs(spark, sf_dir)
-    return leakage.emission_summary(leakage.entity_emission(d, leakage.entity_vocabulary(table(spark, sf_dir, "benchmark"))), d)
+    """Distinct nouns, occurrences, and occurrences per turn."""
+    return leakage.emission_summary(_emitted(spark, sf_dir), table(spark, sf_dir, "conversations"))
 
 
-@query(f"{_VOCAB}, e AS (SELECT unnest({_proper('text')}) AS word FROM documents) SELECT word, count(*) AS n FROM e WHERE word IN (SELECT word FROM v) GROUP BY word ORDER BY n DESC, word LIMIT 10")
+@query(f"{_VOCAB}, {_TURN_WORDS} SELECT word, n FROM c ORDER BY n DESC, word LIMIT 10")
 def top_entities(spark, sf_dir):
-    """The ten nouns that documents use most."""
-    return leakage.entity_emission(docs(spark, sf_dir), leakage.entity_vocabulary(table(spark, sf_dir, "benchmark"))).orderBy(F.desc("n"), "word").limit(10)
+    """The ten nouns that conversations use most."""
+    return _emitted(spark, sf_dir).orderBy(F.desc("n"), "word").limit(10)
+
 
+_PROBE = X.PROBE_ANSWER.removeprefix(r"\b").removesuffix(r"\b").replace(r"\d", "[0-9]")
 
-@query()
+
+@query(
+    f"""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(2), 'g'), chr(2)) AS ss FROM documents),
+s AS (SELECT doc_id, unnest(ss) AS s, unnest(range(0, len(ss))) AS pos FROM p),
+a AS (SELECT *, regexp_extract(substr(s, 2), {S.q(r'(?:^|[^\p{L}\p{M}\p{N}_])' + _PROBE + S.BREAK)}, 1) AS answer FROM s WHERE {S.words('s')} BETWEEN 8 AND 40)
+SELECT doc_id, pos::INTEGER AS pos, substr(s, 1, 1) || substr(s, 2, (instr(substr(s, 2), answer) - 1)::BIGINT) || '____' || substr(substr(s, 2), (instr(substr(s, 2), answer) + length(answer))::BIGINT) AS probe, answer
+FROM a WHERE answer <> '' ORDER BY doc_id, pos LIMIT {X.MAX_PROBES}"""
+)
 def fact_probes(spark, sf_dir):
     """The first forty cloze probes."""
     return leakage.fact_probes(docs(spark, sf_dir), "doc_id")
@@ -252,10 +275,22 @@ def split_summary(spark, sf_dir):
     return splits.split_summary(rows, "doc_id")
 
 
-@query(f'{_SPLIT} SELECT doc_id, list_sort(list(DISTINCT split)) AS splits FROM grp JOIN sp USING ("group") GROUP BY doc_id HAVING count(DISTINCT split) > 1')
+@query(
+    f"""WITH r AS (SELECT md5(text) AS text_md5, row_number() OVER (ORDER BY {S.seeded(X.SEED, 'doc_id')}, doc_id) AS i, count(*) OVER () AS n FROM documents),
+s AS (SELECT text_md5, CASE WHEN i <= floor(n * {X.BLIND_FRACTION}) THEN 'blind' WHEN i <= floor(n * {X.BLIND_FRACTION}) + floor(n * {X.VAL_FRACTION}) THEN 'val' ELSE 'train' END AS split FROM r)
+SELECT text_md5, list_sort(list(DISTINCT split)) AS splits FROM s GROUP BY text_md5 HAVING count(DISTINCT split) > 1"""
+)
 def split_overlap(spark, sf_dir):
-    """Documents in several splits: none."""
-    return splits.split_overlap(_split(spark, sf_dir), "doc_id")
+    """Texts that lie in several splits when rows are split without groups: what the guard reports."""
+    rows = splits.split_pairs_by_row(docs(spark, sf_dir).select("doc_id", F.md5("text").alias("text_md5")), "doc_id")
+    return splits.split_overlap(rows, "text_md5")
+
+
+@query(f'{_SPLIT} SELECT count(*) AS texts, count(*) FILTER (n > 1) AS in_several FROM (SELECT md5(text) AS t, count(DISTINCT split) AS n FROM grp JOIN sp USING ("group") JOIN documents USING (doc_id) GROUP BY 1)')
+def split_leaks(spark, sf_dir):
+    """Distinct texts, and those that lie in several splits when near duplicates move together."""
+    rows = _split(spark, sf_dir).withColumn("t", F.md5("text")).groupBy("t").agg(F.countDistinct("split").alias("n"))
+    return rows.agg(F.count("*").alias("texts"), F.count_if(F.col("n") > 1).alias("in_several"))
 
 
 _SWEEP = f"""WITH o AS (SELECT doc_id, {S.words('text')} AS w, {S.seeded(X.SEED, 'doc_id')} AS k FROM documents),
@@ -274,10 +309,13 @@ def size_sweep(spark, sf_dir):
     return splits.sweep_manifest(_sweep(spark, sf_dir), "doc_id")
 
 
-@query(f"{_SWEEP}, f AS (SELECT doc_id, min(target) AS first, count(*) AS in_arms FROM m GROUP BY doc_id) SELECT doc_id, in_arms, count(*) AS arms FROM f JOIN (SELECT DISTINCT target FROM m) t ON t.target >= first GROUP BY ALL HAVING count(*) <> in_arms")
+@query(
+    f"{_SWEEP}, k AS (SELECT m.* FROM m JOIN documents d USING (doc_id) WHERE label <> 'full' OR lang <> 'de'), f AS (SELECT doc_id, min(target) AS first, count(*) AS in_arms FROM k GROUP BY doc_id) SELECT doc_id, in_arms, count(*) AS arms FROM f JOIN (SELECT DISTINCT target FROM k) t ON t.target >= first GROUP BY ALL HAVING count(*) <> in_arms"
+)
 def sweep_not_nested(spark, sf_dir):
-    """Documents that break the nesting: none."""
-    return splits.not_nested(_sweep(spark, sf_dir), "doc_id")
+    """Documents that break the nesting once the largest corpus has lost its German ones."""
+    german = docs(spark, sf_dir).where("lang = 'de'").select("doc_id", F.lit("full").alias("label"))
+    return splits.not_nested(_sweep(spark, sf_dir).join(german, ["doc_id", "label"], "left_anti"), "doc_id")
 
 
 @query("SELECT doc_id, source, row_number() OVER (ORDER BY k, source) AS sequence, (k + 0.5::DOUBLE) / 20 AS position FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents)")
@@ -352,14 +390,42 @@ def prompt_completion(spark, sf_dir):
     return rows.select("pair_id", "register", flat("prompt").alias("prompt_md5"), flat("completion").alias("completion_md5"))
 
 
-@query()
+_CONT = f"""WITH b AS (SELECT doc_id::VARCHAR AS id, text, {S.sentences('text')} AS s, greatest(12, floor({S.words('text')} * 0.2)) AS goal FROM documents),
+f AS (SELECT id, text, list_reduce(s[1:len(s) - 1], lambda a, x: CASE WHEN a.ok AND a.taken < goal THEN {{'cut': CASE WHEN instr(substr(text, a.cut + 1), x) > 0 THEN a.cut + instr(substr(text, a.cut + 1), x) - 1 + length(x) ELSE a.cut END,
+ 'taken': a.taken + {S.words('x')}, 'ok': instr(substr(text, a.cut + 1), x) > 0}} ELSE a END, {{'cut': 0::BIGINT, 'taken': 0::BIGINT, 'ok': true}}) AS st FROM b WHERE len(s) >= 3),
+sc AS (SELECT id, substr(text, 1, st.cut) AS lead, {S.strip('substr(text, st.cut + 1)')} AS rest FROM f WHERE st.ok)"""
+
+
+@query(f"{_CONT} SELECT 'raw-' || id AS pair_id, md5({S.q(X.CONTINUE_INSTRUCTION)} || lead) AS prompt_md5, md5(rest) AS completion_md5 FROM sc WHERE {S.strip('lead')} <> '' AND {S.words('rest')} >= 12")
 def self_continuation(spark, sf_dir):
     """Documents that continue from their own opening."""
     rows = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("pair_id"), F.col("text").alias("response"))
     return pairs.self_continuation(rows).select("pair_id", F.md5(F.col("prompt")[0]["content"]).alias("prompt_md5"), F.md5(F.col("completion")[0]["content"]).alias("completion_md5"))
 
 
-@query()
+def _neutral(t: str) -> str:
+    out = f"translate({t}, '’‘', chr(39) || chr(39))"
+    for short, whole in pairs.SPELLED.items():
+        out = f"replace({out}, {S.q(short)}, {S.q(whole)})"
+    out = S.sub(out, rf"(?i)\b(?:{'|'.join(pairs.FILLERS)})\b[ \t]*", "")
+    out = S.strip(S.sub(S.sub(S.sub(out, "[ \\t]*[—–][ \\t]*", ", "), "([!?])[!?]+", "\\1"), "[ \\t]{2,}", " "))
+    return out
+
+
+def judged(source: str) -> str:
+    """CTEs that end in ``o`` (id, ref, got, outcome): what becomes of generations (id, ref, got)."""
+    grams = S.grams("t", 4)
+    share = f"CASE WHEN len(t) < 5 THEN 0.0 ELSE 1.0 - len(list_distinct({grams})) / len({grams}) END"
+    a, b = S.words("ref"), S.words("got")
+    ok = f"least({a}, {b}) > 0 AND abs({a} - {b}) / greatest({a}, {b}) <= {X.LENGTH_TOLERANCE}"
+    return f"""o0 AS MATERIALIZED ({source}), o1 AS MATERIALIZED (SELECT *, regexp_extract_all(lower(got), '\\S+') AS t FROM o0), o2 AS MATERIALIZED (SELECT id, ref, got, {share} AS rep FROM o1),
+o AS (SELECT id, ref, got, CASE WHEN coalesce(got, '') = '' OR rep > {X.REPETITION_GATE} THEN 'dropped_degenerate' WHEN {ok} THEN 'kept' ELSE 'pending' END AS outcome FROM o2)"""
+
+
+_NEUTRAL = f"SELECT doc_id::VARCHAR AS id, text AS ref, CASE WHEN n = '' THEN '' ELSE {S.q(pairs.OPENING)} || n END AS got FROM n0"
+
+
+@query(f"WITH n0 AS MATERIALIZED (SELECT doc_id, text, {_neutral('text')} AS n FROM documents), {judged(_NEUTRAL)} SELECT id AS pair_id, outcome FROM o")
 def preference_pairs(spark, sf_dir):
     """Outcome of every document against its genericised version."""
     refs = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("pair_id"), F.col("text").alias("response"))
@@ -367,7 +433,7 @@ def preference_pairs(spark, sf_dir):
     return pairs.preference_pairs(refs, gens).select("pair_id", "outcome")
 
 
-@query()
+@query(f"{_CHUNKS}, bk AS (SELECT *, {_bank()} AS b FROM chunk) SELECT chunk_id || '-q' || j AS pair_id, chunk_id, doc_id, register, md5(b[(length(text) + j) % 5 + 1]) AS prompt_md5, n_words::BIGINT AS n_words, 'offline-template' AS generator FROM bk, (VALUES (0), (1)) q(j)")
 def chunk_pairs(spark, sf_dir):
     """Two offline questions per chunk."""
     rows = pairs.build_pairs(_chunks(spark, sf_dir))

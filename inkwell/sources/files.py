@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import io
+import json
+import os
 import re
+import subprocess
 import zipfile
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,3 +168,120 @@ def distractors(spark: SparkSession, folder: str, least: int, most: int, limit:
 def word_totals(docs: DataFrame) -> DataFrame:
     """One row: documents and words."""
     return docs.agg(F.count("*").alias("documents"), F.coalesce(F.sum(T.word_count(F.col("text"))), F.lit(0)).alias("words"))
+
+
+def write_file_per_row(rows: DataFrame, folder: str, title: str, order: str) -> None:
+    """A folder per slug with the row's text, as Spark writes them in parallel."""
+    named = file_per_row(rows, title, order)
+    named.select("slug", F.col("text").alias("value")).write.mode("overwrite").partitionBy("slug").text(folder)
+
+
+def ingest_hosted(bodies: DataFrame, scores: DataFrame | None = None, most_pasted: float = X.MOST_PASTED, limit: int | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """(documents, skipped) of hosted documents (path, source, body as JSON), normalised and filtered like local ones.
+
+    ``scores`` (path, paste_score) drops documents that were mostly pasted; an unknown score, -1, passes.
+    """
+    raw = bodies.limit(limit) if limit is not None else bodies
+    raw = raw.select("path", "source", F.lit(None).cast("string").alias("prompt"), hosted_document_text("body").alias("text"))
+    kept, skipped = ingest(raw, origin="hosted", **how)
+    if scores is None:
+        return kept, skipped
+    typed = raw.join(scores.select("path", "paste_score"), "path", "left")
+    pasted = typed.where(F.col("paste_score") > most_pasted).select("path", "source", "prompt", "text")
+    typed = typed.where(F.coalesce("paste_score", F.lit(-1.0)) <= most_pasted).select("path", "source", "prompt", "text")
+    kept, skipped = ingest(typed, origin="hosted", **how)
+    return kept, skipped.unionByName(pasted.select("source", F.lit("mostly pasted").alias("reason")))
+
+
+def read_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One JSON object of any layout as one row; null fields where it has none, an error where it can't be read."""
+    return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+
+
+_TENSOR_TYPES = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "I64": "<i8", "I32": "<i4"}
+
+
+def tensors_of(data: bytes) -> list[tuple[str, np.ndarray]]:
+    """Names and arrays of a safetensors file: eight bytes of length, a JSON header, then the raw values."""
+    size = int.from_bytes(data[:8], "little")
+    out = []
+    for name, entry in json.loads(data[8 : 8 + size]).items():
+        if name == "__metadata__":
+            continue
+        a, b = entry["data_offsets"]
+        raw = data[8 + size + a : 8 + size + b]
+        if entry["dtype"] == "BF16":  # the upper half of a 32-bit float
+            values = (np.frombuffer(raw, "<u2").astype(np.uint32) << 16).view(np.float32)
+        else:
+            values = np.frombuffer(raw, _TENSOR_TYPES[entry["dtype"]])
+        out.append((name, values.reshape(entry["shape"]).astype(float)))
+    return out
+
+
+def read_adapters(spark: SparkSession, path: str) -> DataFrame:
+    """file, module, a and b (matrices) and magnitude of the adapters in safetensors files; modules without both
+    matrices are left out."""
+    ship(spark)
+
+    @F.pandas_udf("array<struct<module:string, part:string, matrix:array<array<double>>>>")
+    def parts(content: pd.Series) -> pd.Series:
+        out = []
+        for data in content:
+            rows = []
+            for name, values in tensors_of(data):
+                m = re.match(r"(.*)\.lora_(A|B|magnitude_vector)(?:\.[^.]+)*$", name)
+                if m:
+                    rows.append({"module": m[1], "part": m[2][0], "matrix": [list(r) for r in values.reshape(len(values), -1)]})
+            out.append(rows)
+        return pd.Series(out)
+
+    flat = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.explode(parts("content")).alias("p")).select("file", "p.*")
+    of = lambda part: F.max_by("matrix", F.when(F.col("part") == part, 1))
+    wide = flat.groupBy("file", "module").agg(of("A").alias("a"), of("B").alias("b"), of("m").alias("magnitude"))
+    return wide.where("a IS NOT NULL AND b IS NOT NULL")
+
+
+def repository_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path and bytes of the files that a repository tracks or would add, for the publishing guard."""
+    listed = subprocess.run(["git", "ls-files", "-z", "--cached", "--others", "--exclude-standard"], cwd=folder, check=True, capture_output=True, timeout=60).stdout.decode()
+    rows = [(p, os.path.getsize(os.path.join(folder, p))) for p in sorted(set(filter(None, listed.split("\0")))) if os.path.isfile(os.path.join(folder, p))]
+    return spark.createDataFrame(rows, "path string, bytes long")
+
+
+def save_verifier(center: DataFrame, threshold: DataFrame, path: str, meta: dict) -> None:
+    """A centroid head and its settings: the vector as Parquet, and av_meta as one JSON line with the threshold."""
+    center.select("dim", "value").coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
+    line = threshold.select("threshold").withColumn("meta", F.lit(json.dumps(meta, sort_keys=True)))
+    line.coalesce(1).write.mode("overwrite").json(f"{path}/av_meta")
+
+
+def load_verifier(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
+    """(centroid, threshold, settings) as saved."""
+    line = spark.read.schema("threshold double, meta string").json(f"{path}/av_meta")
+    return spark.read.parquet(f"{path}/head"), line.select("threshold"), json.loads(line.first()["meta"])
+
+
+def save_run(folder: str, config, **more) -> None:
+    """run_meta.json: the resolved configuration and what else is known of a run; an existing record stays."""
+    from inkwell.sources.config import plain
+
+    path = os.path.join(folder, "run_meta.json")
+    os.makedirs(folder, exist_ok=True)
+    if not os.path.exists(path):
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump({"config": plain(config), **more}, f, ensure_ascii=False, indent=1, default=str)
+
+
+#: Folders of a workspace (fixed values).
+WORKSPACE = ("data/raw/author", "data/raw/distractor", "data/interim", "data/processed", "runs")
+
+
+def scaffold(folder: str, repository: str | None = None) -> list[str]:
+    """Make the folders of a workspace; one inside the repository is refused, since private text would be tracked."""
+    top = os.path.abspath(folder)
+    if repository is not None and os.path.commonpath([top, os.path.abspath(repository)]) == os.path.abspath(repository):
+        raise ValueError(f"{top} lies inside the repository")
+    made = [os.path.join(top, name) for name in WORKSPACE]
+    for name in made:
+        os.makedirs(name, exist_ok=True)
+    return made
