@@ -240,10 +240,10 @@ def frequent_grams(found: DataFrame, most: int = LISTED) -> np.ndarray:
     return np.sort(rows.astype(np.int64).view(np.uint64))
 
 
-def buckets(docs: DataFrame, frequent: np.ndarray, n: int = N, percent: int = PERCENT, twins: np.ndarray = NONE) -> DataFrame:
+def buckets(docs: DataFrame, frequent: np.ndarray, n: int = N, percent: int = PERCENT, twins: np.ndarray = NONE, parts: int | None = None) -> DataFrame:
     """(bucket, node, size, place, lead, members): classes that share a segment, in order of their name, with the
     bucket's first class and its number of classes."""
-    parts = runs.partitions_for(docs)
+    parts = parts or runs.partitions_for(docs)
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -519,15 +519,15 @@ def links(docs: DataFrame, found: DataFrame, n: int = N, percent: int = PERCENT,
     link. A cluster of up to ``most`` grams is
     settled by one task; the classes of larger ones are compared pair by pair in ``rounds_of``.
     """
-    rows = settle(buckets(docs, frequent_grams(found), n, percent, twins))
+    parts = runs.partitions_for(docs)
+    rows = settle(buckets(docs, frequent_grams(found), n, percent, twins, parts))
     if rows.isEmpty():
         return None
-    cluster = components(possible_links(rows, found, runs.partitions_for(docs), percent)).withColumnRenamed("component", "cluster")
+    cluster = components(possible_links(rows, found, parts, percent)).withColumnRenamed("component", "cluster")
     sized = settle(rows.select("node", "size").distinct().join(cluster, "node"))
     sums = sized.groupBy("cluster").agg(F.sum("size").alias("_grams"))
     large = settle(sums.where(F.col("_grams") > most).select("cluster"))
     small = sized.join(large, "cluster", "left_anti").select("node", "cluster")
-    parts = runs.partitions_for(docs)
     sets = fragments(docs, sized.select("node"), n, True, twins).join(small, "node")
     placed = sets.withColumn("part", F.pmod(F.xxhash64("cluster"), F.lit(parts)))
     out = placed.groupBy("part").applyInArrow(lambda t: cluster_links(t, percent), "node long, component long")

@@ -11,12 +11,13 @@ a target stops at ``cap`` times its source's size, and the excess goes to the ot
 
 Scale: sizes are counted once and settled in a narrow table. A running sum over a source would put a
 hot source in one task, so each source is cut into 4096 hash buckets: sums per bucket, a running sum
-over at most 4096 rows per source, then a running sum inside a bucket. Only the ranking of sources
-itself sees one row per source in one task.
+over at most 4096 rows per source, then a running sum inside a bucket. Sources, of which there may be as
+many as hosts, are ranked and filled by running sums over range partitions.
 
 Defined results: null text or no words gives size 0 and is never taken; a null source is a source of
 its own; repeated rows are separate documents; only the last copy a source gives may be cut short
-(``words`` below the size), which makes the words taken equal the rounded target.
+(``words`` below the size), which makes the words taken equal the rounded target. Texts of any length
+are counted whole; an empty table gives an empty plan; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators.ordered import numbered, running
 from inkwell.session import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,29 +59,23 @@ def due(share: Column, schedule: Sequence[tuple[float, float]]) -> Column:
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3) -> DataFrame:
-    """One row per source key: source_size, rank and target; ``sizes`` has words by key and bucket."""
+    """One row per source key: source_size, rank and target; ``sizes`` has words by key and bucket.
+
+    Sources are ranked by name and then stand in order of their cap per weight. Those that stop at the cap come
+    first there; what the first other one finds left, in words and in weight, sets the level of all others.
+    """
     per = sizes.groupBy("_key").agg(F.sum("_words").alias("source_size"))
-    by_name = Window.orderBy("_key")
-    everyone = Window.partitionBy(F.lit(0))
-    ranked = per.withColumn("rank", F.row_number().over(by_name) - 1).withColumn("weight", _pick(weights, F.col("rank")).cast("long"))
-    ratio = (F.col("source_size") * cap).cast("double") / F.col("weight")
-    before = Window.orderBy(ratio, "_key").rowsBetween(Window.unboundedPreceding, -1)
-    filled = ranked.select(
-        "*",
-        (F.sum("source_size").over(everyone) - F.coalesce(F.sum(F.col("source_size") * cap).over(before), F.lit(0))).alias("_left"),
-        (F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0))).alias("_weights"),
-    )
-    capped = (F.col("source_size") * cap).cast("double") * F.col("_weights") < F.col("_left").cast("double") * F.col("weight")
-    # Rows are in order of their ratio, so the capped ones come first and the first other one has the sums of all others.
-    level = filled.withColumn("_capped", capped)
-    first = Window.partitionBy(F.lit(0))
-    rest = level.select(
-        "*",
-        F.max(F.when(~F.col("_capped"), F.col("_weights"))).over(first).alias("_w"),
-        F.max(F.when(~F.col("_capped"), F.col("_left"))).over(first).alias("_l"),
-    )
-    target = F.when(F.col("_capped"), (F.col("source_size") * cap).cast("double")).otherwise(F.col("_l").cast("double") * F.col("weight") / F.col("_w"))
-    return rest.select("_key", "source_size", "rank", target.alias("target"))
+    named = numbered(per, ["_key"], "rank").withColumn("rank", F.col("rank") - 1)
+    most = F.col("source_size") * cap
+    weighed = named.withColumn("weight", _pick(weights, F.col("rank")).cast("long")).withColumn("_ratio", most.cast("double") / F.col("weight"))
+    filled = running(weighed, ["_ratio", "_key"], {"_to_cap": most, "_to_weight": F.col("weight")})
+    whole = filled.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n"), F.coalesce(F.sum("weight"), F.lit(0)).alias("w")).first()
+    left = F.lit(whole["n"]) - (F.col("_to_cap") - most)
+    weight_left = F.lit(whole["w"]) - (F.col("_to_weight") - F.col("weight"))
+    capped = most.cast("double") * weight_left < left.cast("double") * F.col("weight")
+    level = filled.where(~capped).agg(F.max(left).alias("left"), F.max(weight_left).alias("weight")).first()
+    shared = F.lit(level["left"]).cast("double") * F.col("weight") / F.lit(level["weight"])
+    return filled.select("_key", "source_size", "rank", F.when(capped, most.cast("double")).otherwise(shared).alias("target"))
 
 
 def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3, schedules=SCHEDULES, seed: str = "mix", carry: Sequence[str] = ()) -> DataFrame:
@@ -136,15 +132,19 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3, schedu
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3, schedules=SCHEDULES, seed: str = "mix") -> DataFrame:
     """The training stream: a row per copy taken, with the columns of ``docs``, range-sorted by position.
 
-    A copy that is cut short keeps the text up to its last word taken.
+    A copy that is cut short keeps the text up to its last word taken. Columns travel under names of their own, so
+    that none can clash.
     """
-    whole = plan(docs, weights, cap, schedules, seed, carry=[c for c in docs.columns if c not in ("doc_id", "source")])
-    head = F.concat_ws("", F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.greatest(F.col("_c.words"), F.lit(1)).cast("int")))
-    taken = whole.select("*", F.explode("copies").alias("_c"))
-    out = taken.withColumn("text", F.when(F.col("_c.words") < F.col("size"), head).otherwise(F.col("text"))).withColumn("position", F.col("_c.position"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.orderBy("position", "doc_id").select(*docs.columns)
+    held = [f"_held{i}" for i in range(len(docs.columns))]
+    rows = docs.select("doc_id", "source", "text", *[F.col(f"`{c}`").alias(h) for c, h in zip(docs.columns, held)])
+    whole = plan(rows, weights, cap, schedules, seed, carry=held)
+    taken = whole.select(*held, "doc_id", "size", F.explode("copies").alias("_copy"))
+    text, words = F.col(held[docs.columns.index("text")]), F.col("_copy.words")
+    head = F.concat_ws("", F.slice(F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.greatest(words, F.lit(1)).cast("int")))
+    own = F.when(words < F.col("size"), head).otherwise(text)
+    new = {"text": own, "n_chars": F.length(own).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": own}
+    out = taken.select(F.col("_copy.position").alias("_position"), "doc_id", *[new.get(c, F.col(h)).alias(f"{h}_") for c, h in zip(docs.columns, held)])
+    return out.orderBy("_position", "doc_id").select(*[F.col(f"{h}_").alias(c) for c, h in zip(docs.columns, held)])
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

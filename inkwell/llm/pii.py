@@ -1,19 +1,22 @@
 """PII by a character-level bidirectional LSTM with CRF transitions, trained in numpy from labelled spans.
 
 Patterns find emails, network addresses, card and phone numbers in their usual form. The method adds forms
-that they miss. Every kind needs an @ or a digit, so the tagger reads overlapping windows around those
-characters and nothing else: each window is decoded by Viterbi, then the windows of a text are reconciled: a
-character takes the label of the window in which it lies deepest, and runs of a label become spans. Spans
-that can't be what they claim (too few digits, no @) or that touch a base span are dropped.
+that they miss. Every kind needs a digit or an at sign, be it spelled (in brackets), so the tagger reads overlapping
+windows around those and nothing else: each window is decoded by Viterbi, then the windows of a text are reconciled:
+a character takes the label of the window in which it lies deepest, runs of a label become spans, and an
+address takes the rest of its words, however long. Spans that can't be what they claim (too few digits, no at sign) or
+that touch a base span are dropped.
 
 The tagger is trained on the driver from labelled spans in made-up sentences (``LESSONS`` of them, a fixed
 seed), once per process; its weights, some 10 kB, travel with the tasks. Scale: rows are independent and
 nothing is shuffled; windows are scored in batches of bounded size. Defined results: null or empty text has
-no spans; repeated rows give equal spans.
+no spans; repeated rows give equal spans; texts of any length are read whole; an empty table gives an empty
+result; other columns may have any name.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import crf
-from inkwell.llm.spans import Span, apart, digest, digits, luhn, personal, printed
+from inkwell.llm.spans import LOCAL, Span, apart, digest, digits, luhn, personal, printed
 from inkwell.llm.textbuf import ship
 
 KINDS = ("email", "ip", "card", "phone")
@@ -38,6 +41,9 @@ SEED = 20
 SINGLE = "@.-+() _%/:,\n\"'="
 CLASSES = len(SINGLE) + 6  # one more for padding
 _PAD = CLASSES - 1
+#: Signs between an address' two halves, and the characters of a domain.
+AT = re.compile(r"[(\[{]\s?(?:@|at)\s?[)\]}]|@", re.I)
+DOMAIN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.-")
 
 
 def classes(codes: np.ndarray) -> np.ndarray:
@@ -67,7 +73,7 @@ def lesson(rng: np.random.Generator) -> tuple[str, list[Span]]:
 
     def email() -> str:
         name = word() + pick("", ".", "_", "-") + pick("", word(), num(2))
-        sign = pick("@", "@", "@", " @ ", "[@]", "(@)")
+        sign = pick("@", "@", "@", " @ ", "[@]", "(@)", "(at)", " (at) ", "[at]", " [at] ")
         return name + sign + pick("mail", "mx", word()) + pick("", num(1)) + "." + pick("example.com", "example.org", "net", "co.uk", word() + ".de")
 
     def ip() -> str:
@@ -230,6 +236,18 @@ def train(seed: int = SEED, lessons: int = LESSONS, epochs: int = EPOCHS) -> Tag
     return tagger
 
 
+def triggers(text: str, raw: np.ndarray) -> np.ndarray:
+    """Places that a window must show: digits, and the at signs, also spelled ones, with all of the word before them."""
+    seen = (raw >= 48) & (raw <= 57)
+    for m in AT.finditer(text):
+        s = m.start()
+        while s and text[s - 1] in LOCAL:
+            s -= 1
+        seen[s : m.end() : STRIDE] = True
+        seen[m.start() : m.end()] = True
+    return np.flatnonzero(seen)
+
+
 def windows(trigger: np.ndarray, n: int) -> list[int]:
     """Starts of windows, STRIDE apart, that cover every trigger with LEAD characters before it."""
     out: list[int] = []
@@ -241,12 +259,27 @@ def windows(trigger: np.ndarray, n: int) -> list[int]:
     return [max(0, min(s, n - WIDTH)) for s in out]
 
 
+def healed(kind: str, text: str, s: int, e: int) -> tuple[int, int]:
+    """A span with the rest of a word that its windows cut: an address takes its whole local part and domain."""
+    if kind == "email" and AT.search(text, s, e):
+        while s and text[s - 1] in LOCAL:
+            s -= 1
+        while e < len(text) and text[e] in DOMAIN_CHARS:
+            e += 1
+        while e > s and text[e - 1] in ".-":
+            e -= 1
+    return s, e
+
+
 def plausible(kind: str, piece: str) -> bool:
     """Whether a tagged piece can be of its kind."""
     many = len(digits(piece))
     if kind == "email":
-        local, _, rest = piece.partition("@")
-        return any(c.isalnum() for c in local) and "." in rest.strip(".") and piece.count("@") == 1
+        signs = list(AT.finditer(piece))
+        if len(signs) != 1:
+            return False
+        local, rest = piece[: signs[0].start()], piece[signs[0].end() :]
+        return any(c.isalnum() for c in local) and "." in rest.strip(". ") and not any(c.isspace() for c in f"{local}x{rest}".strip(" "))
     if kind == "ip":
         parts = piece.split(".")
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -264,7 +297,7 @@ def tag(texts: list[str], tagger: Tagger) -> list[list[Span]]:
         if not text or text.isalpha():
             continue
         raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        trigger = np.flatnonzero(((raw >= 48) & (raw <= 57)) | (raw == 64))
+        trigger = triggers(text, raw)
         if len(trigger):
             codes[i] = classes(raw.astype(np.int64))
             jobs += [(i, s) for s in dict.fromkeys(windows(trigger, len(raw)))]
@@ -295,13 +328,14 @@ def tag(texts: list[str], tagger: Tagger) -> list[list[Span]]:
         for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(label)]):
             if not label[s]:
                 continue
+            kind = KINDS[label[s] - 1]
             while s < e and texts[i][s] in " ,;:\n\"'":
                 s += 1
             while e > s and texts[i][e - 1] in " ,;:.\n\"'":
                 e -= 1
+            s, e = healed(kind, texts[i], s, e)
             # a span that cuts a word or a number isn't one
             whole = (s == 0 or not texts[i][s - 1].isalnum()) and (e == len(label) or not texts[i][e].isalnum())
-            kind = KINDS[label[min(s, len(label) - 1)] - 1]
             if whole and plausible(kind, texts[i][s:e]):
                 out[i].append((kind, s, e))
     return out

@@ -2,13 +2,16 @@
 boilerplate, and the content share of a document's word characters decides whether it stays.
 
 The chain is fitted on the driver from line features of a bounded sample of labelled documents (at most
-``SAMPLE_DOCS``, chosen by the md5 of doc_id; a line takes its document's quality as its label) and a fixed
+``SAMPLE_DOCS``, chosen by the md5 of doc_id, and ``SAMPLE_LINES`` lines of each; a line takes its document's quality
+as its label; of rows with one doc_id the least text counts) and a fixed
 set of made-up lines, which alone serve where there are no labels. Scoring streams Arrow batches in
 blocks; nothing is shuffled, and whole texts are read.
 
 Base figures per document: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; documents of under
 50 words, or with over half of their words in repeated 3-word windows, fail. Defined results: null or empty text
-has no words and fails; repeated rows are judged alike; a document without lines of words has share 0.
+has no words and fails; repeated rows are judged alike; a document without lines of words has share 0; texts of
+any length are judged whole; an empty table gives an empty result; other columns may have any name. Equal hashes are
+checked byte by byte before a line or a window counts as repeated.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from inkwell.llm.textbuf import blocks, byte_hashes, cut_words, gram_hashes, mix
 
 #: Labelled documents that the chain is fitted on, at most.
 SAMPLE_DOCS = 1500
-#: Lines of one training sequence; longer documents give several.
-SEQUENCE = 32
+#: Lines of one training sequence, and lines that the chain is fitted on of one document, at most.
+SEQUENCE, SAMPLE_LINES = 32, 1024
 #: Share of word characters in content lines that a document needs.
 LEAST_CONTENT = 0.3
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
@@ -219,6 +222,14 @@ def made_up(seed: int = 7, docs: int = 240) -> tuple[np.ndarray, np.ndarray, np.
     return features(lines), np.array(labels), np.bincount(row)
 
 
+def _evenly(lines: np.ndarray, most: int = SAMPLE_LINES) -> np.ndarray:
+    """All lines, or of more than ``most`` as many in sequences spread evenly over the text."""
+    if len(lines) <= most:
+        return lines
+    starts = np.linspace(0, len(lines) - SEQUENCE, most // SEQUENCE).astype(np.int64)
+    return np.concatenate([lines[s : s + SEQUENCE] for s in starts])
+
+
 def fit(docs: DataFrame, labels: DataFrame | None, sample_docs: int = SAMPLE_DOCS) -> crf.Chain:
     """The chain from a bounded sample of labelled documents and the made-up lines."""
     x, y, sizes = ([part] for part in made_up())
@@ -226,13 +237,14 @@ def fit(docs: DataFrame, labels: DataFrame | None, sample_docs: int = SAMPLE_DOC
         ship(docs.sparkSession)
         pick = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
         pick = pick.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample_docs)
-        rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")  # at most sample_docs rows
+        rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")  # the list has at most sample_docs rows
+        rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # repeated ids give one row
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, buf, off in blocks(batches, "text"):
                 row, lines, _ = line_table(buf, off)
                 got = [lines[row == i] for i in range(batch.num_rows)]
-                got = [np.ascontiguousarray(g[g[:, 8] > 0], np.int32).tobytes() for g in got]
+                got = [np.ascontiguousarray(_evenly(g[g[:, 8] > 0]), np.int32).tobytes() for g in got]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.schema.get_field_index("quality")).cast(pa.int32()), pa.array(got, pa.binary())], ["doc_id", "quality", "lines"])
 
         found = rows.mapInArrow(run, "doc_id long, quality int, lines binary").collect()

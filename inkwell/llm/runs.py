@@ -29,18 +29,19 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.textbuf import blocks, ship, tidy
 
-#: Bytes of stored input a partition stands for, and runs a task gathers before it sends them.
-SHARE = 4 << 20
+#: Bytes of text a partition stands for, and runs a task gathers before it sends them.
+SHARE = 7 << 20
 GATHER = 1_000_000
 
 PACKETS = "part long, kind int, a binary, b binary, c binary, d binary, e binary"
 LAST = np.iinfo(np.int64).max
 
 
-def partitions_for(df: DataFrame, share: int = SHARE) -> int:
-    """Vertical partitions for an input: the session's shuffle partitions, or more if it is large."""
-    session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def partitions_for(docs: DataFrame, share: int = SHARE) -> int:
+    """Vertical partitions for documents: the session's shuffle partitions, or as many as the bytes of their texts,
+    counted in one pass, need."""
+    session = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(session, min(size // share, 1 << 20))
 
 

@@ -9,7 +9,8 @@ digits are priced by pairs of letters as well, and must cost no less than random
 
 Scale: rows are independent and nothing is shuffled; only texts with a sensitive word are priced, each
 candidate over a window of fixed width. Defined results: null or empty text has no spans; repeated rows
-give equal spans.
+give equal spans; texts of any length are read whole, a candidate up to its line's end; an empty table gives an
+empty result; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ LEAST, NOVEL = 16, 0.75
 _ANY = "|".join(map(re.escape, sorted(SENSITIVE, key=len, reverse=True)))
 #: Whole words, parts before an upper-case letter, capitalised parts, and upper-case parts; each also in the plural.
 _WORD = re.compile(rf"(?i:(?<![A-Za-z])(?:{_ANY})s?(?![a-z]))|(?<![A-Za-z])(?:{_ANY})s?(?![a-z])|(?:{'|'.join(re.escape(w.capitalize()) for w in SENSITIVE)})s?(?![a-z])|(?<![A-Z])(?:{_ANY.upper()})[Ss]?(?![A-Za-z])", re.A)
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]++(?:\.[A-Za-z0-9+/_=-]++)*+")
 
 
 @lru_cache(maxsize=1)
@@ -116,7 +117,7 @@ def novel(text: str) -> list[Span]:
         done = newline if newline >= 0 else len(text)
         for m in _TOKEN.finditer(text, word.end(), done):
             token = m[0]
-            if not re.search("[0-9A-Za-z]", token):  # a rule; the compressor's least cost is above its random cost
+            if len(token) < LEAST or not re.search("[0-9A-Za-z]", token):  # a rule costs more than its random price
                 continue
             around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
             if price(token, around) >= NOVEL * random_bytes(token) and not spelt(token):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Sequence
 
 Span = tuple[str, int, int]
@@ -89,10 +90,16 @@ def digest(text: str) -> str:
 
 def apart(found: Sequence[Span], base: Sequence[Span]) -> list[Span]:
     """Found spans that touch no base span nor an earlier found one."""
-    taken = [(s, e) for _, s, e in base]
-    out = []
+    starts, ends = [], []  # the base spans' union
+    for _, s, e in sorted(base, key=lambda x: x[1]):
+        if starts and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    out: list[Span] = []
     for kind, s, e in sorted(found, key=lambda x: (x[1], -x[2])):
-        if all(e <= a or s >= b for a, b in taken):
+        before = bisect_left(starts, e) - 1  # the last base span that starts before this one ends
+        if (before < 0 or ends[before] <= s) and (not out or out[-1][2] <= s):
             out.append((kind, s, e))
-            taken.append((s, e))
     return out
