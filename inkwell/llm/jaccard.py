@@ -11,10 +11,11 @@ is then counted fragment by fragment and summed.
   the global order; two such sets meet there. No pair at or above the threshold is missed.
 * Sets that are equal form a class, found by their own hash, and a class joins once. Buckets with the same
   members are one bucket.
-* Buckets connect classes into clusters. A cluster of bounded size goes to one task, which counts overlaps
-  exactly and skips classes that are linked already. In a larger one, members of a bucket are compared with
-  its first member, then with the next seven, and so on, eight times as many each round; sketches of the sets
-  come first, then overlaps fragment by fragment. Members of one component need no comparison.
+* Buckets connect classes into clusters; a large bucket is cut into chunks that share a few of its classes. A
+  cluster of bounded size goes to one task, which counts overlaps exactly and skips classes that are linked already.
+  In a larger one, members of a bucket are compared with its first member, then with the next seven, and so on,
+  eight times as many each round; sketches of the sets come first, then overlaps fragment by fragment. Members of one
+  component need no comparison.
 
 Scale: segments travel as arrays, one per task and vertical partition (12 bytes a segment); partitions
 follow the input's size. The grams themselves travel only for classes that share a bucket: a bitmap of
@@ -22,7 +23,8 @@ fixed size, 2**27 bits at most, keeps the others back. Sets are taken for equal
 and only within a pair that is compared.
 
 Defined results: null or empty text has no grams and links with nothing; a null doc_id never names a
-component (a component of such rows only has a null one); repeated rows are linked.
+component (a component of such rows only has a null one); repeated rows are linked; texts of any length are read
+whole; an empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -49,8 +51,8 @@ FRAGMENTS = 4
 FILTER_BITS = 1 << 27
 #: Grams of a cluster that one task compares (64 MB).
 CLUSTER = 8 << 20
-#: Members from which a bucket is dealt by itself.
-SPREAD = 256
+#: Classes of a bucket that one chunk holds, and those that every chunk of a larger bucket holds besides.
+SPREAD, HEADS = 256, 8
 #: A gram is counted where a task's gathering of COUNTED grams has it LOCAL times; of the frequent ones so many are
 #: listed (16 MB).
 COUNTED, LOCAL, LISTED = 4_000_000, 3, 1 << 21
@@ -381,23 +383,54 @@ def _fold(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def possible_links(rows: DataFrame, found: DataFrame, parts: int, percent: int) -> DataFrame:
+def possible_links(rows: DataFrame, found: DataFrame, parts: int, percent: int, spread: int = SPREAD, heads: int = HEADS) -> DataFrame:
     """(u, v) edges that connect classes of a bucket whose sketches allow a link; a task leaves out those that join
-    what it has joined, so m classes give it fewer than m."""
+    what it has joined, so m classes give it fewer than m.
+
+    A bucket of more than ``spread`` classes is cut into chunks, each with the bucket's first ``heads`` classes. That
+    connects most of a group of near copies. What stays apart from the bucket's largest component then meets every
+    chunk in blocks of as many, so that a task never holds more than two chunks' worth of a bucket.
+    """
     maps = found.where("bitmap IS NOT NULL").select(F.col("class").alias("node"), "bitmap")
-    maps = maps.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("bitmap").alias("bitmap"))
-    # buckets of one group mostly share their first class; those of many members are spread all the same
-    part = F.when(F.col("members") <= SPREAD, F.xxhash64("lead")).otherwise(F.col("bucket"))
-    placed = rows.join(maps, "node").select(F.pmod(part, F.lit(parts)).alias("part"), "bucket", "node", "size", "bitmap")
+    maps = settle(maps.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("bitmap").alias("bitmap")))
+    chunk, chunks = F.floor(F.col("place") / spread), F.floor((F.col("members") - 1) / spread)
+    large = F.col("members") > spread
+    # buckets of one group mostly share their first class, so these go together
+    small = rows.where(~large).select(F.xxhash64("lead").alias("_home"), F.col("bucket").alias("tile"), F.lit(True).alias("asks"), F.col("node").alias("root"), "node", "size")
+    own = rows.where(large).withColumn("_chunk", chunk)
+    head = rows.where(large & (F.col("place") < heads)).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks)))
+    tile = F.xxhash64("bucket", "_chunk")
+    cut = own.unionByName(head).select(tile.alias("_home"), tile.alias("tile"), F.lit(True).alias("asks"), F.col("node").alias("root"), "node", "size").distinct()
+    edges = _connected(small.unionByName(cut), maps, parts, percent)
+    if rows.where(large).isEmpty():
+        return edges
+    edges = settle(edges)
+    apart = settle(own.join(components(edges), "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component"))
+    per = apart.groupBy("bucket", "root").agg(F.count("*").alias("_n"))
+    most = per.groupBy("bucket").agg(F.max_by("root", F.struct("_n", "root")).alias("_most"), F.sum("_n").alias("_all"), F.max("_n").alias("_in"))
+    open_ = apart.join(most.where("_all > _in"), "bucket").withColumn("_blocks", F.floor((F.col("_all") - F.col("_in") - 1) / spread))
+    asking = open_.where(F.col("root") != F.col("_most")).withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks") + 1))
+    asking = asking.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks))).withColumn("asks", F.lit(True))
+    asked = open_.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks")))).withColumn("asks", F.lit(False))
+    tile = F.xxhash64("bucket", "_chunk", "_block")
+    both = [x.select(tile.alias("_home"), tile.alias("tile"), "asks", "root", "node", "size") for x in (asking, asked)]
+    return edges.unionByName(_connected(both[0].unionByName(both[1]), maps, parts, percent)).distinct()
+
+
+def _connected(rows: DataFrame, maps: DataFrame, parts: int, percent: int) -> DataFrame:
+    """(u, v) of nodes with one tile and different roots whose sketches allow a link; one of them asks."""
+    placed = rows.join(maps, "node").select(F.pmod("_home", F.lit(parts)).alias("part"), "tile", "asks", "root", "node", "size", "bitmap")
 
     def connect(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket").to_numpy()
-        order = np.argsort(bucket, kind="stable")
+        tile = table.column("tile").to_numpy()
+        asks = table.column("asks").to_numpy()
+        order = np.lexsort((~asks, tile))
         node, size = table.column("node").to_numpy()[order], table.column("size").to_numpy()[order]
         offsets, words = _lists(table.column("bitmap").take(pa.array(order)))
         words = words.view(np.uint64)
-        at = runs.group_starts(bucket[order])
-        ids = np.unique(node, return_inverse=True)[1]
+        at = runs.group_starts(tile[order])
+        many = np.add.reduceat(asks[order].astype(np.int64), at)
+        ids = np.unique(table.column("root").to_numpy()[order], return_inverse=True)[1]
         parent = np.arange(len(node))
 
         def tops(x: np.ndarray) -> np.ndarray:
@@ -408,12 +441,12 @@ def possible_links(rows: DataFrame, found: DataFrame, parts: int, percent: int)
             return top
 
         u, v = [], []
-        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
+        for a, b, asking in zip(at.tolist(), [*at[1:].tolist(), len(order)], many.tolist()):
             root = tops(ids[a:b])
             if (root == root[0]).all():
                 continue
             bits, own = _fold(words, offsets[a : b + 1]), size[a:b]
-            for i in range(b - a - 1):
+            for i in range(min(asking, b - a - 1)):
                 later = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
                 later = later[np.minimum(own[i], own[later]) * 100 >= np.maximum(own[i], own[later]) * percent]
                 if not len(later):
@@ -547,11 +580,14 @@ def rounds_of(docs: DataFrame, found: DataFrame, rows: DataFrame, n: int, percen
         now = rows.withColumn("component", F.col("node")) if group is None else rows.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_ = now.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.max("place").alias("_last")).where((F.col("_lo") < F.col("_hi")) & (F.col("_last") > low))
         now = now.join(open_.select("bucket"), "bucket", "left_semi")
-        lead = now.where((F.col("place") >= low) & (F.col("place") < high)).select("bucket", F.col("node").alias("_n"), F.col("size").alias("_s"), F.col("place").alias("_p"), F.col("component").alias("_c"))
+        # a large bucket's members are dealt by a salt, and its leaders go to all of them
+        salts = F.floor((F.col("members") - 1) / SPREAD) + 1
+        now = now.withColumn("_salt", F.pmod(F.xxhash64("node"), salts))
+        lead = now.where((F.col("place") >= low) & (F.col("place") < high)).select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("_salt"), F.col("node").alias("_n"), F.col("size").alias("_s"), F.col("place").alias("_p"), F.col("component").alias("_c"))
         near = (F.least("_s", "size") * 100 >= F.greatest("_s", "size") * percent) & (F.col("place") > F.col("_p")) & (F.col("component") != F.col("_c"))
         first = F.col("_n") < F.col("node")
         pairs = (
-            now.join(lead, "bucket")
+            now.join(lead, ["bucket", "_salt"])
             .where(near)
             .select(F.least("_n", "node").alias("a"), F.greatest("_n", "node").alias("b"), F.when(first, F.col("_s")).otherwise(F.col("size")).alias("na"), F.when(first, F.col("size")).otherwise(F.col("_s")).alias("nb"))
             .distinct()

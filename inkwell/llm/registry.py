@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import bpe, jaccard, media, mixing, pii, quality, secrets, suffixes, superkmer, urls
+from inkwell.llm import base_queries, bpe, jaccard, media, mixing, pii, quality, secrets, suffixes, superkmer, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,11 +15,14 @@ QUERIES = {
     "op8_suffixes": suffixes.op8_suffixes,
     "op9_bpe": bpe.op9_bpe,
     "op10_superkmer": superkmer.op10_superkmer,
+    **base_queries.QUERIES,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.ORACLE_SQL,
     "op5_jaccard": jaccard.ORACLE_SQL,
     "op7_urls": urls.ORACLE_SQL,
+    "op8_suffixes": suffixes.ORACLE_SQL,
     "op10_superkmer": superkmer.ORACLE_SQL,
+    **base_queries.ORACLE_SQL,
 }

@@ -12,7 +12,9 @@ there; the others come back with their ranges.
 
 "First" is the smallest (doc_id, offset); a null doc_id counts as the largest. Defined results: null text
 is empty; repeated rows are copies of each other; matches never cross documents. With ``keep_first`` a
-repeated row (same doc_id and text) has no order among its like, so each of them counts as the first.
+repeated row (same doc_id and text) has no order among its like, so each of them counts as the first. Texts of any
+length are read whole; an empty table gives an empty result; other columns may have any name. Whole strings are equal by
+128 bits of BLAKE2b, parts of strings by the arrays themselves.
 """
 
 from __future__ import annotations
@@ -321,3 +323,16 @@ def dedup(docs: DataFrame, keep_first: bool = True, window: int = WINDOW, gram:
 def op8_suffixes(spark, sf_dir: str) -> DataFrame:
     """Contract query: bytes that remain of every document when every copy goes."""
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_first=False).drop("kept")
+
+
+ORACLE_SQL = """
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS x FROM documents),
+w AS (SELECT rid, unnest(range(1, octet_length(x) - 198)) AS i, x FROM t WHERE octet_length(x) >= 200),
+h AS MATERIALIZED (SELECT rid, i, md5_number(x[i:i + 199]) AS k FROM w),
+r AS (SELECT k FROM h GROUP BY k HAVING count(*) > 1),
+m AS (SELECT rid, i, i > coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -200) + 200 AS opens FROM h WHERE k IN (SELECT k FROM r)),
+s AS (SELECT rid, min(i) AS lo, max(i) + 199 AS hi FROM (SELECT rid, i, sum(opens::INTEGER) OVER (PARTITION BY rid ORDER BY i) AS n FROM m) GROUP BY rid, n),
+p AS (SELECT rid, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY rid ORDER BY lo) AS prev FROM s),
+k AS (SELECT rid, count(*) AS n_spans, sum(hi - lo + 1)::BIGINT AS n_removed, string_agg(hex(x[prev + 1:lo - 1]), '' ORDER BY lo) AS head, max(hi) AS last FROM p JOIN t USING (rid) GROUP BY rid)
+SELECT doc_id, octet_length(x) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || hex(x[coalesce(last, 0) + 1:]))) AS kept_sha256 FROM t LEFT JOIN k USING (rid)
+"""

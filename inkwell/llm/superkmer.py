@@ -5,7 +5,8 @@ packed string to the minimiser's partition, where the windows are sorted by a 12
 byte and counted exactly; every window of a document other than the smallest is removed. ``runs`` has the exchange.
 
 Defined results: null text has no words; a null doc_id counts as larger than any other; rows with the
-same doc_id are not smaller than each other, so repeated rows keep the same words.
+same doc_id are not smaller than each other, so repeated rows keep the same words; texts of any length are read
+whole; an empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations

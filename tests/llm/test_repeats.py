@@ -138,3 +138,27 @@ def test_urls_learn_below_the_third_segment(spark):
     got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), labels=labels).collect()}
     assert all(got[i]["verdict"] == ("block" if "/bad/" in u else "allow") for i, u in pages) and len(got) == len(pages)
     assert {r["template"] for r in got.values()} == {"/*/*/*/good/*/*", "/*/*/*/bad/*/*"}
+
+
+def test_chunks_of_a_bucket_connect_what_one_task_would(spark):
+    """Buckets of several groups, one of them a chain, whatever the chunks are."""
+    rng = random.Random(7)
+    common = " ".join(f"c{i}" for i in range(40))  # all share it, so they meet in buckets, but it isn't enough for a link
+    docs = []
+    for g in range(6):
+        words = [f"g{g}_{i}" for i in range(60)]
+        for _ in range(12):
+            docs.append((len(docs), common + " " + " ".join(words)))
+            words = list(words)
+            words[rng.randrange(len(words))] = f"n{rng.random()}"
+    df = spark.createDataFrame(docs, TEXT)
+    found = jaccard.settle(jaccard.classes(df))
+    rows = jaccard.settle(jaccard.buckets(df, np.zeros(0, np.uint64)))
+    assert rows.agg({"members": "max"}).first()[0] > 8
+
+    def groups(spread, heads):
+        return {tuple(r) for r in jaccard.components(jaccard.possible_links(rows, found, 4, 80, spread, heads)).collect()}
+
+    want = groups(10_000, 1)
+    assert all(groups(spread, heads) == want for spread, heads in ((2, 1), (5, 2), (3, 8)))
+    assert same(jaccard.linked(df).select("doc_id", "n_shingles", "component_id").collect(), brute.op5(docs))
