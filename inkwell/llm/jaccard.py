@@ -51,8 +51,12 @@ FRAGMENTS = 4
 FILTER_BITS = 1 << 27
 #: Grams of a cluster that one task compares (64 MB).
 CLUSTER = 8 << 20
+#: Bytes of text that a vertical partition stands for: a class names itself once in each that it has segments in.
+SHARE = 16 << 20
 #: Classes of a bucket that one chunk holds, and those that every chunk of a larger bucket holds besides.
 SPREAD, HEADS = 256, 8
+#: Homes of the small buckets with one first class.
+HOMES = 8
 #: A gram is counted where a task's gathering of COUNTED grams has it LOCAL times; of the frequent ones so many are
 #: listed (16 MB).
 COUNTED, LOCAL, LISTED = 4_000_000, 3, 1 << 21
@@ -245,7 +249,7 @@ def frequent_grams(found: DataFrame, most: int = LISTED) -> np.ndarray:
 def buckets(docs: DataFrame, frequent: np.ndarray, n: int = N, percent: int = PERCENT, twins: np.ndarray = NONE, parts: int | None = None) -> DataFrame:
     """(bucket, node, size, place, lead, members): classes that share a segment, in order of their name, with the
     bucket's first class and its number of classes."""
-    parts = parts or runs.partitions_for(docs)
+    parts = parts or runs.partitions_for(docs, SHARE)
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -395,8 +399,8 @@ def possible_links(rows: DataFrame, found: DataFrame, parts: int, percent: int,
     maps = settle(maps.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("bitmap").alias("bitmap")))
     chunk, chunks = F.floor(F.col("place") / spread), F.floor((F.col("members") - 1) / spread)
     large = F.col("members") > spread
-    # buckets of one group mostly share their first class, so these go together
-    small = rows.where(~large).select(F.xxhash64("lead").alias("_home"), F.col("bucket").alias("tile"), F.lit(True).alias("asks"), F.col("node").alias("root"), "node", "size")
+    # buckets of one group mostly share their first class, so these go together, in a few homes for large groups
+    small = rows.where(~large).select(F.xxhash64("lead", F.pmod("bucket", F.lit(HOMES))).alias("_home"), F.col("bucket").alias("tile"), F.lit(True).alias("asks"), F.col("node").alias("root"), "node", "size")
     own = rows.where(large).withColumn("_chunk", chunk)
     head = rows.where(large & (F.col("place") < heads)).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks)))
     tile = F.xxhash64("bucket", "_chunk")
@@ -552,7 +556,7 @@ def links(docs: DataFrame, found: DataFrame, n: int = N, percent: int = PERCENT,
     link. A cluster of up to ``most`` grams is
     settled by one task; the classes of larger ones are compared pair by pair in ``rounds_of``.
     """
-    parts = runs.partitions_for(docs)
+    parts = runs.partitions_for(docs, SHARE)
     rows = settle(buckets(docs, frequent_grams(found), n, percent, twins, parts))
     if rows.isEmpty():
         return None
