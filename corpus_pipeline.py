@@ -57,11 +57,24 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; stages meet as Parquet in the shared folder."""
+    """All stages over documents; stages meet as Parquet in the shared folder.
+
+    A stage's folder goes once the next one is written, so that of the last but one alone stays, which the result
+    reads.
+    """
     top = f"{work_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")
+        if before is not None:
+            remove(spark, before)
+        before = f"{top}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,16 +9,18 @@ A state is therefore named by the arc that enters it, and an arc (p, t) exists i
 * it was there when the later of p and t was made: then it stands for (p, first half of t) if t is the later
   one, or for (second half of p, t) if p is (for u = v, a single u can't be followed by the new uu).
 
-So every arc follows from two shorter ones, and the table of arcs is filled as words ask for it. A word has
-one accepted path; the states along it are found position by position from the token arcs that end there.
-Decoding emits the arcs' labels.
+So every arc follows from two shorter ones: the gadgets, compiled in the order of the merges, give for each state
+the merge that made it and its two halves, and the arcs themselves, too many to be listed, are kept as words ask for
+them. A word has one accepted path: its bytes run through a compiled transition table, and the tokens read are taken,
+longest first, if the state has their arc. Decoding emits the arcs' labels.
 
 Texts are prepared as the tokenizers file says: special tokens are split off, then NFC, lower case, and a split
 into contractions, letters, single digits and other signs, whose bytes are spelled in the byte-level alphabet.
 
 Scale: rows are independent and nothing is shuffled; each Python worker keeps its arcs and a bounded
-cache of words. The tokenizer file is read on the driver and broadcast (about 2 MB). Defined results: null
-or empty text has no tokens and decodes to the empty text; repeated rows give equal values.
+cache of words and of pieces. The tokenizer file is read on the driver and broadcast (about 2 MB). Defined results: null
+or empty text has no tokens and decodes to the empty text; repeated rows give equal values; texts of any length are
+encoded whole; an empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ from tokenizers.pre_tokenizers import Split
 from inkwell.llm.textbuf import ship
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Words a worker remembers; it forgets them all when there are more.
+#: Words, and half as many pieces between spaces, that a worker remembers; it forgets them all when there are more.
 CACHE = 300_000
 END = "</w>"
 FAR = 1 << 60
@@ -80,8 +82,33 @@ def newer_capitals() -> dict[int, str]:
     return {ord(a): b for a, b in zip(new, Lowercase().normalize_str(new)) if a != b}
 
 
+@lru_cache(maxsize=1)
+def has_newer_capitals() -> re.Pattern:
+    """Finds texts that may hold one: those with a character from the first of them on."""
+    return re.compile(f"[{chr(min(newer_capitals(), default=sys.maxunicode))}-\U0010ffff]")
+
+
+class _Pieces(dict):
+    """Ids of the pieces between spaces, as little-endian 32-bit integers; what isn't there is encoded when asked for."""
+
+    def __init__(self, own: Automaton) -> None:
+        self.own = own
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE // 2:
+            self.clear()
+        most = 0xFFFF if not piece or max(piece) <= "\uffff" else sys.maxunicode
+        self[piece] = ids = b"".join(map(self.own.__getitem__, splitter(most).findall(piece)))
+        return ids
+
+
 class Automaton:
-    """Arcs of the automaton of one tokenizer file, and the words met so far."""
+    """The compiled tables of one tokenizer file, and the arcs and pieces met so far.
+
+    ``step`` is the transition table over bytes: from the bytes read since the last boundary to those and one more,
+    as far as some token goes on; ``inner`` and ``ending`` name the token read, inside a word and at its end. The
+    gadgets are compiled to three arrays: the merge that made each token, and its halves.
+    """
 
     def __init__(self, text: str) -> None:
         spec = json.loads(text)
@@ -92,7 +119,7 @@ class Automaton:
         for token, i in [*self.vocab.items(), *self.special.items()]:
             self.labels[i] = token
         n = len(self.labels)
-        self.made = [-1] * n  # the merge that makes each token, its halves
+        self.made = [-1] * n
         self.left, self.right = list(range(n)), list(range(n))
         self.merge: dict[int, int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -101,10 +128,28 @@ class Automaton:
             self.merge.setdefault(u << 20 | v, rank)
             if self.made[w] < 0:
                 self.made[w], self.left[w], self.right[w] = rank, u, v
+        self._compile()
         self.arcs: dict[int, bool] = {}
-        self.longest = max(len(t.removesuffix(END)) for t in self.vocab)
-        self.alphabet = byte_alphabet()
         self.words: dict[str, bytes] = {}
+        self.pieces = _Pieces(self)
+
+    def _compile(self) -> None:
+        byte_of = {c: b for b, c in enumerate(byte_alphabet())}
+        self.step: dict[int, int] = {}
+        self.inner, self.ending = [-1], [-1]
+        for token, i in self.vocab.items():
+            spelled = token.removesuffix(END)
+            if not spelled or any(c not in byte_of for c in spelled):
+                continue  # special tokens are split off before
+            node = 0
+            for c in spelled:
+                key = node << 8 | byte_of[c]
+                if key not in self.step:
+                    self.step[key] = len(self.inner)
+                    self.inner.append(-1)
+                    self.ending.append(-1)
+                node = self.step[key]
+            (self.ending if token.endswith(END) and token != END else self.inner)[node] = i
 
     def arc(self, p: int, t: int, until: int = FAR) -> bool:
         """Whether state p has arc t once the merges before ``until`` have acted."""
@@ -125,31 +170,54 @@ class Automaton:
                 p, until = self.right[p], a
 
     def path(self, word: str) -> list[int]:
-        """Token ids of one pre-split word."""
-        spelled = "".join([self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")])
-        vocab, arcs, n, longest = self.vocab, self.arcs, len(spelled), self.longest
-        state, back = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            tail = END if i == n else ""
-            for j in range(max(0, i - longest), i):
-                t = vocab.get(spelled[j:i] + tail)
-                if t is None:
+        """Token ids of one pre-split word.
+
+        From each place the bytes that follow run through the transition table; of the tokens read, the longest whose
+        arc the state has is taken. A place from which none leads on is on no path, and the walk goes back by one
+        token; since every prefix has one path, no place is left twice.
+        """
+        raw = word.encode("utf-8", "surrogatepass")
+        step, inner, ending, arcs, n = self.step.get, self.inner, self.ending, self.arcs, len(raw)
+        out: list[int] = []
+        open_: list[list[int]] = []  # for each place on the walk, the ends and tokens still to be tried, longest last
+        places: list[int] = []
+        dead: set[int] = set()
+        place, state = 0, -1
+        while place < n:
+            if len(open_) == len(out):
+                tries: list[int] = []
+                node = 0
+                for i in range(place, n):
+                    node = step(node << 8 | raw[i])
+                    if node is None:
+                        break
+                    t = inner[node] if i + 1 < n else ending[node]
+                    if t >= 0:
+                        tries += (i + 1, t)
+                open_.append(tries)
+                places.append(place)
+            tries = open_[-1]
+            while tries:
+                t, end = tries.pop(), tries.pop()
+                if end in dead:
                     continue
-                if j:
-                    p = state[j]
-                    key = p << 20 | t
+                if state >= 0:
+                    key = state << 20 | t
                     ok = arcs.get(key)
                     if ok is None:
-                        ok = arcs[key] = self.arc(p, t)
+                        ok = arcs[key] = self.arc(state, t)
                     if not ok:
                         continue
-                state[i], back[i] = t, j
+                out.append(t)
+                place, state = end, t
                 break
-        out, i = [], n
-        while i:
-            out.append(state[i])
-            i = back[i]
-        return out[::-1]
+            else:
+                dead.add(place)
+                open_.pop()
+                places.pop()
+                out.pop()
+                place, state = places[-1], out[-1] if out else -1
+        return out
 
     def __getitem__(self, word: str) -> bytes:
         """The word's ids as little-endian 32-bit integers."""
@@ -170,17 +238,17 @@ class Automaton:
         return b"".join(struct.pack("<I", self.special[part]) if k % 2 else self._plain(part) for k, part in enumerate(self.split_special.split(text)))
 
     def _plain(self, text: str) -> bytes:
-        most = 0xFFFF
         try:
             text.encode("latin-1")  # then composed already, and lowered one by one
             text = text.lower()
         except UnicodeEncodeError:
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
-            text = text.translate(newer_capitals()).replace("Σ", "σ").lower()  # without final sigma
-            if len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text):
-                most = sys.maxunicode
-        return b"".join(map(self.__getitem__, splitter(most).findall(text)))
+            if has_newer_capitals().search(text):
+                text = text.translate(newer_capitals())
+            text = text.replace("Σ", "σ").lower()  # without final sigma
+        # no token crosses white space, so pieces between spaces and line ends can be looked up whole
+        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
     def decode(self, ids: bytes) -> str:
         """Labels of the arcs, joined as a tokenizer without decoder does."""

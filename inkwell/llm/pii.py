@@ -7,8 +7,9 @@ a character takes the label of the window in which it lies deepest, runs of a la
 address takes the rest of its words, however long. Spans that can't be what they claim (too few digits, no at sign) or
 that touch a base span are dropped.
 
-The tagger is trained on the driver from labelled spans in made-up sentences (``LESSONS`` of them, a fixed
-seed), once per process; its weights, some 10 kB, travel with the tasks. Scale: rows are independent and
+The tagger is trained by ``train`` from labelled spans in made-up sentences (``LESSONS`` of them, a fixed seed);
+``store`` keeps the weights in ``tagger.json`` with a digest of the recipe, and if code or settings change the driver
+trains anew. The weights, some 10 kB, travel with the tasks. Scale: rows are independent and
 nothing is shuffled; windows are scored in batches of bounded size. Defined results: null or empty text has
 no spans; repeated rows give equal spans; texts of any length are read whole; an empty table gives an empty
 result; other columns may have any name.
@@ -16,6 +17,10 @@ result; other columns may have any name.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -236,6 +241,35 @@ def train(seed: int = SEED, lessons: int = LESSONS, epochs: int = EPOCHS) -> Tag
     return tagger
 
 
+STORED = os.path.join(os.path.dirname(os.path.abspath(__file__)), "tagger.json")
+
+
+def recipe() -> str:
+    """Digest of what training depends on: the code that writes lessons and learns from them, and its settings."""
+    code = "".join(inspect.getsource(x) for x in (lesson, Tagger, train.__wrapped__, _class_table.__wrapped__, crf))
+    return hashlib.sha256(f"{code}|{SINGLE!r}|{WIDTH}|{HIDDEN}|{EMBED}|{LESSONS}|{EPOCHS}|{BATCH}|{SEED}".encode()).hexdigest()
+
+
+def store(path: str = STORED) -> None:
+    """Train the tagger and keep its weights beside the code (``python -m inkwell.llm.pii``)."""
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"recipe": recipe(), "weights": {k: np.round(w.astype(float), 6).tolist() for k, w in train().w.items()}}, f)
+        f.write("\n")
+
+
+@lru_cache(maxsize=1)
+def trained() -> Tagger:
+    """The tagger from its stored weights if they come from this recipe, else trained anew, which takes some 20 s."""
+    if os.path.exists(STORED):
+        with open(STORED, encoding="utf-8") as f:
+            kept = json.load(f)
+        if kept["recipe"] == recipe():
+            tagger = Tagger(np.random.default_rng(SEED))
+            tagger.w = {k: np.array(w, np.float32) for k, w in kept["weights"].items()}
+            return tagger
+    return train()
+
+
 def triggers(text: str, raw: np.ndarray) -> np.ndarray:
     """Places that a window must show: digits, and the at signs, also spelled ones, with all of the word before them."""
     seen = (raw >= 48) & (raw <= 57)
@@ -278,8 +312,8 @@ def plausible(kind: str, piece: str) -> bool:
         signs = list(AT.finditer(piece))
         if len(signs) != 1:
             return False
-        local, rest = piece[: signs[0].start()], piece[signs[0].end() :]
-        return any(c.isalnum() for c in local) and "." in rest.strip(". ") and not any(c.isspace() for c in f"{local}x{rest}".strip(" "))
+        local, rest = piece[: signs[0].start()].strip(), piece[signs[0].end() :].strip()
+        return any(c.isalnum() for c in local) and "." in rest.strip(".") and not any(c.isspace() for c in local + rest)
     if kind == "ip":
         parts = piece.split(".")
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -350,7 +384,7 @@ def find(texts: list[str | None], tagger: Tagger) -> list[tuple[list[Span], list
 def scan(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """Per document the counts, the base digest and all spans (SCHEMA)."""
     ship(docs.sparkSession)
-    own = tagger or train()
+    own = tagger or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -379,7 +413,7 @@ def cover(text: str, spans: list[Span]) -> str:
 def redact(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """The documents with personal data replaced, all columns kept; n_chars follows the text."""
     ship(docs.sparkSession)
-    own = tagger or train()
+    own = tagger or trained()
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,3 +436,7 @@ def redact(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 def op3_pii(spark, sf_dir: str) -> DataFrame:
     """Contract query: personal data in every text."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+if __name__ == "__main__":
+    store()
