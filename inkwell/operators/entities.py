@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import fixed as X
 from inkwell.functions import text as T
+from inkwell.operators.stylometry import js_divergence
 
 #: Two or more capitalised words in a row: what the offline recogniser takes for a person.
 NAMES = r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"
@@ -82,3 +83,11 @@ def tag_trigrams(rows: DataFrame, tags: Column, *by: str) -> DataFrame:
     three = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 2, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(3)), " "))
     flat = rows.select(*by, tags.alias("_t")).where(F.size("_t") >= 3).select(*by, F.explode(three(F.col("_t"))).alias("trigram"))
     return flat.groupBy(*by, "trigram").agg(F.count("*").alias("n"))
+
+
+def tag_divergence(rows: DataFrame, tags: Column, corpus: str, a: str, b: str) -> DataFrame:
+    """(block, js): divergence of two corpora's tag trigrams over the union of what either has."""
+    counts = tag_trigrams(rows.where(F.col(corpus).isin(a, b)), tags, corpus)
+    totals = counts.groupBy(corpus).agg(F.sum("n").alias("_t"))  # two rows
+    shares = counts.join(F.broadcast(totals), corpus).select(corpus, F.lit("tag_trigrams").alias("block"), F.col("trigram").alias("key"), (F.col("n") / F.col("_t")).alias("p"))
+    return js_divergence(shares.where(F.col(corpus) == a).drop(corpus), shares.where(F.col(corpus) == b).drop(corpus))

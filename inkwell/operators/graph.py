@@ -25,9 +25,9 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 def _are_stars(e: DataFrame) -> bool:
     """Whether no node has two smaller neighbours and no smaller neighbour has one itself."""
-    twice = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
-    nested = e.select("u").join(e.select(F.col("v").alias("u")), "u", "left_semi")
-    return twice.unionByName(nested).isEmpty()
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    per = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.where("up > 1 OR up + down > 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:

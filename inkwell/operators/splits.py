@@ -16,8 +16,10 @@ from inkwell.session import settle
 
 def gram_table(docs: DataFrame, key: str, n: int = X.NEAR_DUP_N) -> DataFrame:
     """Distinct (key, gram hash); settled, since pairs and sizes both read it."""
-    grams = docs.select(key, F.explode(T.grams(T.near_dup_tokens(F.col("text")), n)).alias("gram"))
-    return settle(grams.select(key, F.xxhash64("gram").alias("gram")).distinct())
+    own = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.xxhash64(*[F.get(t, i + j) for j in range(n)]))
+    none = F.array().cast("array<long>")
+    grams = T.let(T.near_dup_tokens(F.col("text")), lambda t: F.when(F.size(t) >= n, F.array_distinct(own(t))).otherwise(none))
+    return settle(docs.select(key, F.explode(grams).alias("gram")).distinct())
 
 
 def near_duplicate_pairs(docs: DataFrame, key: str, threshold: float = X.NEAR_DUP_THRESHOLD, n: int = X.NEAR_DUP_N) -> DataFrame:

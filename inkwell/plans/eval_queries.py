@@ -69,6 +69,16 @@ def tag_trigrams(spark, sf_dir):
     return entities.tag_trigrams(_docs(spark, sf_dir), entities.coarse_tags(F.col("text")), "lang")
 
 
+@query(
+    f"""WITH t AS (SELECT lang, {_TAGS} AS t FROM documents WHERE lang IN ('en', 'de')), g AS (SELECT lang, unnest({S.grams('t', 3)}) AS k FROM t WHERE len(t) >= 3), n AS (SELECT lang, k, count(*) AS n FROM g GROUP BY ALL),
+s AS (SELECT lang, k, n / sum(n) OVER (PARTITION BY lang) AS p FROM n), x AS (SELECT greatest(coalesce(a.p, 0), 1e-12) AS p, greatest(coalesce(b.p, 0), 1e-12) AS q FROM (SELECT * FROM s WHERE lang = 'en') a FULL JOIN (SELECT * FROM s WHERE lang = 'de') b USING (k)),
+y AS (SELECT p / sum(p) OVER () AS p, q / sum(q) OVER () AS q FROM x) SELECT 'tag_trigrams' AS block, round(greatest(0.0, least(1.0, sum((p * log2(p / ((p + q) / 2)) + q * log2(q / ((p + q) / 2))) / 2))), 6) AS js FROM y"""
+)
+def tag_divergence(spark, sf_dir):
+    """Divergence of two languages' tag trigrams."""
+    return entities.tag_divergence(_docs(spark, sf_dir), entities.coarse_tags(F.col("text")), "lang", "en", "de").withColumn("js", F.round("js", 6))
+
+
 _LOSS = f"SELECT doc_id AS ord, lang, text, ln(1 + length(text) / greatest(1, {S.words('text')})) AS loss, {S.words('text')} - 1 AS n_tokens FROM documents WHERE {S.strip('text')} <> ''"
 _PPL = "exp(sum(loss * n_tokens) FILTER (n_tokens > 0) / sum(n_tokens) FILTER (n_tokens > 0))"
 

@@ -136,18 +136,57 @@ def pill(verdict: str | None) -> str:
     return f'<span style="background:{colour};color:#fff;padding:1px 8px;border-radius:8px">{html.escape(verdict or "not measured")}</span>'
 
 
+#: Blocks of the page with a verdict, and their headings.
+JUDGED = {"av": "Attribution", "leakage": "Leakage", "fluency": "Fluency", "contamination": "Contamination", "smoke": "Smoke test"}
+
+
+def _rows(block: dict[str, Any], prefix: str = "") -> str:
+    """Table rows of a mapping; nested mappings follow under their own name, lists are counted."""
+    out = []
+    for key, value in block.items():
+        name = f"{prefix}{key}"
+        if isinstance(value, dict):
+            out.append(_rows(value, f"{name}: "))
+        else:
+            shown = f"{len(value)} listed" if isinstance(value, (list, tuple)) else number(value)
+            out.append(f"<tr><td>{html.escape(name)}</td><td>{html.escape(shown)}</td></tr>")
+    return "".join(out)
+
+
+def headline(report: dict[str, Any]) -> list[tuple[str, Any]]:
+    """What a reader looks for first, of what was measured."""
+    paths = {"style distance": ("stylometry", "overall"), "attribution": ("av", "attribution_rate"), "held-out AUC": ("av_metrics", "auc"), "verbatim rate": ("leakage", "rate"), "perplexity change": ("fluency", "relative_regression"), "generations": ("n_generations",)}
+    out = []
+    for name, path in paths.items():
+        value: Any = report
+        for part in path:
+            value = value.get(part) if isinstance(value, dict) else None
+        if value is not None:
+            out.append((name, value))
+    return out
+
+
 def render(report: dict[str, Any]) -> str:
     """One page from a report; blocks that weren't measured are left out, all text is escaped."""
     out = [f"<h1>{html.escape(str(report.get('run_name', 'run')))}</h1>"]
+    about = [f"{k} {report[k]}" for k in ("model", "split", "generated_at") if report.get(k)]
+    out.append(f"<p>{html.escape(', '.join(about))}</p><table>{_rows(dict(headline(report)))}</table>")
+    if delta := report.get("baseline_delta"):
+        out.append(f"<h2>Against the baseline</h2><p>Above zero is better.</p><table>{_rows(delta)}</table>")
     if gaps := report.get("biggest_gaps"):
         out.append("<h2>Biggest gaps</h2>" + bars([(str(n), float(v)) for n, v in gaps], top=1.0))
-    for name in ("av", "leakage", "fluency"):
+    if shape := report.get("sent_len_hist"):
+        out.append("<h2>Sentence lengths</h2>" + grouped_bars(shape["buckets"], [(k, shape[k]) for k in ("real", "generated") if k in shape]))
+    if groups := report.get("av_by_register"):
+        out.append("<h2>Attribution by register</h2>" + bars([(str(k), float(v["attribution_rate"])) for k, v in groups.items()], top=1.0))
+    for name, title in JUDGED.items():
         block = report.get(name)
         if isinstance(block, dict):
-            rows = "".join(f"<tr><td>{html.escape(str(k))}</td><td>{html.escape(number(v))}</td></tr>" for k, v in block.items() if not isinstance(v, (dict, list)))
-            out.append(f"<h2>{name} {pill(block.get('verdict'))}</h2><table>{rows}</table>")
+            out.append(f"<h2>{title} {pill(block.get('verdict'))}</h2><table>{_rows(block)}</table>")
     for sample in report.get("samples") or []:
         out.append("<hr>" + "".join(f"<h3>{html.escape(str(k))}</h3><p>{html.escape(str(v))}</p>" for k, v in sample.items()))
+    if config := report.get("config"):
+        out.append(f"<h2>Configuration</h2><pre>{html.escape(json.dumps(config, ensure_ascii=False, indent=1, default=str))}</pre>")
     return '<!doctype html><html><head><meta charset="utf-8"><title>report</title></head><body>' + "".join(out) + "</body></html>"
 
 

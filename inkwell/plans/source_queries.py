@@ -77,7 +77,7 @@ def folder_ingest(spark, sf_dir):
 
 _BLOGS = f"""WITH b AS (SELECT source, string_agg('<post>' || text || '</post>', '' ORDER BY doc_id) AS text, any_value(regexp_extract(source, '[0-9]+')::INTEGER) + 10 AS age FROM documents WHERE source IS NOT NULL GROUP BY source),
 p AS (SELECT source, age, unnest(regexp_extract_all(text, {S.q(X.POST)}, 1)) AS raw FROM b WHERE age >= {X.MIN_AGE}),
-c AS (SELECT source, age, {S.strip(S.sub(S.sub(S.sub(S.sub('raw', X.POST_NOISE, ' '), '<[^>]{1,80}>', ' '), X.SPACE_RUN, ' '), X.NEWLINE_RUN, chr(92) + 'n' + chr(92) + 'n'))} AS t FROM p),
+c AS (SELECT source, age, {S.strip(S.sub(S.sub(S.sub(S.sub('raw', X.POST_NOISE, ' '), '<[^>]{1,80}>', ' '), X.SPACE_RUN, ' '), X.NEWLINE_RUN, chr(10) + chr(10)))} AS t FROM p),
 k AS (SELECT *, {S.words('t')} AS w, len(regexp_extract_all(t, {S.q(X.FIRST_PERSON)})) AS fp FROM c WHERE {S.words('t')} BETWEEN {X.POST_WORDS[0]} AND {X.POST_WORDS[1]}),
 r AS (SELECT source AS id, 'x' AS gender, age::VARCHAR AS age, 'arts' AS industry, count(*) AS posts, sum(w)::BIGINT AS words, round(sum(fp) * 100 / sum(w), 2) AS fp_rate FROM k GROUP BY source, age HAVING sum(w) >= {X.MIN_BLOG_WORDS})"""
 
@@ -126,7 +126,8 @@ def hosted_texts(spark, sf_dir):
     """Documents as hosted JSON, a paragraph per line and a table between, flattened again."""
     line = lambda s: F.struct(F.struct(F.array(F.struct(F.struct(s.alias("content")).alias("textRun"))).alias("elements")).alias("paragraph"))
     body = F.to_json(F.struct(F.struct(F.transform(F.split("text", "\n", -1), line).alias("content")).alias("body")))
-    return _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.md5(files.hosted_document_text(body)).alias("text_md5"))
+    rows = _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", body.alias("body"))
+    return rows.select("doc_id", F.md5(files.hosted_document_text("body")).alias("text_md5"))
 
 
 @query("WITH f AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_type IN ('view', 'click') AND value > 150) SELECT 'runs/' || user_id AS dir FROM f GROUP BY user_id HAVING count(*) = 2")

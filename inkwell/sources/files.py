@@ -8,6 +8,7 @@ import os
 import re
 import subprocess
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import numpy as np
@@ -30,6 +31,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | Y.StructType) -> Da
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def iterate_jsonl(spark: SparkSession, path: str, schema: str | Y.StructType) -> Iterator[dict]:
+    """Rows as mappings, a partition at a time, for a driver that takes them one by one."""
+    for row in read_jsonl(spark, path, schema).toLocalIterator(prefetchPartitions=True):
+        yield row.asDict(recursive=True)
+
+
 def write_jsonl(df: DataFrame, path: str) -> int:
     """Overwrite a folder of JSON lines; returns the number of rows, counted while writing."""
     from pyspark.sql import Observation

@@ -98,6 +98,18 @@ def test_other_pages(spark):
     assert "| a | 0.5000 | 0.2500 | 0.2500 |" in page and page.count("* a") == 1
 
 
+def test_report_has_every_measured_block():
+    full = {
+        "run_name": "r", "model": "m<", "n_generations": 3, "stylometry": {"overall": 0.25}, "baseline_delta": {"av": 0.1}, "biggest_gaps": [("dist:openers", 0.5)],
+        "sent_len_hist": {"buckets": ["0-5", "5-10"], "real": [0.5, 0.5], "generated": [1.0, 0.0]}, "av": {"attribution_rate": 0.5, "verdict": "PASS"}, "av_by_register": {"formal": {"attribution_rate": 0.5}},
+        "leakage": {"verdict": "FAIL: copies", "rate": 0.5, "verbatim": {"examples": ["a", "b"]}}, "fluency": {"verdict": "PASS", "relative_regression": 0.01}, "config": {"a": 1}, "samples": [{"prompt": "<p>", "real": "x"}],
+    }
+    page = report.render(full)
+    for part in ("Against the baseline", "Biggest gaps", "Sentence lengths", "Attribution by register", "Leakage", "Fluency", "Configuration", "verbatim: examples", "2 listed", "&lt;p&gt;", "m&lt;"):
+        assert part in page, part
+    assert "Leakage" not in report.render({"run_name": "r"}) and dict(report.headline(full))["style distance"] == 0.25
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000)] + [(2000, 2000 + i) for i in range(1, 50)] + [(rng.randint(3000, 3100), rng.randint(3000, 3100)) for _ in range(60)]
@@ -228,6 +240,8 @@ def test_files_of_runs(spark, tmp_path):
     assert [tuple(r) for r in files.repository_files(spark, f"{top}/repo").collect()] == [("a.txt", 3)]
     files.write_file_per_row(spark.createDataFrame([("A Title!", "t1", 1), ("a title", "t2", 2)], "title string, text string, seq int"), f"{top}/corpus", "title", "seq")
     assert os.listdir(f"{top}/corpus/slug=a-title") and spark.read.text(f"{top}/corpus/slug=a-title").first()[0] == "t1"
+    files.write_jsonl(spark.range(5), f"{top}/rows")
+    assert sorted(r["id"] for r in files.iterate_jsonl(spark, f"{top}/rows", "id long")) == list(range(5))
     with open(f"{top}/one.json", "w") as f:
         f.write('{"ratio": 0.5,\n "more": 1}')
     assert files.read_object(spark, f"{top}/one.json", "ratio double, other string").first() == (0.5, None)
