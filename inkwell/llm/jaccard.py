@@ -408,8 +408,8 @@ def possible_links(rows: DataFrame, found: DataFrame, parts: int, percent: int,
     edges = _connected(small.unionByName(cut), maps, parts, percent)
     if rows.where(large).isEmpty():
         return edges
-    edges = settle(edges)
-    apart = settle(own.join(components(edges), "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component"))
+    stars = settle(components(edges))
+    apart = settle(own.join(stars, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component"))
     per = apart.groupBy("bucket", "root").agg(F.count("*").alias("_n"))
     most = per.groupBy("bucket").agg(F.max_by("root", F.struct("_n", "root")).alias("_most"), F.sum("_n").alias("_all"), F.max("_n").alias("_in"))
     open_ = apart.join(most.where("_all > _in"), "bucket").withColumn("_blocks", F.floor((F.col("_all") - F.col("_in") - 1) / spread))
@@ -418,7 +418,7 @@ def possible_links(rows: DataFrame, found: DataFrame, parts: int, percent: int,
     asked = open_.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks")))).withColumn("asks", F.lit(False))
     tile = F.xxhash64("bucket", "_chunk", "_block")
     both = [x.select(tile.alias("_home"), tile.alias("tile"), "asks", "root", "node", "size") for x in (asking, asked)]
-    return edges.unionByName(_connected(both[0].unionByName(both[1]), maps, parts, percent)).distinct()
+    return stars.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(_connected(both[0].unionByName(both[1]), maps, parts, percent))
 
 
 def _connected(rows: DataFrame, maps: DataFrame, parts: int, percent: int) -> DataFrame:

@@ -14,7 +14,8 @@ instead of one per run. Skew: a task sends a minimiser that it has seen in sever
 settles those documents itself, so a passage held by a third of all rows reaches its partition once per
 task. Partitions follow the input's size, so a task holds a bounded share of it.
 
-A document's key is xxhash64 of its doc_id and text; rows equal in both are the same to every step.
+A document is named by its home partition and a key within it, two independent hashes of its doc_id and text; rows
+equal in both are the same to every step.
 """
 
 from __future__ import annotations
@@ -47,8 +48,8 @@ def partitions_for(docs: DataFrame, share: int = SHARE) -> int:
 
 def keyed(docs: DataFrame, parts: int) -> DataFrame:
     """doc_id, text, the document's key and its home partition."""
-    key = F.xxhash64("doc_id", "text")
-    return docs.select("doc_id", "text", key.alias("key"), F.pmod(key, F.lit(parts)).alias("part"))
+    home = F.pmod(F.xxhash64(F.lit("home"), F.coalesce("doc_id", F.lit(0)), "text"), F.lit(parts))
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), home.alias("part"))
 
 
 def packets(rows: list[tuple]) -> pa.RecordBatch:
@@ -84,11 +85,6 @@ def group_starts(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def home(key: np.ndarray, parts: int) -> np.ndarray:
-    """The home partition of document keys, as in ``keyed``."""
-    return key % parts
-
-
 @dataclass(frozen=True)
 class Finder:
     """find(buf, off) -> row, ordinal in the row, minimiser and whether the run repeats within itself,
@@ -98,15 +94,15 @@ class Finder:
     within: bool
 
 
-def _shared(value: np.ndarray, key: np.ndarray, order: np.ndarray, mark: np.ndarray, within: bool) -> np.ndarray:
+def _shared(value: np.ndarray, key: np.ndarray, home: np.ndarray, order: np.ndarray, mark: np.ndarray, within: bool) -> np.ndarray:
     """For sorted rows, whether each one's minimiser occurs elsewhere (``mark``: known to)."""
-    v, k = value[order], key[order]
+    v, k, h = value[order], key[order], home[order]
     at = group_starts(v)
     size = np.diff(np.append(at, len(v)))
     if within:
         found = size > 1
     else:
-        found = np.maximum.reduceat(k, at) != np.minimum.reduceat(k, at)
+        found = (np.maximum.reduceat(k, at) != np.minimum.reduceat(k, at)) | (np.maximum.reduceat(h, at) != np.minimum.reduceat(h, at))
     # a marked row stands for several documents of its task: with it, one more row is enough
     found |= (np.add.reduceat(mark[order].astype(np.int64), at) > 0) & (size > 1)
     return np.repeat(found, size)
@@ -115,21 +111,26 @@ def _shared(value: np.ndarray, key: np.ndarray, order: np.ndarray, mark: np.ndar
 def shared_runs(docs: DataFrame, parts: int, finder: Finder) -> DataFrame:
     """Packets of kind 1 at home: document keys (a) and ordinals (b) of runs whose minimiser recurs."""
 
-    def results(key: np.ndarray, ordinal: np.ndarray) -> list[tuple]:
-        return [(p, 1, key[own], ordinal[own].astype(np.int32)) for p, own in split(home(key, parts))] if len(key) else []
+    def results(key: np.ndarray, home: np.ndarray, ordinal: np.ndarray) -> list[tuple]:
+        return [(p, 1, key[own], ordinal[own].astype(np.int32)) for p, own in split(home)] if len(key) else []
 
-    def send(value: np.ndarray, key: np.ndarray, ordinal: np.ndarray, inner: np.ndarray) -> list[tuple]:
+    def send(value: np.ndarray, key: np.ndarray, home: np.ndarray, ordinal: np.ndarray, inner: np.ndarray) -> list[tuple]:
         order = np.argsort(value)
         shared = np.zeros(len(value), bool)
-        shared[order] = _shared(value, key, order, np.zeros(len(value), bool), finder.within)
-        rows = results(key[shared | inner], ordinal[shared | inner])
+        shared[order] = _shared(value, key, home, order, np.zeros(len(value), bool), finder.within)
+        rows = results(key[shared | inner], home[shared | inner], ordinal[shared | inner])
         first = np.zeros(len(value), bool)
         first[order[group_starts(value[order])]] = True
         out = np.flatnonzero(~shared | first)
         for p, own in split((value[out] >> np.uint64(33)).astype(np.int64) % parts):
             own = out[own]
-            docs_of, index = np.unique(key[own], return_inverse=True)
-            rows.append((p, 0, value[own], docs_of, index.astype(np.uint32), ordinal[own].astype(np.uint32), shared[own].astype(np.uint8)))
+            by = np.lexsort((home[own], key[own]))
+            new = np.ones(len(own), bool)
+            new[1:] = (np.diff(key[own][by]) != 0) | (np.diff(home[own][by]) != 0)
+            index = np.empty(len(own), np.uint32)
+            index[by] = np.cumsum(new) - 1
+            docs_of = np.stack([key[own][by][new], home[own][by][new]], 1)
+            rows.append((p, 0, value[own], docs_of, index, ordinal[own].astype(np.uint32), shared[own].astype(np.uint8)))
         return rows
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +138,8 @@ def shared_runs(docs: DataFrame, parts: int, finder: Finder) -> DataFrame:
         for batch, buf, off in blocks(batches, "text"):
             row, ordinal, value, inner = finder.find(buf, off)
             keys = batch.column(batch.schema.get_field_index("key")).to_numpy(zero_copy_only=False)
-            held.append((value, keys[row], ordinal, inner))
+            homes = batch.column(batch.schema.get_field_index("part")).to_numpy(zero_copy_only=False)
+            held.append((value, keys[row], homes[row], ordinal, inner))
             n += len(value)
             if n >= GATHER:
                 yield packets(send(*(np.concatenate(x) for x in zip(*held))))
@@ -152,17 +154,17 @@ def shared_runs(docs: DataFrame, parts: int, finder: Finder) -> DataFrame:
         mine = table.filter(pa.array(kinds == 0))
         if mine.num_rows:
             each = [gather(mine.slice(i, 1), 0, ["<u8", "<i8", "<u4", "<u4", "u1"]) for i in range(mine.num_rows)]
-            value, key, ordinal, mark = (np.concatenate(x) for x in zip(*((v, d[i], o, m) for v, d, i, o, m in each)))
+            value, key, home, ordinal, mark = (np.concatenate(x) for x in zip(*((v, d[0::2][i], d[1::2][i], o, m) for v, d, i, o, m in each)))
             order = np.argsort(value)
             hit = np.zeros(len(value), bool)
-            hit[order] = _shared(value, key, order, mark > 0, finder.within)
+            hit[order] = _shared(value, key, home, order, mark > 0, finder.within)
             hit &= mark == 0
-            if rows := results(key[hit], ordinal[hit]):
+            if rows := results(key[hit], home[hit], ordinal[hit]):
                 out.append(pa.Table.from_batches([packets(rows)]).cast(table.schema))
         return pa.concat_tables(out)
 
     ship(docs.sparkSession)
-    return docs.select("text", "key").mapInArrow(emit, PACKETS).groupBy("part").applyInArrow(decide, PACKETS)
+    return docs.select("text", "key", "part").mapInArrow(emit, PACKETS).groupBy("part").applyInArrow(decide, PACKETS)
 
 
 def at_home(docs: DataFrame, found: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:

@@ -7,8 +7,8 @@ and keeps the first, or removes every copy (``keep_first=False``), as the contra
 
 Across the corpus: runs of 200-byte windows with equal minimisers (32-byte grams) that recur are cut out,
 and each distinct string travels once per task to its minimiser's partition, where the arrays are built
-over batches of whole minimisers (``runs`` has the exchange). A string that a task holds twice is settled
-there; the others come back with their ranges.
+over batches of whole minimisers, or of contexts of a frequent one (``runs`` has the exchange). A string that a
+task holds twice is settled there; the others come back with their ranges.
 
 "First" is the smallest (doc_id, offset); a null doc_id counts as the largest. Defined results: null text
 is empty; repeated rows are copies of each other; matches never cross documents. With ``keep_first`` a
@@ -31,7 +31,8 @@ from inkwell.llm.textbuf import prefix, rolling_hash, span_union, tidy
 
 WINDOW = 200
 GRAM = 32
-#: Bytes of one suffix array (a minimiser with more distinct strings has one of its own size).
+#: Bytes of one suffix array. A minimiser with more distinct strings is split by the bytes around it; only strings of one
+#: context have an array of their own size.
 BATCH = 1 << 20
 BARRIER = 255  # never a byte of UTF-8
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -166,15 +167,15 @@ def _text_keys(texts: list[bytes]) -> np.ndarray:
     return np.frombuffer(joined, "<u8").reshape(-1, 2)
 
 
-def repeated(docs: DataFrame, parts: int, keep_first: bool, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def repeated(docs: DataFrame, parts: int, keep_first: bool, window: int = WINDOW, gram: int = GRAM, batch: int = BATCH) -> tuple[DataFrame, DataFrame]:
     """The keyed documents, and packets of kind 3 at home: key (a), first and last byte + 1 (b, c) of ranges
     to remove."""
     own = runs.keyed(docs, parts)
     found = runs.shared_runs(own, parts, runs.Finder(_find, within=True))
     schema = pa.schema([("part", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abcde")])
 
-    def answers(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple]:
-        return [(p, 3, key[i], lo[i].astype(np.int64), hi[i].astype(np.int64)) for p, i in runs.split(runs.home(key, parts))] if len(key) else []
+    def answers(key: np.ndarray, home: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple]:
+        return [(p, 3, key[i], lo[i].astype(np.int64), hi[i].astype(np.int64)) for p, i in runs.split(home)] if len(key) else []
 
     def cut(mine: pa.Table, named: pa.Table) -> pa.Table:
         if not mine.num_rows or not named.num_rows:
@@ -208,11 +209,12 @@ def repeated(docs: DataFrame, parts: int, keep_first: bool, window: int = WINDOW
         else:
             gone = order[np.repeat(many > 1, many)]
             asks = many == 1
-        rows = answers(key[gone], start[gone], start[gone] + size[gone])
+        home = np.full(len(key), mine.column("part")[0].as_py())
+        rows = answers(key[gone], home[gone], start[gone], start[gone] + size[gone])
         sent = order[first]
         for p, i in runs.split((value[sent] >> np.uint64(33)).astype(np.int64) % parts):
             j = sent[i]
-            meta = np.stack([ids[j], key[j], start[j], size[j], asks[i].astype(np.int64)], 1)
+            meta = np.stack([ids[j], key[j], start[j], size[j], home[j] * 2 + asks[i]], 1)
             rows.append((p, 2, value[j], meta, b"".join(texts[x] for x in j.tolist())))
         return pa.Table.from_batches([runs.packets(rows)]).cast(schema)
 
@@ -222,7 +224,8 @@ def repeated(docs: DataFrame, parts: int, keep_first: bool, window: int = WINDOW
         out = [table.filter(pa.array(kinds == 3))]
         value, meta, text = runs.gather(table, 2, ["<u8", "<i8", "u1"])
         if len(value):
-            ids, key, start, size, asks = meta.reshape(-1, 5).T
+            ids, key, start, size, origin = meta.reshape(-1, 5).T
+            home, asks = origin >> 1, origin & 1
             end = np.cumsum(size)
             digest = _text_keys([text[a:b].tobytes() for a, b in zip((end - size).tolist(), end.tolist())])
             order = np.lexsort((start, ids, digest[:, 1], digest[:, 0], value))
@@ -230,13 +233,13 @@ def repeated(docs: DataFrame, parts: int, keep_first: bool, window: int = WINDOW
             new[1:] = (digest[order[1:]] != digest[order[:-1]]).any(1)
             first = np.flatnonzero(new)
             many = np.diff(np.append(first, len(order)))
-            k, lo, hi = [], [], []
+            who, lo, hi = [], [], []
             leader = np.repeat(order[first], many)
             if keep_first:
                 whole = order[(ids[order] != ids[leader]) | (start[order] != start[leader])]
             else:
                 whole = order[np.repeat(many > 1, many) & (asks[order] > 0)]
-            k.append(key[whole]); lo.append(start[whole]); hi.append(start[whole] + size[whole])  # noqa: E702
+            who.append(whole); lo.append(start[whole]); hi.append(start[whole] + size[whole])  # noqa: E702
             # Of equal strings one goes on, with the strings that share its minimiser.
             kept = order[first]
             settled = (many > 1) | (asks[kept] == 0)
@@ -249,12 +252,15 @@ def repeated(docs: DataFrame, parts: int, keep_first: bool, window: int = WINDOW
             a = 0
             while a < len(bounds) - 1:
                 done = weight[bounds[a] - 1] if bounds[a] else 0
-                b = max(a + 1, int(np.searchsorted(weight[bounds[1:] - 1], done + BATCH, "right")))
-                part = slice(int(bounds[a]), int(bounds[b]))
-                for one in _ranges(kept[part], settled[part], text, end, ids, start, size, value, keep_first, window):
-                    k.append(key[one[0]]); lo.append(start[one[0]] + one[1]); hi.append(start[one[0]] + one[2])  # noqa: E702
+                b = max(a + 1, int(np.searchsorted(weight[bounds[1:] - 1], done + batch, "right")))
+                part = np.arange(bounds[a], bounds[b])
+                heavy = weight[part[-1]] - done > batch
+                for own in _by_context(part, kept, text, end, size, value, window, gram, batch) if heavy else [part]:
+                    for one in _ranges(kept[own], settled[own], text, end, ids, start, size, keep_first, window):
+                        who.append(one[0]); lo.append(start[one[0]] + one[1]); hi.append(start[one[0]] + one[2])  # noqa: E702
                 a = b
-            if rows := answers(*(np.concatenate(x) for x in (k, lo, hi))):
+            who = np.concatenate(who)
+            if rows := answers(key[who], home[who], np.concatenate(lo), np.concatenate(hi)):
                 out.append(pa.Table.from_batches([runs.packets(rows)]).cast(table.schema))
         return pa.concat_tables(out)
 
@@ -262,7 +268,39 @@ def repeated(docs: DataFrame, parts: int, keep_first: bool, window: int = WINDOW
     return own, decided
 
 
-def _ranges(kept, settled, text, end, ids, start, size, value, keep_first, window):
+def _by_context(part, kept, text, end, size, value, window, gram, batch):
+    """Sets of strings (of ``part``) with one minimiser, of about ``batch`` bytes, so that equal windows meet in one.
+
+    A window holds half of what it has besides the minimiser either after it or before it, so strings meet by as many
+    bytes after the minimiser, and by as many before it. A string may be in several sets, but once in each.
+    """
+    half = (window - gram) // 2
+    groups: dict[tuple[bool, bytes], list[int]] = {}
+    for i in part.tolist():
+        j = kept[i]
+        own = text[end[j] - size[j] : end[j]]
+        at = np.arange(len(own) - gram + 1)
+        for o in np.flatnonzero(rolling_hash(prefix(own), at, at + gram) == value[j]).tolist():
+            after, before = own[o + gram : o + gram + half], own[max(0, o - half) : o]
+            for side, context in ((True, after), (False, before)):
+                if len(context) == half:
+                    groups.setdefault((side, context.tobytes()), []).append(i)
+    held: list[int] = []
+    total = 0
+    for members in groups.values():
+        if len(members) < 2:
+            continue
+        more = sum(int(size[kept[i]]) + 1 for i in set(members))
+        if held and total + more > batch:
+            yield np.unique(held)
+            held, total = [], 0
+        held += members
+        total += more
+    if held:
+        yield np.unique(held)
+
+
+def _ranges(kept, settled, text, end, ids, start, size, keep_first, window):
     """(strings, from, to): removed ranges of distinct strings, by factor arrays over their joined text."""
     order = np.lexsort((start[kept], ids[kept]))  # earlier documents come first in the text
     own = kept[order]
@@ -290,9 +328,9 @@ def _ranges(kept, settled, text, end, ids, start, size, value, keep_first, windo
     yield own[which], lo - at[which], hi - at[which]
 
 
-def dedup(docs: DataFrame, keep_first: bool = True, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup(docs: DataFrame, keep_first: bool = True, window: int = WINDOW, gram: int = GRAM, batch: int = BATCH) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes)."""
-    own, decided = repeated(docs, runs.partitions_for(docs), keep_first, window, gram)
+    own, decided = repeated(docs, runs.partitions_for(docs), keep_first, window, gram, batch)
 
     def remove(mine: pa.Table, named: pa.Table) -> pa.Table:
         key, lo, hi = runs.gather(named, 3, ["<i8", "<i8", "<i8"])

@@ -141,15 +141,15 @@ def repeated(docs: DataFrame, parts: int, window: int = WINDOW, gram: int = GRAM
     found = runs.shared_runs(own, parts, runs.Finder(_find, within=False))
     schema = pa.schema([("part", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abcde")])
 
-    def ranges(key: np.ndarray, first: np.ndarray) -> list[tuple]:
+    def ranges(key: np.ndarray, home: np.ndarray, first: np.ndarray) -> list[tuple]:
         """Covered word ranges of removed windows, by document, as packets."""
-        order = np.lexsort((first, key))
-        key, first = key[order], first[order]
+        order = np.lexsort((first, key, home))
+        key, home, first = key[order], home[order], first[order]
         new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (first[1:] > first[:-1] + window)
+        new[1:] = (key[1:] != key[:-1]) | (home[1:] != home[:-1]) | (first[1:] > first[:-1] + window)
         at = np.flatnonzero(new)
         last = np.append(at[1:], len(key)) - 1
-        return [(p, 3, key[at][i], first[at][i].astype(np.int32), (first[last][i] + window).astype(np.int32)) for p, i in runs.split(runs.home(key[at], parts))] if len(at) else []
+        return [(p, 3, key[at][i], first[at][i].astype(np.int32), (first[last][i] + window).astype(np.int32)) for p, i in runs.split(home[at])] if len(at) else []
 
     def cut(mine: pa.Table, named: pa.Table) -> pa.Table:
         if not mine.num_rows or not named.num_rows:
@@ -174,22 +174,25 @@ def repeated(docs: DataFrame, parts: int, window: int = WINDOW, gram: int = GRAM
         value, ids, key, start, size, text = (np.concatenate(x) for x in zip(*held))
         del held
         string, place, gone = _removed(text, size, ids, window)  # windows that this partition can settle itself
-        rows = ranges(key[string[gone]], start[string[gone]] + place[gone])
+        home = mine.column("part")[0].as_py()
+        rows = ranges(key[string[gone]], np.full(int(gone.sum()), home), start[string[gone]] + place[gone])
         open_ = np.flatnonzero(np.bincount(string[~gone], minlength=len(size)) > 0)
         begin = np.cumsum(size) - size
         for p, i in runs.split((value[open_] >> np.uint64(33)).astype(np.int64) % parts):
             i = open_[i]
-            rows.append((p, 2, ids[i], key[i], start[i].astype(np.int32), size[i].astype(np.int64), text[_spread(begin[i], size[i])]))
+            rows.append((p, 2, np.append(home, ids[i]), key[i], start[i].astype(np.int32), size[i].astype(np.int64), text[_spread(begin[i], size[i])]))
         return pa.Table.from_batches([runs.packets(rows)]).cast(schema)
 
     def count(table: pa.Table) -> pa.Table:
         tidy()
         kinds = table.column("kind").to_numpy()
         out = [table.filter(pa.array(kinds == 3))]
-        ids, key, start, size, text = runs.gather(table, 2, ["<i8", "<i8", "<i4", "<i8", "u1"])
-        if len(ids):
+        _, key, start, size, text = runs.gather(table, 2, ["<i8", "<i8", "<i4", "<i8", "u1"])
+        if len(key):
+            sent = [np.frombuffer(table.column("a")[int(i)].as_py(), "<i8") for i in np.flatnonzero(kinds == 2)]  # home, then ids
+            ids, home = np.concatenate([x[1:] for x in sent]), np.concatenate([np.full(len(x) - 1, x[0]) for x in sent])
             string, place, gone = _removed(text, size, ids, window)
-            if rows := ranges(key[string[gone]], start[string[gone]].astype(np.int64) + place[gone]):
+            if rows := ranges(key[string[gone]], home[string[gone]], start[string[gone]].astype(np.int64) + place[gone]):
                 out.append(pa.Table.from_batches([runs.packets(rows)]).cast(table.schema))
         return pa.concat_tables(out)
 

@@ -162,3 +162,30 @@ def test_chunks_of_a_bucket_connect_what_one_task_would(spark):
     want = groups(10_000, 1)
     assert all(groups(spread, heads) == want for spread, heads in ((2, 1), (5, 2), (3, 8)))
     assert same(jaccard.linked(df).select("doc_id", "n_shingles", "component_id").collect(), brute.op5(docs))
+
+
+def test_frequent_minimisers_are_split_by_context(spark):
+    """One phrase in every document, in different surroundings and in some that repeat, with tiny arrays."""
+    rng = random.Random(13)
+    phrase = "this very phrase is in every one of them and so on"
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    contexts = [(prose(40), prose(40)) for _ in range(4)]
+    docs = []
+    for i in range(40):
+        a, b = rng.choice(contexts) if i % 2 else (prose(40), prose(40))
+        docs.append((i, f"{prose(5)} {a} {phrase} {b} {prose(5)}" + (f" {a} {phrase} {b}" if i % 7 == 1 else "")))
+    df = spark.createDataFrame(docs, TEXT)
+    for batch in (1 << 20, 700):
+        assert same(suffixes.dedup(df, keep_first=False, batch=batch).drop("kept").collect(), brute.op8(docs))
+        assert same(suffixes.dedup(df, batch=batch).drop("kept").collect(), brute.op8(docs, keep_first=True))
+
+
+def test_one_passage_in_every_document(spark):
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(80))
+    docs = [(i, " ".join(f"d{i}_{rng.randint(0, 99)}" for _ in range(30)) + " " + passage) for i in range(300)]
+    df = spark.createDataFrame(docs, TEXT).repartition(8)
+    assert same(superkmer.dedup(df).drop("kept").collect(), brute.op10(docs))
+    assert same(suffixes.dedup(df, keep_first=False).drop("kept").collect(), brute.op8(docs))
+    assert same(jaccard.linked(df).select("doc_id", "n_shingles", "component_id").collect(), brute.op5(docs))
