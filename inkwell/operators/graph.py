@@ -38,9 +38,11 @@ def components(edges: DataFrame) -> DataFrame:
     checkpointed, so a lost executor costs one round. Loops and repeated edges are ignored; a node whose only
     edges are loops is its own component.
     """
-    loops = edges.select("u").unionByName(edges.select(F.col("v").alias("u"))).distinct()
-    e = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    # settled before anything is derived from it: edges that come out differently when computed again would lose nodes
+    every = settle(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = every.where("u <> v")
     while not _are_stars(e):
         e = settle(_small_star(_large_star(e)))
+    nodes = every.select(F.col("u").alias("node")).unionByName(every.select(F.col("v").alias("node"))).distinct()
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return loops.select(F.col("u").alias("node")).join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -100,10 +100,16 @@ def frontier_page(points: DataFrame, steps: DataFrame) -> str:
 
 
 def depth_bars(profile: DataFrame, width: int = 28) -> str:
-    """Summed norms by layer as text: a bar of attention (a) and feed-forward (m) marks, to the scale of the largest layer."""
-    rows = [(r["layer"], r["attention"] or 0.0, r["mlp"] or 0.0) for r in profile.collect()]  # one row per layer
-    most = max((a + m for _, a, m in rows), default=1.0) or 1.0
-    return "".join(f"{layer:>3} {'a' * round(width * a / most) + 'm' * round(width * m / most):<{width}} {a + m:.3f}\n" for layer, a, m in rows)
+    """A profile (layer, a column per kind) as text: a line per layer with a mark, the kind's first letter, for every
+    ``width``-th part of the largest layer's sum, then the sum."""
+    kinds = [c for c in profile.columns if c != "layer"]
+    rows = {r["layer"]: [float(r[k] or 0) for k in kinds] for r in profile.collect()}  # one row per layer
+    unit = max(map(sum, rows.values()), default=0.0) / width or 1.0
+    lines = []
+    for layer, values in sorted(rows.items()):
+        marks = "".join(kind[0] * round(value / unit) for kind, value in zip(kinds, values) if value)
+        lines.append(f"{layer:>4} | {marks.ljust(width)} | {number(sum(values), 3)}\n")
+    return "".join(lines)
 
 
 def instruments_page(agreement: dict[str, Any], rows: DataFrame, flagged: DataFrame) -> str:

@@ -91,7 +91,7 @@ def test_controls_instruments_and_paths(spark):
 def test_other_pages(spark):
     norms = spark.createDataFrame([("layers.0.q_proj", "attention", "0", 1.0), ("layers.1.up_proj", "mlp", "1", 2.0)], "module string, kind string, layer string, update_norm double")
     lines = report.depth_bars(records.depth_profile(norms)).splitlines()
-    assert lines[0].split() == ["0", "a" * 14, "1.000"] and lines[1].split() == ["1", "m" * 28, "2.000"]
+    assert lines[0].split() == ["0", "|", "a" * 14, "|", "1.000"] and lines[1].split() == ["1", "|", "m" * 28, "|", "2.000"]
     assert records.largest_updates(norms, 1).first()["module"] == "layers.1.up_proj"
     rows = spark.createDataFrame([("a", 0.5, 0.25)], "run string, first double, second double")
     page = report.instruments_page({"spearman": 0.5}, rows, rows)
@@ -124,6 +124,20 @@ def test_components_of_paths_and_stars(spark):
     assert got == {n: min(own) for n, own in group.items()}
 
 
+def test_components_of_edges_that_come_out_differently(spark):
+    def turned(batches):
+        import numpy
+
+        rng = numpy.random.default_rng()
+        for b in batches:
+            flip = rng.random(len(b)) < 0.5
+            yield b.assign(u=b["u"].where(~flip, b["v"]), v=b["v"].where(~flip, b["u"]))
+
+    pairs_ = spark.range(0, 400, 2).selectExpr("id AS u", "id + 1 AS v")
+    got = {r["node"]: r["component"] for r in graph.components(pairs_.mapInPandas(turned, "u long, v long")).collect()}
+    assert got == {i: i - i % 2 for i in range(400)}
+
+
 def test_running_sums_over_slices(spark):
     rng = random.Random(5)
     rows = [(rng.choice(["a", "b", None]), i, rng.randint(0, 9)) for i in rng.sample(range(5000), 700)]
