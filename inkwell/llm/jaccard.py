@@ -428,7 +428,7 @@ def _connected(rows: DataFrame, maps: DataFrame, parts: int, percent: int) -> Da
     def connect(table: pa.Table) -> pa.Table:
         tile = table.column("tile").to_numpy()
         asks = table.column("asks").to_numpy()
-        order = np.lexsort((~asks, tile))
+        order = np.lexsort((table.column("node").to_numpy(), ~asks, tile))  # the same edges whatever order rows come in
         node, size = table.column("node").to_numpy()[order], table.column("size").to_numpy()[order]
         offsets, words = _lists(table.column("bitmap").take(pa.array(order)))
         words = words.view(np.uint64)
