@@ -87,12 +87,12 @@ def _per_score(scored: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """One row: exact AUC by the rank sum of positives."""
+    """One row: exact AUC by the rank sum of positives; null where a class is missing."""
     per = running(_per_score(scored, label, score), [score], {"_to": F.col("_c")})
     ranked = per.withColumn("_r", F.col("_to") - F.col("_c") + (F.col("_c") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("_r") * F.col("_p")).alias("r"), F.sum("_p").alias("p"), F.sum("_c").alias("n"))
     p, q = F.col("p"), F.col("n") - F.col("p")
-    return sums.select(F.round((F.col("r") - p * (p + 1) / 2) / (p * q), 4).alias("auc"), p.alias("n_positive"), q.alias("n_negative"))
+    return sums.select(F.round((F.col("r") - p * (p + 1) / 2) / F.nullif(p * q, F.lit(0)), 4).alias("auc"), p.alias("n_positive"), q.alias("n_negative"))
 
 
 def threshold_sweep(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -100,7 +100,7 @@ def threshold_sweep(scored: DataFrame, label: str = "label", score: str = "score
     per = _per_score(scored, label, score)
     swept = running(per, [F.desc(score)], {"tp": F.col("_p"), "fp": F.col("_c") - F.col("_p")})
     every = swept.agg(F.sum("_p").alias("_all_p"), F.sum(F.col("_c") - F.col("_p")).alias("_all_q"))
-    balanced = (F.col("tp") / F.col("_all_p") + (F.col("_all_q") - F.col("fp")) / F.col("_all_q")) / 2
+    balanced = (F.col("tp") / F.nullif(F.col("_all_p"), F.lit(0)) + (F.col("_all_q") - F.col("fp")) / F.nullif(F.col("_all_q"), F.lit(0))) / 2
     return swept.join(F.broadcast(every)).select(F.col(score).alias("threshold"), "tp", "fp", balanced.alias("balanced_accuracy"))
 
 

@@ -188,6 +188,12 @@ def test_preference_and_pair_statistics(spark):
         pairs.check_budget(spark.createDataFrame([(5,)], "n int"), "n", 4).collect()
 
 
+def test_scores_of_one_class(spark):
+    one = spark.createDataFrame([(1, 0.5), (1, 0.7)], "label int, score double")
+    assert tuple(verifier.roc_auc(one).first()) == (None, 2, 0)
+    assert verifier.best_threshold(one).count() == 1
+
+
 def test_packing_follows_its_rules():
     words = lambda n, w="w": " ".join([w] * n)
     assert chunk.pack([words(3)], [[]], [False], 5, 10) == []  # a short text gives nothing
