@@ -382,7 +382,7 @@ def find(texts: list[str | None], tagger: Tagger) -> list[tuple[list[Span], list
 
 
 def scan(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
-    """Per document the counts, the base digest and all spans (SCHEMA)."""
+    """Per document the base counts by kind, the base digest, all spans and the number of added ones (SCHEMA)."""
     ship(docs.sparkSession)
     own = tagger or trained()
 
@@ -391,7 +391,7 @@ def scan(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 found = find(batch.column(1).to_pylist(), own)
-                count = lambda kind: pa.array([sum(k == kind for k, _, _ in b + a) for b, a in found], pa.int64())
+                count = lambda kind: pa.array([sum(k == kind for k, _, _ in b) for b, _ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).cast(pa.int64()), *map(count, KINDS), pa.array([digest(printed(b, KINDS)) for b, _ in found]), pa.array([printed(b + a, KINDS) for b, a in found]), pa.array([len(a) for _, a in found], pa.int64())],
                     ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"],

@@ -175,6 +175,13 @@ def test_pii_rows_and_redaction(spark):
     assert red[3] == "call <PHONE> or mail <EMAIL> now" and red[4] == "plain words only" and red[1] is None
 
 
+def test_pii_counts_are_those_of_the_base_patterns(spark):
+    docs = [(1, "write to john.doe (at) mail.example.com or 612 345 678 today"), (2, "mail a.b@c.org, card 5018.0000.0009 ok"), (3, None)]
+    got = {r["doc_id"]: r for r in pii.scan(wide(spark, docs)).collect()}
+    assert [[got[i][f"n_{k}"] for k in pii.KINDS] for i in (1, 2, 3)] == [[0, 0, 0, 0], [1, 0, 0, 0], [0, 0, 0, 0]]
+    assert got[1]["n_added"] == 2 and got[1]["spans"] == "email:9:39,phone:43:54" and got[1]["base_sha256"] == spans.digest("")
+
+
 def test_secrets_novelty(spark):
     docs = [(1, 'auth: "9fK2mX81bQz7LpTr4WvY" ok'), (2, "session cookie_manager_configuration_value1"), (3, None), (4, "password=hunter2hunter2"), (5, "no context 9fK2mX81bQz7LpTr4WvY")]
     got = {r["doc_id"]: r for r in secrets.scan(wide(spark, docs)).collect()}
