@@ -258,8 +258,9 @@ nb AS (SELECT *, CASE WHEN n >= 4 THEN greatest(1, round_even(n * {X.BLIND_FRACT
 sp AS (SELECT "group", register, CASE WHEN i <= b THEN 'blind' WHEN i <= b + v THEN 'val' ELSE 'train' END AS split FROM nb)"""
 
 
-def _split(spark, sf_dir) -> DataFrame:
-    return splits.split_documents(docs(spark, sf_dir).select("doc_id", "text", "lang"), "doc_id", "lang")
+def _split(spark, sf_dir, **more) -> DataFrame:
+    """Split documents; further columns are taken from the texts before these are joined, so that no text travels."""
+    return splits.split_documents(docs(spark, sf_dir).select("doc_id", "text", "lang").withColumns(more), "doc_id", "lang")
 
 
 @query(f'{_SPLIT} SELECT doc_id, "group", split FROM grp JOIN sp USING ("group")')
@@ -271,7 +272,7 @@ def group_split(spark, sf_dir):
 @query(f'{_SPLIT}, x AS (SELECT doc_id, split, lang AS register, {S.words("text")} AS w FROM grp JOIN sp USING ("group") JOIN documents USING (doc_id)) SELECT split, register, count(*) AS pairs, count(DISTINCT doc_id) AS docs, sum(w)::BIGINT AS words FROM x GROUP BY GROUPING SETS ((split, register), (split))')
 def split_summary(spark, sf_dir):
     """Documents and words by split and register."""
-    rows = _split(spark, sf_dir).withColumns({"n_words": T.word_count(F.col("text")), "register": F.col("lang")})
+    rows = _split(spark, sf_dir, n_words=T.word_count(F.col("text")), register=F.col("lang"))
     return splits.split_summary(rows, "doc_id")
 
 
