@@ -290,7 +290,7 @@ def split_overlap(spark, sf_dir):
 @query(f'{_SPLIT} SELECT count(*) AS texts, count(*) FILTER (n > 1) AS in_several FROM (SELECT md5(text) AS t, count(DISTINCT split) AS n FROM grp JOIN sp USING ("group") JOIN documents USING (doc_id) GROUP BY 1)')
 def split_leaks(spark, sf_dir):
     """Distinct texts, and those that lie in several splits when near duplicates move together."""
-    rows = _split(spark, sf_dir).withColumn("t", F.md5("text")).groupBy("t").agg(F.countDistinct("split").alias("n"))
+    rows = _split(spark, sf_dir, t=F.md5("text")).groupBy("t").agg(F.countDistinct("split").alias("n"))
     return rows.agg(F.count("*").alias("texts"), F.count_if(F.col("n") > 1).alias("in_several"))
 
 

@@ -248,3 +248,12 @@ def test_shared_gram_links_connect_what_all_pairs_connect(spark):
             got.setdefault(("none", r["doc_id"]) if r["class"] is None else roots.get(r["class"], r["class"]), []).append(r["doc_id"])
         assert {i: min(g) for g in got.values() for i in g} == want
     assert {r["doc_id"]: r["group"] for r in splits.near_duplicate_groups(df, "doc_id").collect()} == want
+
+
+def test_split_queries_leave_texts_where_they_are(spark, tmp_path):
+    from inkwell.plans import text_queries
+
+    spark.createDataFrame([(i, t, "en") for i, t in shared_phrases()], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query, own in ((text_queries.split_summary, "regexp"), (text_queries.split_leaks, "md5(")):
+        plan = query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert all(own in x or "Relation" in x for x in plan if "text#" in x)
