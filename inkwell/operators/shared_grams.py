@@ -235,7 +235,7 @@ def rare_pairs(shared: DataFrame, small, rare: int) -> DataFrame:
             for d in range(2, rare + 1):
                 at = start[degree == d]
                 x, y = np.triu_indices(d, 1)
-                step = max(1, 4_000_000 // len(x))
+                step = max(1, 1_000_000 // len(x))
                 for i in range(0, len(at), step):
                     rows = owner[at[i : i + step, None] + np.arange(d)].astype(np.int64)
                     a, b = rows[:, x].ravel(), rows[:, y].ravel()
