@@ -129,23 +129,25 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, of[k]) for c, k in zip(zip(*rows), kinds)], list(names)) if rows else pa.RecordBatch.from_pylist([], pa.schema([(a, of[k]) for a, k in zip(names, kinds)]))
 
 
+def deal(held: dict[int, np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    """Sets by name, dealt out by the hash of their grams (PACKET)."""
+    sets = list(held.values())
+    size = np.array([len(s) for s in sets])
+    name = np.fromiter(held, np.int64, len(held))
+    grams = np.concatenate(sets)
+    order = np.argsort(grams)
+    owner = np.repeat(np.arange(len(sets), dtype=np.uint16 if len(sets) <= NUMBERED else np.uint32), size)[order]
+    grams = grams[order]
+    ends = np.searchsorted((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
+    for p, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+        if b > a:
+            g, (there, own) = grams[a:b], np.unique(owner[a:b], return_inverse=True)
+            yield _rows([(p, (g >> np.uint64(48)).astype(np.uint16).tobytes(), (g >> np.uint64(32)).astype(np.uint16).tobytes(), g.astype(np.uint32).tobytes(), own.astype(owner.dtype).tobytes(), name[there].tobytes(), size[there].astype(np.int32).tobytes())], PACKET)
+
+
 def packets(docs: DataFrame, n: int, parts: int) -> DataFrame:
     """Grams of every class a task sees, dealt out by hash (PACKET)."""
 
-    def deal(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        sets = list(held.values())
-        size = np.array([len(s) for s in sets])
-        name = np.fromiter(held, np.int64, len(held))
-        grams = np.concatenate(sets)
-        order = np.argsort(grams)
-        owner = np.repeat(np.arange(len(sets), dtype=np.uint16 if len(sets) <= NUMBERED else np.uint32), size)[order]
-        grams = grams[order]
-        ends = np.searchsorted((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
-        for p, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
-            if b > a:
-                g, (there, own) = grams[a:b], np.unique(owner[a:b], return_inverse=True)
-                yield _rows([(p, (g >> np.uint64(48)).astype(np.uint16).tobytes(), (g >> np.uint64(32)).astype(np.uint16).tobytes(), g.astype(np.uint32).tobytes(), own.astype(owner.dtype).tobytes(), name[there].tobytes(), size[there].astype(np.int32).tobytes())], PACKET)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         total = 0
@@ -155,10 +157,10 @@ def packets(docs: DataFrame, n: int, parts: int) -> DataFrame:
                     held[name] = s
                     total += len(s)
             if total >= GATHERED or len(held) > NUMBERED - 8192:
-                yield from deal(held)
+                yield from deal(held, parts)
                 held, total = {}, 0
         if held:
-            yield from deal(held)
+            yield from deal(held, parts)
 
     return docs.select(F.lower("text").alias("_t")).mapInArrow(run, PACKET)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import fixed as X
 from inkwell.functions import text as T
-from inkwell.operators import chunk, clean, extract, leakage, pairs, shared_grams, splits
+from inkwell.operators import chunk, clean, extract, gram_pairs, leakage, pairs, shared_grams, splits
 from inkwell.operators.graph import components
 
 
@@ -250,6 +250,28 @@ def test_shared_gram_links_connect_what_all_pairs_connect(spark):
     assert {r["doc_id"]: r["group"] for r in splits.near_duplicate_groups(df, "doc_id").collect()} == want
 
 
+def test_near_duplicate_pairs_are_all_pairs_and_never_travel(spark, monkeypatch):
+    rows = [(3 * i - 50, t) for i, t in shared_phrases()]
+    rows += [(1000, rows[0][1]), (1000, rows[5][1]), (1001, rows[0][1]), (1001, rows[5][1]), (1002, rows[7][1]), (1002, rows[7][1]), (None, rows[3][1]), (2**62, rows[3][1])]
+    sets = {}
+    for k, t in rows:
+        own = re.findall("[a-z']+", (t or "").lower())
+        sets.setdefault(k, set()).update(tuple(own[i : i + 5]) for i in range(len(own) - 4))
+    sets = {k: s for k, s in sets.items() if s and k is not None}
+    want = {(a, b): c for a in sets for b in sets if a < b and (c := len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b]))) > 0.15}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for counted in (gram_pairs.COUNTED, 300):  # one class at a time, or many
+        monkeypatch.setattr(gram_pairs, "COUNTED", counted)
+        found = splits.near_duplicate_pairs(df, "doc_id")
+        got = [((r["a"], r["b"]), r["containment"]) for r in found.collect()]
+        assert len(got) == len(want) and dict(got) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    named = splits.near_duplicate_pairs(df.where("doc_id BETWEEN 0 AND 1000").withColumn("doc_id", F.format_string("d%05d", "doc_id")), "doc_id").collect()
+    assert {(int(r["a"][1:]), int(r["b"][1:])): r["containment"] for r in named} == {k: c for k, c in want.items() if 0 <= k[0] and k[1] <= 1000}
+    assert splits.near_duplicate_pairs(df.where("doc_id > 1002 AND doc_id < 1010"), "doc_id").collect() == []
+
+
 def test_split_queries_leave_texts_where_they_are(spark, tmp_path):
     from inkwell.plans import text_queries
 
