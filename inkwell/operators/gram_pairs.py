@@ -9,13 +9,15 @@ counted between classes, and each pair of classes becomes the pairs of its membe
   shuffled. Classes stand in the order of their least scrambled gram, which keeps those that share much together.
 * A block's frequent grams are counted like any other: a pair that shares nothing else is found as well.
 
-Broadcast are 16 bytes of each text that repeats an earlier one's grams, and 12 of each class that could be the smaller.
+Broadcast are 24 bytes of each text that repeats an earlier one's grams, and 12 of each class that could be the smaller.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,11 @@ COUNTED, NARROW = 100_000_000, 8_000_000
 HELD = 32_000_000
 #: Pairs of an Arrow batch, and pairs of copies of a task.
 BATCH, COPIES = 1 << 17, 1 << 20
+#: Parts of a task that deals out lists, and bytes that it gathers before.
+TOGETHER, GATHERED = 8, 128_000_000
 
 LISTS = "block int, degree binary, owner binary, name binary, size binary"
-PAIRS = "a long, b long, shared int, size int"
+PAIRS = "a long, b long, containment double"
 
 
 def packets(docs: DataFrame, key: str, n: int, parts: int, aside) -> DataFrame:
@@ -97,7 +101,7 @@ def merged_packets(sets: DataFrame, parts: int, aside) -> DataFrame:
     return sets.mapInArrow(run, S.PACKET)
 
 
-def smaller(shared: DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def smaller(shared: DataFrame, parts: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the classes that share grams enough to be the smaller of a pair: names, least scrambled gram, and entries of
     the lists they are in, of long ones and of others."""
 
@@ -112,7 +116,7 @@ def smaller(shared: DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray
             for a in range(0, len(name), 65536):
                 yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 65536].astype(np.int64)) for x in (name, size, *sums)], ["class", "size", "n", "low", "wide", "narrow"])
 
-    per = shared.mapInArrow(run, "class long, size long, n long, low long, wide long, narrow long").groupBy("class")
+    per = shared.coalesce(max(1, parts // TOGETHER)).mapInArrow(run, "class long, size long, n long, low long, wide long, narrow long").groupBy("class")
     per = per.agg(F.max("size").alias("size"), F.sum("n").alias("n"), F.min("low").alias("low"), F.sum("wide").alias("wide"), F.sum("narrow").alias("narrow"))
     found = per.where(F.col("n") / F.col("size") > threshold).select("class", "low", "wide", "narrow").toPandas()
     return tuple(found[c].to_numpy(np.int64) for c in ("class", "low", "wide", "narrow"))
@@ -139,34 +143,57 @@ def _find(names: np.ndarray, x: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(S._within(names, x), values[np.minimum(np.searchsorted(names, x), max(0, len(names) - 1))], -1) if len(names) else np.full(len(x), -1)
 
 
-def lists(shared: DataFrame, dealt) -> DataFrame:
-    """The lists of a part's grams for each block with a class in them (LISTS), classes by size and name."""
+def _together(rows: list[tuple[np.ndarray, ...]], block: int) -> Iterator[pa.RecordBatch]:
+    """The lists of a block from several parts as one row, or as a few whose classes are numbered in 16 bits."""
+    name, first, number = np.unique(np.concatenate([r[2] for r in rows]), return_index=True, return_inverse=True)
+    if len(name) > S.NUMBERED and len(rows) > 1:
+        yield from _together(rows[: len(rows) // 2], block)
+        yield from _together(rows[len(rows) // 2 :], block)
+        return
+    base = np.append(0, np.cumsum([len(r[2]) for r in rows])).tolist()
+    number = number.astype(np.uint16 if len(name) <= S.NUMBERED else np.uint32)
+    who = np.concatenate([number[a : a + len(r[2])][r[1]] for a, r in zip(base, rows)])
+    degree, size = np.concatenate([r[0] for r in rows]), np.concatenate([r[3] for r in rows])[first]
+    yield S._rows([(block, degree.tobytes(), who.tobytes(), name.tobytes(), size.tobytes())], LISTS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def lists(shared: DataFrame, parts: int, dealt) -> DataFrame:
+    """The lists of a part's grams for each block with a class in them (LISTS), each by size and name of the classes."""
+
+    def pieces(degree: np.ndarray, owner: np.ndarray, name: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
         names, block = dealt.value
+        order = np.lexsort((name, size))
+        name, size = name[order], size[order]
+        place = np.empty(len(name), np.int64)
+        place[order] = np.arange(len(name))
+        gram = np.repeat(np.arange(len(degree)), degree)
+        owner = np.sort(gram * len(name) + place[owner]) % len(name)
+        start = np.append(0, np.cumsum(degree, dtype=np.int64))
+        at = _find(names, name, block).astype(np.int64)[owner]
+        code = np.unique(at[at >= 0] * len(degree) + gram[at >= 0])
+        to, of = code // len(degree), code % len(degree)
+        ends = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to)) if len(to) else [0]
+        for a, b in zip(ends, ends[1:]):
+            own = of[a:b]
+            d = degree[own].astype(np.int64)
+            there, who = np.unique(owner[np.repeat(start[own] - np.cumsum(d) + d, d) + np.arange(d.sum())], return_inverse=True)
+            yield int(to[a]), (d.astype(np.uint32), who.astype(np.uint32), name[there], size[there])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        total = 0
         for _, degree, owner, name, size in S._parts(batches):
-            if not len(name):
-                continue
-            order = np.lexsort((name, size))
-            name, size = name[order], size[order]
-            place = np.empty(len(name), np.int64)
-            place[order] = np.arange(len(name))
-            gram = np.repeat(np.arange(len(degree)), degree)
-            owner = np.sort(gram * len(name) + place[owner]) % len(name)
-            start = np.append(0, np.cumsum(degree, dtype=np.int64))
-            at = _find(names, name, block).astype(np.int64)[owner]
-            code = np.unique(at[at >= 0] * len(degree) + gram[at >= 0])
-            to, of = code // len(degree), code % len(degree)
-            ends = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to)) if len(to) else [0]
-            for a, b in zip(ends, ends[1:]):
-                own = of[a:b]
-                d = degree[own].astype(np.int64)
-                at = np.repeat(start[own] - np.cumsum(d) + d, d) + np.arange(d.sum())
-                there, who = np.unique(owner[at], return_inverse=True)
-                who = who.astype(np.uint16 if len(there) <= S.NUMBERED else np.uint32)
-                yield S._rows([(int(to[a]), d.astype(np.uint32).tobytes(), who.tobytes(), name[there].tobytes(), size[there].tobytes())], LISTS)
-
-    return shared.mapInArrow(run, LISTS)
+            for block, piece in pieces(degree, owner, name, size) if len(name) else ():
+                held.setdefault(block, []).append(piece)
+                total += sum(x.nbytes for x in piece)
+                if total > GATHERED:
+                    for k, rows in held.items():
+                        yield from _together(rows, k)
+                    held, total = {}, 0
+        for k, rows in held.items():
+            yield from _together(rows, k)
+
+    return shared.coalesce(max(1, parts // TOGETHER)).mapInArrow(run, LISTS)
 
 
 def _counted(rank: np.ndarray, after: np.ndarray, entries: np.ndarray, classes: int, need: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,10 +211,25 @@ def _counted(rank: np.ndarray, after: np.ndarray, entries: np.ndarray, classes:
     return found[n >= need], n[n >= need]
 
 
-def _batches(a: int, b: np.ndarray, shared: np.ndarray, size: int) -> Iterator[list[np.ndarray]]:
+@lru_cache(1 << 16)
+def rounded(x: float, digits: int) -> float:
+    """As Spark rounds: the shortest decimal form, half up."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
+def _containment(shared: np.ndarray, size: int, digits: int | None) -> np.ndarray:
+    if digits is None:
+        return shared / size
+    there = np.flatnonzero(np.bincount(shared))
+    value = np.zeros(int(there[-1]) + 1)
+    value[there] = [rounded(x, digits) for x in (there / size).tolist()]
+    return value[shared]
+
+
+def _batches(a: int, b: np.ndarray, containment: np.ndarray) -> Iterator[list[np.ndarray]]:
     for i in range(0, len(b), BATCH):
         other = b[i : i + BATCH]
-        yield [np.minimum(a, other), np.maximum(a, other), shared[i : i + BATCH].astype(np.int32), np.full(len(other), size, np.int32)]
+        yield [np.minimum(a, other), np.maximum(a, other), containment[i : i + BATCH]]
 
 
 def _gathered(pairs: Iterator[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +256,7 @@ def _members(copies: tuple[np.ndarray, np.ndarray], head: int) -> np.ndarray:
     return np.append(head, keys[a:b])
 
 
-def block_pairs(dealt_lists: DataFrame, dealt, copies, threshold: float) -> DataFrame:
+def block_pairs(dealt_lists: DataFrame, dealt, copies, threshold: float, digits: int | None) -> DataFrame:
     """PAIRS of members of different classes whose smaller class is of the block."""
 
     def pairs(rows: list[tuple[np.ndarray, ...]], block: int) -> Iterator[list[np.ndarray]]:
@@ -242,12 +284,12 @@ def block_pairs(dealt_lists: DataFrame, dealt, copies, threshold: float) -> Data
             found, shared = _counted(at[x:y] + 1, after[x:y], entries, len(name), int(need[c]))
             if not len(found):
                 continue
-            other, many = name[found], times[found]
+            other, many, share = name[found], times[found], _containment(shared, int(size[c]), digits)
             if many.max() > 1:
                 other = np.concatenate([_members(copies.value, h) if k > 1 else [h] for h, k in zip(other.tolist(), many.tolist())]).astype(np.int64)
-                shared = np.repeat(shared, many)
+                share = np.repeat(share, many)
             for k in _members(copies.value, int(name[c])).tolist() if several[c] else [int(name[c])]:
-                yield from _batches(k, other, shared, int(size[c]))
+                yield from _batches(k, other, share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, block = [], -1
@@ -267,18 +309,18 @@ def copy_pairs(extra: DataFrame, copies, tasks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs() -> Iterator[list[np.ndarray]]:
             for batch in batches:
-                for k, head, size in zip(*(c.to_pylist() for c in batch.columns)):
+                for k, head in zip(*(c.to_pylist() for c in batch.columns)):
                     before = _members(copies.value, head)
                     before = before[: np.searchsorted(before, k)]
-                    yield from _batches(k, before, np.full(len(before), size), size)
+                    yield from _batches(k, before, np.ones(len(before)))
 
         yield from _gathered(pairs())
 
     return extra.repartition(tasks).mapInArrow(run, PAIRS)
 
 
-def pairs(docs: DataFrame, key: str, threshold: float, n: int) -> DataFrame:
-    """PAIRS a < b of integer keys that share over ``threshold`` of the smaller set, with shared grams and its size.
+def pairs(docs: DataFrame, key: str, threshold: float, n: int, digits: int | None = None) -> DataFrame:
+    """PAIRS a < b of integer keys that share over ``threshold`` of the smaller set, with that share, rounded to ``digits`` if any.
 
     Grams of rows of one key are one set; rows without key take no part.
     """
@@ -294,25 +336,24 @@ def pairs(docs: DataFrame, key: str, threshold: float, n: int) -> DataFrame:
         merged = settle(merged_sets(docs.join(twice, key, "left_semi"), key, n))
         named = settle(named.join(twice, key, "left_anti").select(key, "class", "size").unionByName(merged_named(merged, key)))
     lead = named.where("class IS NOT NULL").groupBy("class").agg(F.min(key).alias("head"), F.count("*").alias("_c")).where("_c > 1")
-    extra = settle(named.join(lead.select("class", "head"), "class").where(F.col(key) != F.col("head")).select(key, "head", "size"))
-    own = extra.select(key, "head").toPandas()
+    extra = settle(named.join(lead.select("class", "head"), "class").where(F.col(key) != F.col("head")).select(key, "head"))
+    own = extra.toPandas()
     keys, heads = own[key].to_numpy(np.int64), own["head"].to_numpy(np.int64)
     order = np.lexsort((keys, heads))
     copies = sc.broadcast((heads[order], keys[order]))
     aside = sc.broadcast(np.sort(np.append(keys, repeated)))
-    kept = sc.broadcast(np.sort(keys))
     total = named.agg(F.sum("size").alias("s")).first()["s"] or 0
     parts = max(1, math.ceil(total / S.PART))
     dealt = packets(docs, key, n, parts, aside)
     if merged is not None:
-        dealt = dealt.unionByName(merged_packets(merged, parts, kept))
+        dealt = dealt.unionByName(merged_packets(merged, parts, sc.broadcast(np.sort(keys))))
     shared = settle(dealt.groupBy("part").applyInArrow(S._meet, S.SHARED))
-    name, low, wide, narrow = smaller(shared, threshold)
+    name, low, wide, narrow = smaller(shared, parts, threshold)
     long_lists = shared.mapInArrow(_long_entries, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
     spread = sc.broadcast(blocks(name, low, wide, narrow, long_lists, 3 * sc.defaultParallelism))
     _, each = np.unique(heads, return_counts=True)
     tasks = max(1, math.ceil(int((each * (each + 1) // 2).sum()) / COPIES))
-    found = block_pairs(lists(shared, spread), spread, copies, threshold)
+    found = block_pairs(lists(shared, parts, spread), spread, copies, threshold, digits)
     return found.unionByName(copy_pairs(extra, copies, tasks))
 
 

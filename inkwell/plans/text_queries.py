@@ -243,7 +243,7 @@ grp AS (SELECT d.doc_id, coalesce(min(r.root), d.doc_id) AS "group" FROM documen
 @query(f"{_ND} SELECT a, b, round(containment, 6) AS containment FROM p")
 def near_dup_pairs(spark, sf_dir):
     """Pairs of documents that share over 15 % of the smaller one's 5-grams."""
-    return splits.near_duplicate_pairs(docs(spark, sf_dir), "doc_id").select("a", "b", F.round("containment", 6).alias("containment"))
+    return splits.near_duplicate_pairs(docs(spark, sf_dir), "doc_id", digits=6)
 
 
 @query(f'{_GROUPS} SELECT doc_id, "group" FROM grp')

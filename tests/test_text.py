@@ -267,6 +267,8 @@ def test_near_duplicate_pairs_are_all_pairs_and_never_travel(spark, monkeypatch)
         assert len(got) == len(want) and dict(got) == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+    exact = spark.createDataFrame([(n / m,) for m in (1, 3, 7, 128, 640, 1331, 32000) for n in range(1, m + 1, 1 + m // 99)], "x double")
+    assert all(gram_pairs.rounded(r["x"], 6) == r["r"] for r in exact.select("x", F.round("x", 6).alias("r")).collect())
     named = splits.near_duplicate_pairs(df.where("doc_id BETWEEN 0 AND 1000").withColumn("doc_id", F.format_string("d%05d", "doc_id")), "doc_id").collect()
     assert {(int(r["a"][1:]), int(r["b"][1:])): r["containment"] for r in named} == {k: c for k, c in want.items() if 0 <= k[0] and k[1] <= 1000}
     assert splits.near_duplicate_pairs(df.where("doc_id > 1002 AND doc_id < 1010"), "doc_id").collect() == []
